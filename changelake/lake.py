@@ -276,16 +276,15 @@ class ChangeTable:
 
     def kept_changes(self, oldest: Commit, newest: Commit) -> DataFrame:
         """The base of one version and every kept change up to another, as one change frame."""
-        paths = dict.fromkeys(oldest.change_paths)
-        for v in self.versions():
-            if oldest.version < v <= newest.version:
-                paths.update(dict.fromkeys(self.commit_at(v).change_paths))
-        frame = self.read_paths(newest, list(paths))
-        if oldest.base_paths:
-            old_base = replace(newest, properties=oldest.properties, base_paths=oldest.base_paths)
-            frame = self.base(old_base).select(*self._file_schema(newest).names).unionByName(
-                frame.select(*self._file_schema(newest).names))
-        return frame.select(*self._file_schema(newest).names)
+        named = (self.log().where(F.col("version").between(oldest.version, newest.version))
+                 .select(F.explode("change_paths").alias("path")).distinct().collect())
+        paths = sorted(r.path for r in named)
+        frame = self.read_paths(newest, paths)
+        names = self._file_schema(newest).names
+        if not oldest.base_paths:
+            return frame.select(*names)
+        old_base = replace(newest, properties=oldest.properties, base_paths=oldest.base_paths)
+        return self.base(old_base).select(*names).unionByName(frame.select(*names))
 
     def row_history(self, keys: list, depth: int = 12) -> DataFrame:
         """The rows of some keys at each of the newest ``depth`` versions, newest first."""
@@ -308,7 +307,7 @@ class ChangeTable:
     def next_version(self) -> int:
         return self.head().version + 1 if self.exists() else 0
 
-    def write_folder(self, df: DataFrame, kind: str, version: int, pks: list[str],
+    def write_folder(self, df: DataFrame, kind: str, version: int | str, pks: list[str],
                      partition_by: str | None = None) -> tuple[str, dict]:
         """Write one base or change folder and return its relative path and measures."""
         seen = Observation()

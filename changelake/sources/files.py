@@ -64,8 +64,8 @@ class Files:
         return count, size
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder: file_path, last_modified, bytes (contents are not read)."""
+def listing(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Every file below some folders: file_path, last_modified, bytes (contents are not read)."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
             .select(F.col("path").alias("file_path"),
                     F.col("modificationTime").alias("last_modified"),
