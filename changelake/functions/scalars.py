@@ -30,7 +30,7 @@ def millis_between(start: Column | str, end: Column | str) -> Column:
 def human_age(seconds: Column) -> Column:
     """Age in the largest fitting unit: seconds, minutes, hours, days."""
     def text(divisor: int, unit: str) -> Column:
-        return F.concat(F.format_string("%.0f", seconds / float(divisor)), F.lit(unit))
+        return F.concat(F.bround(seconds / float(divisor), 0).cast("bigint").cast("string"), F.lit(unit))
 
     ladder = reduce(lambda acc, step: acc.when(seconds < step[0], text(step[1], step[2])), AGE_LADDER, F)
     return ladder.otherwise(text(*AGE_LAST))
@@ -41,7 +41,7 @@ def human_bytes(n: Column) -> Column:
     value = n.cast("double")
     out = F
     for power, unit in enumerate(SIZE_UNITS):
-        text = F.format_string(f"%.1f {unit}", value / float(1024**power))
+        text = F.format_string(f"%.1f {unit}", F.bround(value / float(1024**power), 1))
         if unit == SIZE_UNITS[-1]:
             return out.otherwise(text)
         out = out.when(F.abs(value) < float(1024 ** (power + 1)), text)

@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan (for file scans: from the file sizes)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_SIDE_BYTES) -> bool:
