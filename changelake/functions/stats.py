@@ -103,3 +103,9 @@ def medians(df: DataFrame, keys: list[str], value: str, width: float, out: str =
     mid = order_statistics(df, keys, value, {
         "_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor(F.col("n") / 2) + 1}, width)
     return mid.withColumn(out, (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
+
+
+def combine_rows(a: DataFrame, b: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Columns of two frames with one row per key (or one row each) side by side, without a join."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])

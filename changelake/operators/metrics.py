@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import millis_between, ratio
-from changelake.functions.stats import medians, nearest_rank, order_statistics, running
+from changelake.functions.stats import combine_rows, medians, nearest_rank, order_statistics, running
 
 # Write time counted as slow, window of the ingest rate, default probe timeout.
 SLOW_MERGE_MS = 10_000
@@ -69,8 +69,7 @@ def throughput(df: DataFrame, exact: bool = False) -> DataFrame:
         F.sum("duration_ms").alias("duration_ms"),
         F.max(ratio(F.col("records") * 1000, F.col("duration_ms"))).alias("peak_records_per_sec"))
     spread = percentiles(batch, [], "duration_ms", exact, 1_000_000)
-    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  (a single row on either side)
-    return (one(totals).join(one(spread), "_one").select(
+    return (combine_rows(totals, spread).select(
         "batches", "records", "duration_ms",
         ratio(F.col("records") * 1000, F.col("duration_ms")).alias("records_per_sec"),
         F.col("p50").alias("duration_ms_p50"), F.col("p95").alias("duration_ms_p95"),
@@ -127,10 +126,7 @@ def latency_percentiles(df: DataFrame, value: str, keys: list[str] = (), exact:
     spread = percentiles(df, keys, value, exact, width)
     basics = df.groupBy(*keys).agg(F.count(value).alias("samples"), F.min(value).alias("min"),
                                    F.avg(value).alias("mean"))
-    if keys:
-        return basics.join(spread, keys).select(*keys, "samples", "min", "p50", "p95", "max", "mean")
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(basics).join(one(spread), "_one").select("samples", "min", "p50", "p95", "max", "mean")
+    return combine_rows(basics, spread, keys).select(*keys, "samples", "min", "p50", "p95", "max", "mean")
 
 
 def commit_to_merge(current: DataFrame, keys: list[str] = (), exact: bool = True) -> DataFrame:
