@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.session import is_small
+
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
-            out: str, kind: str = "last", inclusive: bool = True) -> DataFrame:
+            out: str, kind: str = "last", inclusive: bool = True, total: str | None = None) -> DataFrame:
     """Running ``last`` (non-null), ``min``, ``max`` or ``sum`` of ``value`` per key.
 
     ``order`` are ascending columns; ``chunk`` must not decrease along them. With
-    ``inclusive=False`` the current row does not count (``last`` is then a lag).
+    ``inclusive=False`` the current row does not count (``last`` is then a lag). ``total`` names
+    a further column with the value over the whole series. Keys must not be NULL.
     """
     over_rows = {
         "last": lambda c: F.last(c, ignorenulls=True),
@@ -27,11 +30,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, val
     summary = F.max_by("_value", F.when(F.col("_value").isNotNull(), tail)) if kind == "last" \
         else over_rows(F.col("_value"))
 
-    src = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    # rows without an order value sort first and so belong to the first chunk
+    place = F.coalesce(chunk.cast("long"), F.lit(-(2**62)))
+    src = df.withColumn("_chunk", place).withColumn("_value", value)
     parts = src.groupBy(*keys, "_chunk").agg(summary.alias("_part"))
     before = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = parts.select(*keys, "_chunk", over_rows(F.col("_part")).over(before).alias("_carry"))
+    whole = [over_rows(F.col("_part")).over(Window.partitionBy(*keys)).alias(total)] if total else []
+    carried = parts.select(*keys, "_chunk", over_rows(F.col("_part")).over(before).alias("_carry"), *whole)
 
     within = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
@@ -44,7 +50,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, val
         "sum": F.when(F.col("_local").isNull(), F.col("_carry"))
                 .otherwise(F.col("_local") + F.coalesce("_carry", F.col("_local") * 0)),
     }[kind]
-    return both.select(*[F.col(c) for c in df.columns], combined.alias(out))
+    return both.select(*[F.col(c) for c in df.columns], combined.alias(out),
+                       *([total] if total else []))
+
+
+ROWS_PER_CHUNK = 1_000_000
+SPARSE_BYTES = 512 * 1024 * 1024
+
+
+def chunk_seconds_for(df: DataFrame, keys: list[str], ts: str) -> int:
+    """Chunk length along a time axis: a day for small inputs; for large ones so short that the
+    densest hour of the largest series splits into chunks of about a million rows."""
+    if is_small(df, SPARSE_BYTES):
+        return 86_400
+    hour = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(3_600_000_000))
+    densest = df.groupBy(*keys, hour).count().agg(F.max("count").alias("n")).first().n or 1
+    return max(1, min(86_400, int(3600 * ROWS_PER_CHUNK / densest)))
 
 
 def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column],
@@ -54,7 +75,7 @@ def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[s
     Each row is also handed to the following bucket, so every bucket sees the whole trailing
     window of its own rows and the buckets of one series run in parallel.
     """
-    width = max(bucket_seconds or 3600, seconds)
+    width = max(bucket_seconds or chunk_seconds_for(df, keys, ts), seconds)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bucket = F.floor(micros / (width * 1_000_000)).cast("long")
     src = df.withColumn("_us", micros).withColumn("_home", bucket)
@@ -79,9 +100,9 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     if not keys:
         hist = hist.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    cum = running(hist, by, ["_v"], F.floor(F.col("_v") / F.lit(width)), F.col("_n"), "_cum", "sum")
-    totals = hist.groupBy(*by).agg(F.sum("_n").alias("n"))
-    picked = cum.join(totals, by).groupBy(*by).agg(
+    cum = running(hist, by, ["_v"], F.floor(F.col("_v") / F.lit(width)), F.col("_n"), "_cum", "sum",
+                  total="n")
+    picked = cum.groupBy(*by).agg(
         F.first("n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
         *[F.min(F.when(F.col("_cum") >= rank, F.col("_v"))).alias(name)
           for name, rank in ranks.items()])

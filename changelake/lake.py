@@ -23,12 +23,14 @@ from pyspark.sql import types as T
 from changelake.functions.schema import META, META_FIELDS, Evolution, evolve
 from changelake.operators import versions as ops
 from changelake.operators.changes import alive, change_order, fold, latest_per_key
-from changelake.session import SMALL_SIDE_BYTES
+from changelake.session import SMALL_SIDE_BYTES, estimated_bytes
 from changelake.sources.files import Files
 
 INTERNAL_FIELDS = [T.StructField("_offset", T.LongType()), T.StructField("_version", T.LongType())]
 SYSTEM = [*META, *[f.name for f in INTERNAL_FIELDS]]
 COMMIT_TRIES = 6
+# Bloom filters of the key cost up to 1 MB per file: only for bases of large files.
+KEY_FILTER_BYTES = 1024 * 1024 * 1024
 
 LOG_SCHEMA = (
     "version long, parent long, committed_at timestamp, operation string, "
@@ -292,7 +294,7 @@ class ChangeTable:
         listed = self.versions()[-depth:]
         frame = self.kept_changes(self.commit_at(listed[0]), newest)
         wanted = frame.where(F.col(newest.pks[0]).isin(list(keys)))
-        return ops.row_history(wanted, newest.pks, listed)
+        return ops.row_history(wanted, newest.pks, listed).orderBy(*newest.pks, F.desc("version"))
 
     def diff(self, older: int, newer: int) -> DataFrame:
         """Inserted, updated and deleted rows between two versions."""
@@ -308,11 +310,16 @@ class ChangeTable:
         return self.head().version + 1 if self.exists() else 0
 
     def write_folder(self, df: DataFrame, kind: str, version: int | str, pks: list[str],
-                     partition_by: str | None = None) -> tuple[str, dict]:
+                     partition_by: str | None = None, key_filters: bool = False) -> tuple[str, dict]:
         """Write one base or change folder and return its relative path and measures."""
         seen = Observation()
         path = f"{kind}/version={version}"
         writer = df.observe(seen, *measures(pks)).write.mode("overwrite").option("compression", "zstd")
+        if key_filters:
+            # key lookups skip row groups by Bloom filter, whatever column the rows are sorted by
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+            for key in pks:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/{path}")
         stats = dict(seen.get)
         for bound in ("low", "high"):
@@ -333,7 +340,8 @@ class ChangeTable:
                              F.current_timestamp().alias("_ingested_at"),
                              F.lit(0).cast("long").alias("_offset"),
                              F.lit(version).cast("long").alias("_version"))
-            path, stats = self.write_folder(rows, "base", version, pks)
+            path, stats = self.write_folder(rows, "base", version, pks,
+                                            key_filters=estimated_bytes(df) >= KEY_FILTER_BYTES)
             same = parent is not None and parent.schema_json == schema.json()
             schema_id = 0 if parent is None else parent.schema_id + (0 if same else 1)
             return self.publish(Commit(

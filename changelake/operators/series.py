@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import ratio
-from changelake.functions.stats import index_rank, order_statistics, running, trailing
+from changelake.functions.stats import chunk_seconds_for, index_rank, order_statistics, running, trailing
 
 # Sampling step, how long a sample stays valid, delta and clipping parameters.
 STEP_SECONDS, LOOKBACK_SECONDS = 15, 300
@@ -70,11 +70,12 @@ def label_sum(df: DataFrame, keys: list[str], hidden: Column | None = None) -> D
 
 
 def counter_rate(df: DataFrame, keys: list[str], order: list[str], window_seconds: int = 120,
-                 chunk_seconds: int = 86_400) -> DataFrame:
+                 chunk_seconds: int | None = None) -> DataFrame:
     """Increase of a counter per second in windows of the given length.
 
     A value below its predecessor means the counter restarted: it counts from zero.
     """
+    chunk_seconds = chunk_seconds or chunk_seconds_for(df, keys, "ts")
     chunk = F.floor(micros_of("ts") / F.lit(chunk_seconds * 1_000_000))
     with_prev = running(df, keys, order, chunk, F.col("value"), "_prev", "last", inclusive=False)
     grown = F.when(F.col("value") < F.col("_prev"), F.col("value")) \

@@ -73,7 +73,7 @@ def except_rows(a: DataFrame, b: DataFrame, keep_duplicates: bool = False) -> Da
 
 
 def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> DataFrame:
-    """The row of every key at each of the given versions (NULL where absent), newest first.
+    """The row of every key at each of the given versions (NULL where absent).
 
     Each change counts for the oldest listed version that includes it, so a key keeps at most
     one row per listed version before the states are carried forward.
@@ -92,8 +92,7 @@ def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> Data
     newest = F.array_max(F.transform(past, lambda s: F.struct(
         s["_ord"].alias("o"), s["row"].alias("r"))))["r"]
     live = F.when(newest["_cdc_op"] != "d", newest)
-    return (at.select(*pks, "version", live.alias("row"))
-            .orderBy(*pks, F.desc("version")))
+    return at.select(*pks, "version", live.alias("row"))
 
 
 def history_changes(history: DataFrame, pks: list[str]) -> DataFrame:

@@ -919,7 +919,9 @@ SELECT o_orderkey, CASE WHEN op <> 'd' THEN o_custkey END AS o_custkey,
   TIMESTAMP '2024-01-01 00:00:00' + version * INTERVAL 1 HOUR - INTERVAL 2 SECOND AS _cdc_source_ts,
   off AS _offset, 0 AS _rejects FROM chg""")
 def _decode(spark, d):
-    records = envelope.text_records(raw_records(spark, d))
+    landed_at = f"{shared_dir(spark, 'decode')}/raw"
+    raw_records(spark, d).write.parquet(landed_at)
+    records = envelope.text_records(spark.read.schema(envelope.RAW_SCHEMA).parquet(landed_at))
     shape = envelope.sniff(records)[0]
     return envelope.decode(records, shape.fields, shape.pks).drop("_ingested_at")
 

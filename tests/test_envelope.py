@@ -58,7 +58,7 @@ def test_rejects_are_counted(spark):
     price = {"field": "p", "type": "string", "parameters": {PARAM_TYPE: "NUMERIC", PARAM_LENGTH: "4", PARAM_SCALE: "2"}}
     rows = [record("t.s.t", 0, [K, price, INT], change("c", 1, {"k": 1, "p": "12345.6", "i": 2**40}), {"k": 1}),
             record("t.s.t", 1, [K, price, INT], change("c", 2, {"k": 2, "p": "1.5", "i": None}), {"k": 2})]
-    raw = spark.createDataFrame(rows, env.RAW_SCHEMA)
+    raw = env.text_records(spark.createDataFrame(rows, env.RAW_SCHEMA))
     shape = env.sniff(raw)[0]
     out = env.decode(raw, shape.fields, shape.pks).orderBy("k").collect()
     assert [(r.p, r.i, r._rejects) for r in out][0] == (None, None, 2)
@@ -69,7 +69,7 @@ def test_schemas_of_several_partitions_follow_the_log(spark):
     old, new = [K, {"field": "a", "type": "int32"}], [K, {"field": "a", "type": "int64"}]
     rows = [record("t.s.t", 900, old, change("c", 10, {"k": 1, "a": 1}), {"k": 1}, partition=0),
             record("t.s.t", 3, new, change("c", 20, {"k": 2, "a": 2**40}), {"k": 2}, partition=1)]
-    shape = env.sniff(spark.createDataFrame(rows, env.RAW_SCHEMA))[0]
+    shape = env.sniff(env.text_records(spark.createDataFrame(rows, env.RAW_SCHEMA)))[0]
     assert shape.schema["a"].dataType.simpleString() == "bigint"  # by offset the old one would win
 
 
@@ -77,7 +77,7 @@ def test_round_trip_of_all_types(spark):
     df = spark.sql("""SELECT 1L AS k, 7 AS i, 1.5D AS f, true AS b, date'1995-01-01' AS d,
         timestamp_ntz'2023-11-14 22:13:20.123456' AS t, timestamp'2026-10-06 08:00:00.5' AS z,
         cast(12.30 as decimal(12,2)) AS p, 'quo"te, ünïcode' AS s, cast('hi' as binary) AS y, cast(null as string) AS n""")
-    raw = env.encode(df, ["k"], "pg.shop.x", F.lit("c"), F.lit(3), F.lit(9), F.lit(1700000000000))
+    raw = env.text_records(env.encode(df, ["k"], "pg.shop.x", F.lit("c"), F.lit(3), F.lit(9), F.lit(1700000000000)))
     shape = env.sniff(raw)[0]
     back = env.decode(raw, shape.fields, shape.pks)
     assert [f.dataType for f in back.select(*df.columns).schema] == [f.dataType for f in df.schema]
