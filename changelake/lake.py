@@ -123,8 +123,12 @@ class ChangeTable:
         return self._head is not None or bool(self.versions())
 
     def head(self) -> Commit:
-        """Newest commit. A cached head stays valid while the next version is not published."""
-        if self._head and not self.files.exists(self._commit_file(self._head.version + 1)):
+        """Newest commit. A cached head stays valid while it is kept and has no successor.
+
+        (When maintenance elsewhere has also expired the successor, the cached one is gone too.)
+        """
+        here = lambda v: self.files.exists(self._commit_file(v))
+        if self._head and not here(self._head.version + 1) and here(self._head.version):
             return self._head
         found = self.versions()
         if not found:

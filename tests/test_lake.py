@@ -191,3 +191,14 @@ def test_plan_of_a_month_scan(spark, folder):
     assert "LeftAnti" in plan and "SortMergeJoin" not in plan  # the base is not shuffled
     assert df.count() == 20
     assert fold([table.changes(table.head())], ["k"]).count() == 1
+
+
+def test_a_cached_head_notices_expiry_elsewhere(spark, folder):
+    reader, writer = Lake(spark, folder).table("shop.t"), Lake(spark, folder).table("shop.t")
+    writer.append(changes(spark, [(1, "a", "2020-01-01", "c", 1, 1)]), SCHEMA, ["k"])
+    assert reader.current().count() == 1  # caches version 0
+    writer.append(changes(spark, [(2, "b", "2020-01-01", "c", 2, 2)]), SCHEMA, ["k"])
+    layout.maintain(spark, folder, ["shop.t"], compaction=True)
+    layout.expire(writer, older_than_minutes=0, retain_last=1)
+    assert writer.versions() == [2] and reader.head().version == 2
+    assert reader.current().count() == 2
