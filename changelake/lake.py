@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelake.functions.schema import META, META_FIELDS, Evolution, evolve
+from changelake.functions.schema import META, META_FIELDS, Evolution, evolve, named
 from changelake.operators import versions as ops
 from changelake.operators.changes import alive, change_order, fold, latest_per_key
 from changelake.session import SMALL_SIDE_BYTES, estimated_bytes
@@ -94,7 +94,7 @@ def utc_text(moment: datetime | None = None) -> str:
 def measures(pks: list[str]) -> list[Column]:
     """Aggregates observed while a change set or base is written."""
     key_size = reduce(lambda a, b: a + b, [
-        F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in pks])
+        F.coalesce(F.octet_length(named(k).cast("string")), F.lit(0)) + 16 for k in pks])
     order = F.struct(F.coalesce("_cdc_lsn", F.lit(0)), F.coalesce("_offset", F.lit(0)), F.col("_version"))
     op = F.col("_cdc_op")
     return [F.count(F.lit(1)).alias("rows"), F.sum(key_size.cast("long")).alias("key_bytes"),
@@ -108,7 +108,7 @@ class ChangeTable:
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name = spark, name
-        self.path = f"{root.rstrip('/')}/{name.replace('.', '/')}"
+        self.path = f"{root.rstrip('/')}/{name.replace('.', '/', 1)}"
         self.files = Files(spark, root)
         self._head: Commit | None = None
 
@@ -183,9 +183,9 @@ class ChangeTable:
             schema = T.StructType([*schema.fields, T.StructField(month, T.StringType())])
             columns.append(month)
         reader = self.spark.read.schema(schema).option("basePath", self.path)
-        frame = reader.parquet(*[f"{self.path}/{p}" for p in paths]).select(*columns)
+        frame = reader.parquet(*[f"{self.path}/{p}" for p in paths]).select(*named(columns))
         if month and not partitioned:
-            frame = frame.withColumn(month, month_of(F.col(commit.properties["month_source"])))
+            frame = frame.withColumn(month, month_of(named(commit.properties["month_source"])))
         return frame
 
     def base(self, commit: Commit) -> DataFrame:
@@ -196,7 +196,7 @@ class ChangeTable:
 
     def touched_keys(self, commit: Commit) -> DataFrame:
         """Keys with changes; broadcast only while the measured key bytes are small."""
-        keys = self.changes(commit).select(*commit.pks).distinct()
+        keys = self.changes(commit).select(*named(commit.pks)).distinct()
         return F.broadcast(keys) if commit.key_bytes <= SMALL_SIDE_BYTES else keys
 
     def state(self, commit: Commit) -> DataFrame:
@@ -221,7 +221,7 @@ class ChangeTable:
 
     def _visible(self, df: DataFrame, commit: Commit, system: bool) -> DataFrame:
         names = [f.name for f in commit.schema]
-        return df.select(*names, *(SYSTEM if system else META))
+        return df.select(*named([*names, *(SYSTEM if system else META)]))
 
     def current(self, system: bool = False) -> DataFrame:
         """The table as of the newest commit."""
@@ -282,11 +282,11 @@ class ChangeTable:
 
     def kept_changes(self, oldest: Commit, newest: Commit) -> DataFrame:
         """The base of one version and every kept change up to another, as one change frame."""
-        named = (self.log().where(F.col("version").between(oldest.version, newest.version))
+        found = (self.log().where(F.col("version").between(oldest.version, newest.version))
                  .select(F.explode("change_paths").alias("path")).distinct().collect())
-        paths = sorted(r.path for r in named)
+        paths = sorted(r.path for r in found)
         frame = self.read_paths(newest, paths)
-        names = self._file_schema(newest).names
+        names = named(self._file_schema(newest).names)
         if not oldest.base_paths:
             return frame.select(*names)
         old_base = replace(newest, properties=oldest.properties, base_paths=oldest.base_paths)
@@ -297,15 +297,15 @@ class ChangeTable:
         newest = self.head()
         listed = self.versions()[-depth:]
         frame = self.kept_changes(self.commit_at(listed[0]), newest)
-        wanted = frame.where(F.col(newest.pks[0]).isin(list(keys)))
-        return ops.row_history(wanted, newest.pks, listed).orderBy(*newest.pks, F.desc("version"))
+        wanted = frame.where(named(newest.pks[0]).isin(list(keys)))
+        return ops.row_history(wanted, newest.pks, listed).orderBy(*named(newest.pks), F.desc("version"))
 
     def diff(self, older: int, newer: int) -> DataFrame:
         """Inserted, updated and deleted rows between two versions."""
         a, b = self.commit_at(older), self.commit_at(newer)
         frame = self.kept_changes(a, b)
         # only keys changed in between can differ; the others leave before the aggregation
-        moved = frame.where(F.col("_version") > older).select(*b.pks).distinct()
+        moved = frame.where(F.col("_version") > older).select(*named(b.pks)).distinct()
         touched = frame.join(moved, b.pks, "left_semi")
         return ops.diff(touched, b.pks, older, newer)
 
@@ -338,7 +338,7 @@ class ChangeTable:
             parent = self.head() if self.exists() else None
             schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema
                                    if f.name not in SYSTEM])
-            rows = df.select(*schema.names, F.lit("r").alias("_cdc_op"),
+            rows = df.select(*named(schema.names), F.lit("r").alias("_cdc_op"),
                              F.current_timestamp().alias("_cdc_source_ts"),
                              F.lit(lsn).cast("long").alias("_cdc_lsn"),
                              F.current_timestamp().alias("_ingested_at"),
@@ -377,7 +377,7 @@ class ChangeTable:
             version = self.next_version()
             parent = self.head() if self.exists() else Commit(-1, None, "", "", "", pks, schema_id=-1)
             have = set(changes.columns)
-            cols = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            cols = [named(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
                     for f in [*schema.fields, *META_FIELDS, INTERNAL_FIELDS[0]]]
             path, stats = self.write_folder(
                 changes.select(*cols, F.lit(version).cast("long").alias("_version")),

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.functions.schema import named, quote
+
 # The operations that change rows (create, snapshot read, update, delete).
 ROW_OPS = ["c", "r", "u", "d"]
 INSERT_OPS = ["c", "r"]
@@ -34,14 +36,15 @@ def latest_per_key(df: DataFrame, pks: list[str], order: Column | None = None) -
     """
     rest = [c for c in df.columns if c not in pks]
     order = change_order(df.columns) if order is None else order
-    newest = df.groupBy(*pks).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return newest.select(*pks, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    newest = df.groupBy(*named(pks)).agg(F.max_by(F.struct(*named(rest)), order).alias("_row"))
+    return newest.select(*[named(c) if c in pks else F.col("_row").getField(c).alias(c)
+                           for c in df.columns])
 
 
 def latest_per_key_window(df: DataFrame, pks: list[str], order: Column | None = None) -> DataFrame:
     """Same rows by row_number() = 1, which Spark also limits per key before the shuffle."""
     order = change_order(df.columns) if order is None else order
-    w = Window.partitionBy(*pks).orderBy(order.desc())
+    w = Window.partitionBy(*named(pks)).orderBy(order.desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -62,10 +65,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, pks: list[str]) -> Data
     inserted unless they delete. ``changes`` must hold one row per key (``latest_per_key``).
     """
     t, s = target.alias("t"), changes.withColumn("_hit", F.lit(True)).alias("s")
-    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in pks]
+    of = lambda side, c: F.col(f"{side}.{quote(c)}")
+    on = [of("t", k) == of("s", k) for k in pks]
     hit = F.col("s._hit").isNotNull()
-    cols = [F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in changes.columns
-            else F.col(f"t.{c}") for c in target.columns]
+    cols = [F.when(hit, of("s", c)).otherwise(of("t", c)).alias(c) if c in changes.columns
+            else of("t", c) for c in target.columns]
     return (t.join(s, on, "full_outer")
             .where(F.coalesce(F.col("s._cdc_op"), F.lit("")) != "d")
             .select(*cols))

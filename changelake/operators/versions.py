@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import same_value
-from changelake.functions.schema import META
+from changelake.functions.schema import META, named
 from changelake.operators.changes import alive, change_order, latest_per_key
 
 
@@ -37,7 +37,7 @@ def data_columns(df: DataFrame, pks: list[str]) -> list[str]:
 def changed_column_names(df: DataFrame, old: str, new: str, columns: list[str]) -> Column:
     """Names of the columns whose values differ (null-safe) between two row structs."""
     return F.array_compact(F.array(*[
-        F.when(~F.col(old)[c].eqNullSafe(F.col(new)[c]), F.lit(c)) for c in columns]))
+        F.when(~F.col(old).getField(c).eqNullSafe(F.col(new).getField(c)), F.lit(c)) for c in columns]))
 
 
 def diff(changes: DataFrame, pks: list[str], older: int, newer: int) -> DataFrame:
@@ -47,9 +47,9 @@ def diff(changes: DataFrame, pks: list[str], older: int, newer: int) -> DataFram
     """
     cols = data_columns(changes, pks)
     order = change_order(changes.columns)
-    state = F.struct("_cdc_op", *cols)
+    state = F.struct("_cdc_op", *named(cols))
     upto = lambda v: F.max_by(state, F.when(F.col("_version") <= v, order))
-    both = changes.where(F.col("_version") <= newer).groupBy(*pks).agg(
+    both = changes.where(F.col("_version") <= newer).groupBy(*named(pks)).agg(
         upto(older).alias("old"), upto(newer).alias("new"), F.max("_version").alias("_last"))
     live = lambda s: F.col(s).isNotNull() & (F.col(f"{s}._cdc_op") != "d")
     kind = (F.when(live("old") & ~live("new"), "deleted")
@@ -62,7 +62,7 @@ def diff(changes: DataFrame, pks: list[str], older: int, newer: int) -> DataFram
             .withColumn("changed_columns", names)
             .where(F.col("change").isNotNull()
                    & ((F.col("change") != "updated") | (F.size("changed_columns") > 0)))
-            .select(*pks, "change", "changed_columns",
+            .select(*named(pks), "change", "changed_columns",
                     F.when(live("old"), F.col("old")).alias("old"),
                     F.when(live("new"), F.col("new")).alias("new")))
 
@@ -83,16 +83,16 @@ def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> Data
     order = change_order(changes.columns)
     slot = F.try_element_at(F.filter(marks, lambda m: m >= F.col("_version")), F.lit(1))
     at_mark = (changes.withColumn("_mark", slot).where(F.col("_mark").isNotNull())
-               .groupBy(*pks, "_mark").agg(F.max_by(F.struct("_version", *cols), order).alias("row"),
+               .groupBy(*named([*pks, "_mark"])).agg(F.max_by(F.struct("_version", *named(cols)), order).alias("row"),
                                            F.max(order).alias("_ord")))
-    grid = at_mark.groupBy(*pks).agg(F.array_sort(F.collect_list(
+    grid = at_mark.groupBy(*named(pks)).agg(F.array_sort(F.collect_list(
         F.struct("_mark", "_ord", "row"))).alias("_states"))  # at most one entry per listed version
-    at = grid.select(*pks, "_states", F.explode(marks).alias("version"))
+    at = grid.select(*named(pks), "_states", F.explode(marks).alias("version"))
     past = F.filter("_states", lambda s: s["_mark"] <= F.col("version"))
     newest = F.array_max(F.transform(past, lambda s: F.struct(
         s["_ord"].alias("o"), s["row"].alias("r"))))["r"]
     live = F.when(newest["_cdc_op"] != "d", newest)
-    return at.select(*pks, "version", live.alias("row"))
+    return at.select(*named(pks), "version", live.alias("row"))
 
 
 def history_changes(history: DataFrame, pks: list[str]) -> DataFrame:
@@ -121,7 +121,7 @@ def erase_changes(rows: DataFrame, pks: list[str], lsn: Column, source_ts: Colum
     out = []
     for f in rows.schema:
         if f.name in pks:
-            out.append(F.col(f.name))
+            out.append(named(f.name))
         elif f.name not in META and not f.name.startswith("_"):
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
     return rows.select(*out, F.lit("d").alias("_cdc_op"), source_ts.alias("_cdc_source_ts"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelake.functions.schema import (
-    PARAM_LENGTH, PARAM_SCALE, PARAM_TYPE, convert, merge_fields, raw_type, target_type)
+    PARAM_LENGTH, PARAM_SCALE, PARAM_TYPE, convert, merge_fields, named, raw_type, target_type)
 from changelake.operators.changes import ROW_OPS
 
 # Record schema and the text that separates schema and payload of an envelope.
@@ -177,7 +177,7 @@ def describe(field: T.StructField) -> dict:
 
 def wire_value(name: str, dtype: T.DataType) -> Column:
     """Typed value to the form it has in the JSON payload."""
-    c = F.col(name)
+    c = named(name)
     match dtype:
         case T.DateType():
             return F.unix_date(c)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from changelake import Lake
 from changelake.operators import metrics, quality
 from changelake.operators.changes import fold
+from changelake.plans import layout
 from changelake.sources import envelope, generate, raw, tables
 from changelake.streaming.ingest import Ingest, batch_ranges, run
 from tests.conftest import SF
@@ -145,3 +146,35 @@ def test_sampling(spark):
     found = generate.erasure_candidates(src("customer"), src("orders"), seed=1)
     assert 0 < found.count() <= 50
     assert found.join(src("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").count() == 0
+
+
+def test_odd_names(spark, folder):
+    """Columns, keys and tables may carry dots, blanks, quotes and reserved words."""
+    df = spark.range(6).select(F.col("id").alias("the.key"), F.lit("x").alias("a b.c"), F.lit(1).alias("order"),
+                               F.lit("y").alias("tick`s"))
+    rec = lambda d, op, at: envelope.encode(d, ["the.key"], "pg.shop.odd.name", F.lit(op), F.lit(at), F.lit(at), F.lit(0))
+    ingest = Ingest(spark, f"{folder}/lake", stream_id="s")
+    ingest(rec(df, "c", 1), 0)
+    ingest(rec(df.where("`the.key` < 2").withColumn("a b.c", F.lit("z")), "u", 2)
+           .unionByName(rec(df.where("`the.key` = 5"), "d", 3)), 1)
+    table = Lake(spark, f"{folder}/lake").table("shop.odd.name")
+    rows = {r["the.key"]: r["a b.c"] for r in table.current().collect()}
+    assert rows == {0: "z", 1: "z", 2: "x", 3: "x", 4: "x"}
+    assert {(r["the.key"], r.change) for r in table.diff(0, 1).collect()} == {(0, "updated"), (1, "updated"), (5, "deleted")}
+    layout.compact(table, rewrite_all=True)
+    table.erase(F.col("`the.key`") == 0)
+    assert table.current().count() == 4 and table.row_history([0]).count() == 4
+    assert Lake(spark, f"{folder}/lake").names("shop") == ["shop.odd.name"]
+
+
+def test_empty_inputs(spark, folder):
+    lake = Lake(spark, f"{folder}/lake")
+    table = lake.table("shop.none")
+    table.bootstrap(spark.createDataFrame([], "k long, a string"), ["k"])
+    assert table.current().count() == 0 and table.head().version == 0
+    table.erase(F.col("k") == 1)
+    assert table.head().version == 0
+    layout.compact(table, rewrite_all=True)
+    assert table.current().count() == 0
+    Ingest(spark, f"{folder}/lake", stream_id="s")(spark.createDataFrame([], envelope.RAW_SCHEMA), 0)
+    assert lake.names() == ["shop.none"]
