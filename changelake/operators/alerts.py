@@ -13,12 +13,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelake.functions.stats import running
+from changelake.functions.stats import SPARSE_BYTES, running
 from changelake.operators.series import LOOKBACK_SECONDS, STEP_SECONDS, label_key, resample
+from changelake.session import is_small, shared_dir
 
 MB = 1024 * 1024
 
 
+def written_once(df: DataFrame, by: str) -> DataFrame:
+    """The frame as a table in the shared folder, split by a column: every rule reads its part
+    instead of resampling again."""
+    path = shared_dir(df.sparkSession, "grid")
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 class Grid:
     """Series resampled to the grid: metric, labels, ts, value."""
 
@@ -26,8 +35,9 @@ class Grid:
         self.step = step
         named = series.withColumn("_key", label_key(F.col("labels")))
         names = named.groupBy("metric", "_key").agg(F.any_value("labels").alias("labels"))
-        self.samples = resample(named.select("metric", "_key", "ts", "value"), ["metric", "_key"],
-                                step, lookback).join(names, ["metric", "_key"])
+        samples = resample(named.select("metric", "_key", "ts", "value"), ["metric", "_key"],
+                           step, lookback).join(names, ["metric", "_key"])
+        self.samples = samples if is_small(series, SPARSE_BYTES) else written_once(samples, "metric")
 
     def where(self, metric: str, condition: Column) -> DataFrame:
         """Steps at which a metric meets a condition: labels, ts."""

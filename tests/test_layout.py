@@ -84,6 +84,8 @@ def test_stats_of_live_files(spark, folder):
     got = {r.content: (r.files, r.records) for r in suite.n3(table).collect()}
     assert got[0][1] == 30 and got[1][1] == 1
     assert suite.n2(table).count() == 4
+    props = {r.key: r.value for r in table.properties().collect()}
+    assert props == {"primary-key": "k", "schema-id": "0", "month-column": "month"}
     kinds = {(r.table_name, r.kind) for r in layout.storage(lake, "shop").collect()}
     assert kinds == {("t", "data"), ("t", "metadata")}
     assert files.file_metadata(table.base(table.head())).agg(F.sum("record_count")).first()[0] == 30

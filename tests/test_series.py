@@ -69,6 +69,15 @@ def test_resample_lookback_and_carry(spark):
     assert got == want
 
 
+def test_dense_series_get_short_chunks(spark, monkeypatch):
+    df = frame(spark, [("hot", at(i / 10), 1.0) for i in range(2000)] + [("b", at(5000), 1.0)])
+    assert stats.chunk_seconds_for(df, ["k"], "ts") == 86_400
+    monkeypatch.setattr(stats, "SPARSE_BYTES", 0)
+    monkeypatch.setattr(stats, "ROWS_PER_CHUNK", 100)
+    assert stats.chunk_seconds_for(df, ["k"], "ts") == 180  # 2000 rows in the densest hour
+    assert series.counter_rate(df, ["k"], ["ts"], 120).count() == 3
+
+
 def test_counter_rate_with_restart(spark):
     df = frame(spark, [("c", at(0), 10.0), ("c", at(60), 40.0), ("c", at(119), 5.0), ("c", at(130), 7.0)])
     got = {sec(r.window_start): (r.increase, r.rate) for r in series.counter_rate(df, ["k"], ["ts"], 120).collect()}
@@ -118,7 +127,9 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp, value double")
 
 
-def test_standard_alert_rules(spark):
+@pytest.mark.parametrize("written", [False, True])
+def test_standard_alert_rules(spark, monkeypatch, written):
+    monkeypatch.setattr(alerts, "is_small", lambda df, limit: not written)
     steps = range(0, 1200, 15)
     rows = [("lakehouse_cdc_freshness_seconds", {}, at(s), 500.0 if 300 <= s < 600 else 1.0) for s in steps]
     # the connector metric disappears after 900 s (samples stay valid for 300 s) and is 0 around 450 s
