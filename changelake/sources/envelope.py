@@ -45,17 +45,21 @@ def text_records(raw: DataFrame) -> DataFrame:
     Cutting is far cheaper than parsing whole records: the schema texts repeat and only the
     payloads, a fraction of each record, are parsed. Texts of another form give NULL.
     """
-    def cut(column: str) -> Column:
-        text = F.col(column).cast("string")
-        parts = F.split(text, PAYLOAD_MARK, 2)
-        return F.when(text.startswith(SCHEMA_MARK) & (F.size(parts) == 2), parts)
-
+    text = {c: F.col(c).cast("string") for c in ("key", "value")}
     pieces = raw.where(F.col("value").isNotNull()).select(
-        "topic", "partition", "offset", cut("key").alias("_k"), cut("value").alias("_v"))
+        "topic", "partition", "offset",
+        *[F.split(text[c], PAYLOAD_MARK, 2).alias(f"_{c}") for c in text],
+        *[text[c].startswith(SCHEMA_MARK).alias(f"_{c}_form") for c in text])
+
+    def piece(column: str, index: int) -> Column:
+        whole = F.col(f"_{column}_form") & (F.size(f"_{column}") == 2)
+        return F.when(whole, F.get(f"_{column}", F.lit(index)))
+
     # the closing brace of the envelope stays behind the payload; JSON readers stop before it
     return pieces.select(
-        "topic", "partition", "offset", F.col("_k")[0].alias("key_schema"), F.col("_k")[1].alias("key_payload"),
-        F.col("_v")[0].alias("value_schema"), F.col("_v")[1].alias("value_payload"))
+        "topic", "partition", "offset",
+        piece("key", 0).alias("key_schema"), piece("key", 1).alias("key_payload"),
+        piece("value", 0).alias("value_schema"), piece("value", 1).alias("value_payload"))
 
 
 def parse_schema(text: str) -> dict:
@@ -122,9 +126,12 @@ def decode(records: DataFrame, fields: list[dict], pks: list[str],
         T.StructField("source", T.StructType.fromDDL("ts_ms long, lsn long")),
         T.StructField("after", struct_of(fields))])
     key = struct_of([f for f in fields if f["field"] in pks])
-    events = (records.select("offset", F.from_json("value_payload", payload).alias("e"),
-                             F.from_json("key_payload", key).alias("k"))
-              .where(F.col("e.op").isin(ROW_OPS)))
+    # the one-element explode keeps the filter on op above the parse; moved below it, every
+    # payload would be parsed twice
+    parsed = records.select("offset", "key_payload",
+                            F.explode(F.array(F.from_json("value_payload", payload))).alias("e"))
+    events = (parsed.where(F.col("e.op").isin(ROW_OPS))
+              .select("offset", "e", F.from_json("key_payload", key).alias("k")))
 
     types = {f.name: f.dataType for f in table_schema} if table_schema else {}
     columns, rejects = [], F.lit(0)
