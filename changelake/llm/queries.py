@@ -62,3 +62,24 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     from changelake.llm.lines import dedup_lines
     return dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---- 5. Token counts ------------------------------------------------------------------------
+
+@query("op5_token_counts")
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+    from changelake.llm.token_count import count_tokens
+    return count_tokens(table(spark, folder, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
+# ---- 9. Byte-level BPE encoding and decoding --------------------------------------------------
+
+@query("op9_byte_bpe")
+def _byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+    from changelake.llm import bytebpe
+    ranks = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, folder, "documents"), ranks, tokenizers.PATTERN)
+    return bytebpe.decode(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
