@@ -83,3 +83,37 @@ def _byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bytebpe.encode(table(spark, folder, "documents"), ranks, tokenizers.PATTERN)
     return bytebpe.decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- 2. Benchmark decontamination -------------------------------------------------------------
+
+@query("op2_decontaminate", r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item_id, least(len(w), 10) AS k,
+              unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS p
+            FROM b WHERE len(w) > 0),
+windows AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i,
+              unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p
+            FROM d, (SELECT DISTINCT k FROM phrases) WHERE len(w) >= k),
+hits AS (SELECT doc_id, i, w.k, item_id FROM windows w JOIN phrases USING (k, p)),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (
+                SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+            SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""")
+def _decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm import decontaminate
+    found = decontaminate.find(table(spark, folder, "documents").select("doc_id", "text"),
+                               table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
