@@ -142,3 +142,25 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp c ON c.doc_id
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from changelake.llm.neardup import near_duplicates
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# ---- 6. Substring dedup -----------------------------------------------------------------------
+
+@query("op6_substring_dedup", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+              unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS t
+            FROM w WHERE len(w) >= 50),
+first AS (SELECT t, min(doc_id) AS lo FROM windows GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN first USING (t) WHERE doc_id > lo),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id LEFT JOIN counts c ON w.doc_id = c.doc_id""")
+def _substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

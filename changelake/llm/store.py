@@ -18,10 +18,10 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in the (materialised, distinct) one-column frame ``ids``: by a broadcast
-    if the ids were counted and are few, else by a shuffled join."""
+def only_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose key is in the (materialised, distinct) one-column frame ``ids``, or is not
+    (``left_anti``): by a broadcast if the ids were counted and are few, else by a shuffled join."""
     name = ids.columns[0]
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = ids.withColumnRenamed(name, "_wanted_id")
-    return df.join(F.broadcast(side) if few else side, df[key] == F.col("_wanted_id"), "left_semi")
+    return df.join(F.broadcast(side) if few else side, df[key] == F.col("_wanted_id"), how)
