@@ -164,3 +164,19 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
     from changelake.llm.substrings import remove_repeats
     return remove_repeats(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---- 8. Toxicity ------------------------------------------------------------------------------
+
+def fold(modulus: int, key: str = "doc_id"):
+    """The remainder that splits training from held-out rows."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+
+
+@query("op8_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm import toxicity
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(fold(5) != 0)
+    model = toxicity.train(toxicity.labelled_texts(docs, labels))
+    return model.score(docs).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "ratio", "evidence")
