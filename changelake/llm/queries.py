@@ -180,3 +180,14 @@ def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(fold(5) != 0)
     model = toxicity.train(toxicity.labelled_texts(docs, labels))
     return model.score(docs).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "ratio", "evidence")
+
+
+# ---- 3. Language identification ---------------------------------------------------------------
+
+@query("op3_language")
+def _language(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm import language
+    docs = table(spark, folder, "documents")
+    dictionaries = language.train(docs.where(fold(3) != 1).select("text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), dictionaries).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
