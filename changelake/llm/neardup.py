@@ -1,8 +1,8 @@
 """MinHash near-duplicates with odd sketches.
 
 1. One pass over the documents gives each the size of its shingle set, a 128-bit fingerprint of the set,
-   BANDS x ROWS MinHash samples folded into band hashes, and an odd sketch: a bitmap in which each sample
-   flips one bit. The pass's result is the only table that all later steps read; text is not shuffled.
+   MinHash samples of which BANDS x ROWS are folded into band hashes, and an odd sketch: a bitmap in which
+   each sample flips one bit. The pass's result is the only table that all later steps read; text is not shuffled.
 2. Documents with equal sets are one class and go on as its smallest doc_id.
 3. Classes that share a band hash are candidates. They are compared in rounds: the smallest member of
    each band group (the hub) with those that are not yet in its component; after HUB_ROUNDS rounds the
@@ -37,9 +37,10 @@ from changelake.llm.text import Words, mix, span_hash, starts_of_windows, window
 
 SHINGLE = 5
 BANDS, ROWS = 50, 6
-SKETCH_BITS = 1024
+SAMPLES = 600
+SKETCH_BITS = 2048
 THRESHOLD = 75                # per cent
-SLACK = 0.2
+SLACK = 0.08
 HUB_ROUNDS = 2
 
 
@@ -61,20 +62,19 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 def signatures(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band hashes, odd sketches) of documents with at least one shingle."""
     begin, n = bounds[:-1], len(bounds) - 1
-    samples = BANDS * ROWS
     # multiply-add permutations of the upper half of each hash; the multipliers are odd
-    rng = mix(np.arange(1, 2 * samples + 1, dtype=np.uint64))
-    times, plus = (rng[:samples] | np.uint64(1)).astype(np.uint32), rng[samples:].astype(np.uint32)
+    rng = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
+    times, plus = (rng[:SAMPLES] | np.uint64(1)).astype(np.uint32), rng[SAMPLES:].astype(np.uint32)
     x = (value >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((samples, n), np.uint32)
+    least = np.empty((SAMPLES, n), np.uint32)
     with np.errstate(over="ignore"):
         buffer = np.empty_like(x)
-        for i in range(samples):
+        for i in range(SAMPLES):
             np.multiply(x, times[i], out=buffer)
             buffer += plus[i]
             least[i] = np.minimum.reduceat(buffer, begin)
-        wide = mix(least.astype(np.uint64) + (np.arange(samples, dtype=np.uint64) << np.uint64(32))[:, None])
-        bands = mix(wide.reshape(BANDS, ROWS, n).sum(axis=1, dtype=np.uint64)
+        wide = mix(least.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))[:, None])
+        bands = mix(wide[:BANDS * ROWS].reshape(BANDS, ROWS, n).sum(axis=1, dtype=np.uint64)
                     + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
     bits = np.zeros((n, SKETCH_BITS), np.uint8)
     row = np.arange(n)
@@ -137,19 +137,37 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def sketch_similarity(x: Column, y: Column) -> Column:
     """Similarity estimated from two odd sketches: 1 + n / 4k * ln(1 - 2z / n), z differing bits."""
     z = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    n, k = float(SKETCH_BITS), float(BANDS * ROWS)
+    n, k = float(SKETCH_BITS), float(SAMPLES)
     return F.when(z * 2 < SKETCH_BITS, 1 + F.log(1 - 2 * z / n) * (n / (4 * k))).otherwise(F.lit(0.0))
 
 
+def may_be_near(a: str, b: str) -> Column:
+    """False for pairs that set sizes or sketches put well below the threshold."""
+    x, y = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * THRESHOLD) & (
+        sketch_similarity(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= THRESHOLD / 100 - SLACK)
+
+
+def all_left(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of band partners in different components that may be near, each in the first band that
+    it shares."""
+    wide = placed.select("band", "nth", "doc_id", "component").join(known, "doc_id")
+    x, y = (wide.select("band", "nth", F.col("doc_id").alias(s), F.col("component").alias(f"component_{s}"),
+                        F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"),
+                        F.col("bands").alias(f"bands_{s}")) for s in ("a", "b"))
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
+    return x.join(y.withColumnRenamed("band", "band_b").drop("nth"), (F.col("band") == F.col("band_b"))
+                  & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+                  & may_be_near("a", "b") & (first == F.col("nth"))).select("a", "b")
+
+
 def confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     def side(name: str) -> DataFrame:
         return known.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"),
                             F.col("sketch").alias(f"sketch_{name}"))
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
-        & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= THRESHOLD / 100 - SLACK))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near("a", "b"))
     near = materialise(near.select("a", "b", "n_a", "n_b"), "near-pairs")
     ids = materialise(near.select("a").union(near.select("b")).distinct(), "near-ids")
     sets = materialise(shingle_sets(only_ids(docs.select(key, text), key, ids), text, key).dropDuplicates(
@@ -171,17 +189,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         classes, ["s1", "s2", "n_shingles"]).select("doc_id", "class_id"), "classes")
     heads = some.join(of_doc.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(
         ["doc_id"])
-    banded = heads.select("doc_id", F.explode("bands").alias("band"))
+    banded = heads.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = materialise(banded.join(shared, "band"), "band-members")
     known = materialise(heads.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select(
-        "doc_id", "n_shingles", "sketch"), "sketches")
+        "doc_id", "n_shingles", "bands", "sketch"), "sketches")
 
     links, component, active = None, None, members
     for turn in range(HUB_ROUNDS + 1):
         placed = active.withColumn("component", F.col("doc_id")) if component is None else active.join(
             component, active["doc_id"] == component["node"], "left").select(
-            "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            "band", "nth", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                            F.min(F.struct("doc_id", "component")).alias("hub")).where("lo < hi")
         placed = materialise(placed.join(split.select("band", "hub"), "band"), "band-members")
@@ -191,14 +209,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             pairs = placed.where("component <> hub.component").select(
                 F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b"))
         else:
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, F.col("x.band") == F.col("y.band")).where(
-                "x.doc_id < y.doc_id AND x.component <> y.component").select(
-                F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+            pairs = all_left(placed, known)
         found = materialise(confirm(pairs.distinct(), known, docs, text, key), "links")
         links = found if links is None else links.union(found)
         component = materialise(connected_components(links), "components")
-        active = placed.where("doc_id <> hub.doc_id").select("band", "doc_id")
+        active = placed.where("doc_id <> hub.doc_id").select("band", "nth", "doc_id")
 
     if links is None:
         links = of_doc.where("false").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
