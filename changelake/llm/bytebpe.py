@@ -8,8 +8,9 @@
 3. A block joins the ids to its numbers and puts every document together again by position.
 Decoding joins ids to the token-byte table (the vocabulary, whose size is fixed by its file).
 
-The blocks are written to the shared folder once, so both shuffles read one materialised table: a lost
-executor makes Spark recompute tasks from that table and never renumber a block. Words are distinct
+The blocks are written to the shared folder once, as a table bucketed by block: the words' way to their
+hash and back is the only shuffle, the numbers stay where they were written. A lost executor makes Spark
+recompute tasks from that table and never renumber a block. Words are distinct
 within a block before they are shuffled, so a word that every document has costs one entry a block.
 
 Defined results. Null text is empty: no ids, zero tokens, empty bytes. Rows are independent; repeated
@@ -18,6 +19,7 @@ rows and null or repeated ids give one result row each. Other columns are not re
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ from changelake.llm.pretoken import split_texts, sums
 from changelake.llm.text import ragged, slices
 from changelake.session import estimated_bytes, shared_dir
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 
 
@@ -151,19 +153,26 @@ def _assemble(key: str):
     return run
 
 
+def materialise_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The frame as a table in the shared folder that is bucketed by ``key``: later groupings by the key
+    need no shuffle of it."""
+    name = f"bpe_{uuid.uuid4().hex}"
+    folder = shared_dir(df.sparkSession, "bpe-blocks")
+    df.write.bucketBy(buckets, key).format("parquet").option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the key, n_tokens, ids (little-endian unsigned 32-bit integers). ``vocabulary``: a rank
     file, readable at that path on every executor."""
     spark = docs.sparkSession
-    buckets = min(65536, max(16, -(-estimated_bytes(docs) // BUCKET_BYTES)))
-    folder = shared_dir(spark, "bpe-blocks")
-    made = docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(
-        _to_blocks(pattern, int(buckets)), _BLOCKS)
-    made.withColumn("kind", F.when(F.col("bucket") < 0, "block").otherwise("words")).write.partitionBy(
-        "kind").parquet(folder)
-    made = spark.read.schema(_BLOCKS + ", kind string").parquet(folder)
-    blocks = made.where("kind = 'block'").drop("kind", "words", "bucket")
-    words = made.where("kind = 'words'").select("block", "bucket", "words")
+    size = estimated_bytes(docs)
+    buckets = -(-size // BUCKET_BYTES) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(65536, max(12, buckets))       # of unknown size: as many as the session shuffles to
+    made = materialise_by(docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(
+        _to_blocks(pattern, int(buckets)), _BLOCKS), "block", int(buckets))
+    blocks = made.where("bucket < 0").drop("words", "bucket")
+    words = made.where("bucket >= 0").select("block", "bucket", "words")
     ids = words.groupBy("bucket").applyInPandas(_encode_bucket(vocabulary), _IDS)
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType())])

@@ -34,9 +34,12 @@ from changelake.session import shared_dir
 
 PHRASE = 10
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RESULT = ("n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first:int,last:int>>, "
           "cleaned string")
+_RESULT = pa.schema([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
+    ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("cleaned", pa.string())])
 
 
 class Phrases:
@@ -133,25 +136,20 @@ def _search(phrases: Phrases, text: str, n_names: int, seen_before: bool):
             column = batch.column(batch.schema.get_field_index(text))
             earlier_items = batch.column(n_names + 3).to_pylist() if seen_before else None
             earlier_spans = batch.column(n_names + 4).to_pylist() if seen_before else None
-            out = []
             for w in words(column.cast(pa.large_string()), "alnum", True, SHARD_BYTES):
                 hit, doc_items = search_shard(w, phrases)
+                out = []
                 for d in range(w.rows):
-                    a, b = w.bounds[d], w.bounds[d + 1]
-                    row, mine = hit[a:b], set(doc_items.get(d, ()))
+                    row, mine = hit[w.bounds[d]:w.bounds[d + 1]], set(doc_items.get(d, ()))
                     if seen_before:
                         mine |= set(earlier_items[w.first_row + d])
                         for s in earlier_spans[w.first_row + d]:
                             row[s["first"]:s["last"] + 1] = True
                     out.append(_row(w, d, row, mine, column[w.first_row + d].is_valid))
-            result = pa.RecordBatch.from_pylist(out, pa.schema([
-                ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-                ("items", pa.list_(pa.string())),
-                ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                ("cleaned", pa.string())]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_names], *result.columns],
-                names=[*batch.schema.names[:n_names], *result.schema.names])
+                result = pa.RecordBatch.from_pylist(out, _RESULT)
+                kept = batch.slice(w.first_row, w.rows)
+                yield pa.RecordBatch.from_arrays([*kept.columns[:n_names], *result.columns],
+                                                 names=[*batch.schema.names[:n_names], *result.schema.names])
     return run
 
 

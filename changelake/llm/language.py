@@ -3,17 +3,17 @@
 Each language has a raw-content zstandard dictionary of training text. A text is cut into chunks of at most
 ``CHUNK`` bytes at spaces, every chunk is compressed with every dictionary, and the language with the
 smallest total wins. The whole text is compressed: chunks keep the dictionary in reach of each part of a
-long text. The score is the margin to the second language, as a share of that
-language's size; narrow margins are marked as rejected. Where the margin is below ``NARROW``, whole bytes are
-too coarse, so the text is also compressed with other match lengths and the sizes are added up.
+long text. The score is the margin to the second language, as a share of that language's size; narrow
+margins are marked as rejected. Where the margin is below ``NARROW``, whole bytes are too coarse, so the
+text is also compressed with other match lengths and the sizes are added up.
 
 The dictionaries are fitted on a bounded sample: up to ``SAMPLE_BYTES`` of text a language, of the
 documents with the least hash. A task needs ``len(languages)`` dictionaries of that size.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Rows are independent;
 repeated rows and null or repeated ids give one result row each. Equal sizes go to the language with the
-largest number of training texts, then by name, with score 0. Training rows with null text or label are not used; without any, all texts are ``und``.
-Other columns are not read.
+largest number of training texts, then by name, with score 0. Training rows with null text or label are
+not used; without any, all texts are ``und``. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelake.llm.text import slices
+
 SAMPLE_BYTES = 512 << 10
 SAMPLE_PIECE = 2 << 10        # characters of one document, so that a dictionary holds many
 CHUNK = 2 << 10
@@ -107,11 +109,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(held.value)
         for batch in batches:
-            made = [compressors.classify(t) for t in batch.column(1).to_pylist()]
-            score = np.array([m[1] for m in made], np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array(score),
-                 pa.array(score < MIN_MARGIN)], names=["doc_id", "lang_pred", "score", "rejected"])
+            for first, _, offsets in slices(batch.column(1)):
+                part = batch.slice(first, len(offsets) - 1)
+                made = [compressors.classify(t) for t in part.column(1).to_pylist()]
+                score = np.array([m[1] for m in made], np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array(score),
+                     pa.array(score < MIN_MARGIN)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(

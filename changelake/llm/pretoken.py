@@ -17,14 +17,28 @@ def _compiled(pattern: str) -> regex.Pattern:
                          .replace(r"\S", r"\P{White_Space}"))
 
 
+PIECE_CHARS = 1 << 18
+
+
 def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ()):
     """(codes, unique pre-tokens, number of pre-tokens a text, number of special tokens a text).
 
-    codes are the pre-tokens of all texts in order, as indices into the unique ones."""
+    codes are the pre-tokens of all texts in order, as indices into the unique ones. Strings of more than
+    PIECE_CHARS characters at a time are only held where one text is longer."""
     find = _compiled(pattern).findall
-    flat: list[str] = []
     count, marks = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     cut = regex.compile("|".join(map(regex.escape, special))) if special else None
+    index: dict[str, int] = {}
+    parts: list[np.ndarray] = []
+    flat: list[str] = []
+    held = 0
+
+    def fold() -> None:
+        codes, unique = pd.factorize(np.array(flat, dtype=object))
+        number = np.fromiter((index.setdefault(w, len(index)) for w in unique), np.int32, len(unique))
+        parts.append(number[codes])
+        flat.clear()
+
     for i, text in enumerate(texts):
         before = len(flat)
         if cut and any(s in text for s in special):
@@ -35,8 +49,14 @@ def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ())
         else:
             flat += find(text)
         count[i] = len(flat) - before
-    codes, unique = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
-    return codes, [w.encode() for w in unique], count, marks
+        held += len(text)
+        if held >= PIECE_CHARS:
+            fold()
+            held = 0
+    if flat:
+        fold()
+    codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return codes, [w.encode() for w in index], count, marks
 
 
 def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise, only_ids
-from changelake.llm.text import ragged, span_hash, starts_of_windows, window_hash, words
+from changelake.llm.text import ragged, slices, span_hash, starts_of_windows, window_hash, words
 
 LENGTH = 50
 
@@ -143,17 +143,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            body = (text or "").encode().split()     # bytes.split() parts at \x20 and \x09-\x0D alone
-            n_words.append(len(body))
-            if spans:
-                edge = np.zeros(len(body) + 1, np.int64)
-                np.add.at(edge, [s["first"] for s in spans], 1)
-                np.add.at(edge, [s["last"] for s in spans], -1)
-                body = [body[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-            n_removed.append(n_words[-1] - len(body))
-            kept.append(b" ".join(body).decode())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept"])
+        for first, _, offsets in slices(batch.column(1)):
+            part = batch.slice(first, len(offsets) - 1)
+            n_words, n_removed, kept = [], [], []
+            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                body = (text or "").encode().split()     # bytes.split() parts at \x20 and \x09-\x0D alone
+                n_words.append(len(body))
+                if spans:
+                    edge = np.zeros(len(body) + 1, np.int64)
+                    np.add.at(edge, [s["first"] for s in spans], 1)
+                    np.add.at(edge, [s["last"] for s in spans], -1)
+                    body = [body[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+                n_removed.append(n_words[-1] - len(body))
+                kept.append(b" ".join(body).decode())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                 pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])

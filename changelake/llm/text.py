@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD6E8FEB86659FD93
 _ODD_INV = np.uint64(pow(_ODD, -1, 1 << 64))
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=3)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     with np.errstate(over="ignore"):
@@ -45,7 +45,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(1 << 16, 1 << int(n).bit_length()))
+    up, down = _powers(-(-int(n) // 131072) * 131072)    # few distinct sizes are kept
     return up[:n], down[:n]
 
 
