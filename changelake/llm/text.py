@@ -103,8 +103,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         row = stop
 
 
-def words(column: pa.Array, kind: str, lower: bool, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """Words of a text column, slice by slice."""
+def words(column: pa.Array, kind: str, lower: bool, limit: int = SLICE_BYTES, hashed: bool = True) -> Iterator[Words]:
+    """Words of a text column, slice by slice; without their hashes (zero) if they are not needed."""
     table, values = word_table(kind), byte_values(lower)
     for row, data, offsets in slices(column, limit):
         inside = table[data]
@@ -118,7 +118,8 @@ def words(column: pa.Array, kind: str, lower: bool, limit: int = SLICE_BYTES) ->
         end[tails] = inside[tails]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
         bounds = np.searchsorted(start, offsets)
-        yield Words(row, data, offsets, start, end, span_hash(values[data], start, end), bounds)
+        value = span_hash(values[data], start, end) if hashed else np.zeros(len(start), np.uint64)
+        yield Words(row, data, offsets, start, end, value, bounds)
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -41,10 +41,11 @@ from pyspark.sql import functions as F
 from changelake.llm.store import materialise
 from changelake.llm.text import Words, mix, words
 
-DEPTH = 8
+DEPTH = 6
 CLASS_DISCOUNT = 1.5
 SHARED_DISCOUNT = 0.75
 MARGIN = 1.0
+COUNT_BYTES = 4 << 20         # text that a task adds up before it sends counts
 SLOTS = 1 << 22
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000  # labels up to this number are broadcast, beyond it the join shuffles
@@ -90,7 +91,7 @@ def count_prefixes(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), bool)
             part = np.array(batch.column(2).to_pylist(), np.int64)
-            for w in words(batch.column(0), "alnum", True):
+            for w in words(batch.column(0), "alnum", True, COUNT_BYTES, hashed=False):
                 doc = w.doc_of_word() + w.first_row
                 for on, history, key, pair in prefixes(w):
                     bad, of = toxic[doc[on]], part[doc[on]]
@@ -214,7 +215,7 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = [held.value.compare(w) for w in words(batch.column(1), "alnum", True)]
+                parts = [held.value.compare(w) for w in words(batch.column(1), "alnum", True, hashed=False)]
                 ratio = np.concatenate([np.zeros(0), *[p[0] for p in parts]])
                 evidence = np.concatenate([np.zeros(0), *[p[1] for p in parts]])
                 score = 1 / (1 + np.exp(-np.clip(slope * evidence + intercept, -30, 30)))
