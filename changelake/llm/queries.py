@@ -191,3 +191,12 @@ def _language(spark: SparkSession, folder: str) -> DataFrame:
     dictionaries = language.train(docs.where(fold(3) != 1).select("text", "lang"))
     return language.identify(docs.select("doc_id", "text"), dictionaries).select(
         "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# ---- 1. Quality classifier --------------------------------------------------------------------
+
+@query("op1_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm import quality
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.train(docs).score(docs)
