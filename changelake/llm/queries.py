@@ -200,3 +200,11 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     from changelake.llm import quality
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.train(docs).score(docs)
+
+
+# ---- 4. Approximate nearest neighbours --------------------------------------------------------
+
+@query("op4_nearest_neighbours")
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm.ann import search
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
