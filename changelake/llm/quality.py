@@ -234,6 +234,7 @@ def train(docs: DataFrame, text: str = "text") -> QualityModel:
 
 def _fit(y: np.ndarray, feature, share, good: float) -> QualityModel:
     """Logistic regression on soft labels by full-batch steps of adaptive size."""
+    good = min(max(good, 1e-3), 1 - 1e-3)
     w, b = np.zeros(FEATURES), float(np.log(good / (1 - good)))
     if not len(y) or y.min() >= 0.5:
         return QualityModel(w, abs(b) + 0.1)
