@@ -148,17 +148,31 @@ def may_be_near(a: str, b: str) -> Column:
         sketch_similarity(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= THRESHOLD / 100 - SLACK)
 
 
-def all_left(placed: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of band partners in different components that may be near, each in the first band that
-    it shares."""
-    wide = placed.select("band", "nth", "doc_id", "component").join(known, "doc_id")
-    x, y = (wide.select("band", "nth", F.col("doc_id").alias(s), F.col("component").alias(f"component_{s}"),
-                        F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"),
-                        F.col("bands").alias(f"bands_{s}")) for s in ("a", "b"))
+def enough(a: str, b: str) -> Column:
+    """Whether the full sets are similar enough."""
+    shared = F.size(F.array_intersect(f"set_{a}", f"set_{b}"))
+    return shared * 100 >= (F.col(f"n_{a}") + F.col(f"n_{b}") - shared) * THRESHOLD
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, shingles) of these documents, once each."""
+    ids = materialise(ids.distinct(), "near-ids")
+    sets = shingle_sets(only_ids(docs.select(key, text), key, ids), text, key)
+    return materialise(sets.dropDuplicates(["doc_id"]), "shingle-sets")
+
+
+def links_left(placed: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Links (a, b) between band partners in different components, each found in the first band that both
+    share. All is decided inside the join, cheapest test first, so that only links come out of it."""
+    sets = sets_of(docs, placed.select("doc_id"), text, key)
+    wide = placed.select("band", "nth", "doc_id", "component").join(known.join(sets, "doc_id"), "doc_id")
+    x, y = (wide.select("band", "nth", *[F.col(c).alias(f"{n}_{s}") for c, n in (
+        ("component", "component"), ("n_shingles", "n"), ("sketch", "sketch"), ("bands", "bands"), ("shingles", "set"))],
+        F.col("doc_id").alias(s)) for s in ("a", "b"))
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
     return x.join(y.withColumnRenamed("band", "band_b").drop("nth"), (F.col("band") == F.col("band_b"))
                   & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-                  & may_be_near("a", "b") & (first == F.col("nth"))).select("a", "b")
+                  & may_be_near("a", "b") & (first == F.col("nth")) & enough("a", "b")).select("a", "b")
 
 
 def confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -169,14 +183,10 @@ def confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, key:
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near("a", "b"))
     near = materialise(near.select("a", "b", "n_a", "n_b"), "near-pairs")
-    ids = materialise(near.select("a").union(near.select("b")).distinct(), "near-ids")
-    sets = materialise(shingle_sets(only_ids(docs.select(key, text), key, ids), text, key).dropDuplicates(
-        ["doc_id"]), "shingle-sets")
-    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.withColumn("shared", shared).where(
-        F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * THRESHOLD).select("a", "b")
+    sets = sets_of(docs, near.select("a").union(near.select("b")), text, key)
+    return near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").where(
+        enough("a", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -184,11 +194,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     (confirmed links of the class), kept."""
     seen = materialise(describe(docs, text, key), "signatures")
     some = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    of_doc = materialise(some.select("doc_id", "s1", "s2", "n_shingles").distinct().join(
-        classes, ["s1", "s2", "n_shingles"]).select("doc_id", "class_id"), "classes")
-    heads = some.join(of_doc.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(
-        ["doc_id"])
+    # equal sets have equal bands and sketches, so any row of a class can stand for it
+    classes = materialise(some.groupBy("s1", "s2", "n_shingles").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    of_doc = some.select(F.col("doc_id").alias("_id"), "s1", "s2", "n_shingles").distinct().join(
+        classes.select("s1", "s2", "n_shingles", F.col("doc_id").alias("class_id")), ["s1", "s2", "n_shingles"]).select(
+        F.col("_id").alias("doc_id"), "class_id")
+    heads = classes.select("doc_id", "n_shingles", "bands", "sketch")
     banded = heads.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = materialise(banded.join(shared, "band"), "band-members")
@@ -204,15 +216,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                                            F.min(F.struct("doc_id", "component")).alias("hub")).where("lo < hi")
         placed = materialise(placed.join(split.select("band", "hub"), "band"), "band-members")
         if placed.isEmpty():
+            if links is not None and turn < HUB_ROUNDS:
+                component = materialise(connected_components(links), "components")
             break
         if turn < HUB_ROUNDS:
             pairs = placed.where("component <> hub.component").select(
                 F.least("hub.doc_id", "doc_id").alias("a"), F.greatest("hub.doc_id", "doc_id").alias("b"))
+            found = confirm(pairs.distinct(), known, docs, text, key)
         else:
-            pairs = all_left(placed, known)
-        found = materialise(confirm(pairs.distinct(), known, docs, text, key), "links")
+            found = links_left(placed, known, docs, text, key)
+        found = materialise(found, "links")
         links = found if links is None else links.union(found)
-        component = materialise(connected_components(links), "components")
+        # one step to the smallest linked document is enough to spare most comparisons with a second hub;
+        # before all that is left is compared, and at the end, components are exact
+        component = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")) if (
+            turn < HUB_ROUNDS - 1) else connected_components(links)
+        component = materialise(component, "components")
         active = placed.where("doc_id <> hub.doc_id").select("band", "nth", "doc_id")
 
     if links is None:
