@@ -38,7 +38,7 @@ from changelake.llm.pretoken import split_texts, sums
 from changelake.llm.text import ragged, slices
 from changelake.session import estimated_bytes, shared_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 
 
@@ -46,7 +46,7 @@ def pack(values: np.ndarray) -> bytes:
     """Non-negative integers below 2^32, byte plane by byte plane, compressed."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -60,7 +60,7 @@ def unpack(blob: bytes) -> np.ndarray:
 def pack_words(words: list[bytes]) -> bytes:
     size = np.array(list(map(len, words)), np.int64)
     head = pack(size)
-    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
