@@ -11,7 +11,7 @@ work is DataFrame work; the driver handles commit records only.
 from __future__ import annotations
 
 import json
-import time
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -23,14 +23,11 @@ from pyspark.sql import types as T
 from changelake.functions.schema import META, META_FIELDS, Evolution, evolve, named
 from changelake.operators import versions as ops
 from changelake.operators.changes import alive, change_order, fold, latest_per_key
-from changelake.session import SMALL_SIDE_BYTES, estimated_bytes
+from changelake.session import SMALL_SIDE_BYTES
 from changelake.sources.files import Files
 
 INTERNAL_FIELDS = [T.StructField("_offset", T.LongType()), T.StructField("_version", T.LongType())]
 SYSTEM = [*META, *[f.name for f in INTERNAL_FIELDS]]
-COMMIT_TRIES = 6
-# Bloom filters of the key cost up to 1 MB per file: only for bases of large files.
-KEY_FILTER_BYTES = 1024 * 1024 * 1024
 
 LOG_SCHEMA = (
     "version long, parent long, committed_at timestamp, operation string, "
@@ -46,7 +43,8 @@ class VersionExpired(LookupError):
 
 
 class CommitConflict(RuntimeError):
-    """Another writer published the version first."""
+    """Another writer published the version first. A table has one writer at a time: the step failed as a
+    whole, its folder is named by no commit, and a stream that is started again repeats its batch."""
 
 
 @dataclass(frozen=True)
@@ -148,17 +146,6 @@ class ChangeTable:
         self._head = commit
         return commit
 
-    def retrying(self, attempt):
-        """Run a read-modify-publish step again when another writer was first."""
-        for n in range(1, COMMIT_TRIES + 1):
-            try:
-                return attempt()
-            except CommitConflict:
-                self._head = None
-                if n == COMMIT_TRIES:
-                    raise
-                time.sleep(min(2**n, 30))
-
     def log(self) -> DataFrame:
         """The commit log as a DataFrame."""
         return self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
@@ -261,8 +248,8 @@ class ChangeTable:
     # ---- history ----------------------------------------------------------------------
     def snapshots(self, limit: int = 60) -> DataFrame:
         """Newest commits with their counters."""
-        counters = ["added-records", "deleted-records", "added-position-deletes", "added-data-files",
-                    "deleted-data-files", "total-records", "total-data-files", "total-delete-files"]
+        counters = ["rows-written", "rows-deleted", "files-written", "files-dropped", "rows-total", "base-files",
+                    "change-files"]
         return (self.log().orderBy(F.desc("version")).limit(limit)
                 .select("committed_at", "version", "parent", "operation",
                         *[F.try_element_at("summary", F.lit(c)).alias(c.replace("-", "_"))
@@ -300,23 +287,69 @@ class ChangeTable:
         old_base = replace(newest, properties=oldest.properties, base_paths=oldest.base_paths)
         return self.base(old_base).select(*names).unionByName(frame.select(*names))
 
+    def rebuilds(self, after: int, upto: int) -> list[int]:
+        """Versions in (after, upto] at which the table was built anew: earlier changes end there."""
+        found = self.log().where((F.col("operation") == "overwrite") & F.col("version").between(after + 1, upto))
+        return sorted(r.version for r in found.select("version").collect())  # a few per table
+
     def row_history(self, keys: list, depth: int = 12) -> DataFrame:
-        """The rows of some keys at each of the newest ``depth`` versions, newest first."""
+        """The rows of some keys at each of the newest ``depth`` versions, newest first. A key is a value, or
+        with a composite primary key a tuple of all its columns."""
         newest = self.head()
+        rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
+        if any(len(k) != len(newest.pks) for k in rows):
+            raise ValueError(f"{self.name}: a key has the columns {newest.pks}")
+        types = {f.name: f.dataType for f in newest.schema}
+        key_schema = T.StructType([T.StructField(c, types[c]) for c in newest.pks])
+        wanted = F.broadcast(self.spark.createDataFrame([tuple(k) for k in rows], key_schema).distinct())
         listed = self.versions()[-depth:]
-        frame = self.kept_changes(self.commit_at(listed[0]), newest)
-        wanted = frame.where(named(newest.pks[0]).isin(list(keys)))
-        return ops.row_history(wanted, newest.pks, listed).orderBy(*named(newest.pks), F.desc("version"))
+        cuts = [listed[0], *self.rebuilds(listed[0], listed[-1]), listed[-1] + 1]
+        parts = []
+        for begin, end in zip(cuts, cuts[1:]):
+            part = [v for v in listed if begin <= v < end]
+            frame = self.kept_changes(self.commit_at(part[0]), self.commit_at(part[-1]))
+            found = ops.row_history(frame.join(wanted, newest.pks, "left_semi"), newest.pks, part)
+            # parts have the row under the schema of their time
+            parts.append(self._as_newest(found, newest) if len(cuts) > 2 else found)
+        return reduce(lambda a, b: a.unionByName(b), parts).orderBy(*named(newest.pks), F.desc("version"))
+
+    def _as_newest(self, history: DataFrame, newest: Commit) -> DataFrame:
+        have = {f.name for f in history.schema["row"].dataType}
+        fields = [f for f in self._file_schema(newest).fields if f.name not in [*newest.pks]]
+        row = F.struct(*[(F.col("row")[f.name].try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+                         .alias(f.name) for f in fields])
+        return history.withColumn("row", F.when(F.col("row").isNotNull(), row))
 
     def diff(self, older: int, newer: int) -> DataFrame:
         """Inserted, updated and deleted rows between two versions."""
         a, b = self.commit_at(older), self.commit_at(newer)
+        if self.rebuilds(older, newer):
+            # no chain of changes leads across a rebuild: compare the two states
+            return self._diff_of_states(a, b)
         frame = self.kept_changes(a, b)
         # only keys changed in between can differ; the others leave before the aggregation
         moved = frame.where(F.col("_version") > older).select(*named(b.pks)).distinct()
         touched = frame.join(moved, b.pks, "left_semi")
         return ops.diff(touched, b.pks, older, newer)
 
+    def _diff_of_states(self, a: Commit, b: Commit) -> DataFrame:
+        """The same with every row of the older state taken as its version's change, and of the newer one."""
+        fields = self._file_schema(b).fields
+
+        def rows(commit: Commit, op: Column, version: int) -> DataFrame:
+            state = self.state(commit)
+            have = set(state.columns)
+            return state.select(*[(F.lit(version).cast("long") if f.name == "_version" else F.lit(version).cast("long")
+                                   if f.name in ("_cdc_lsn", "_offset") else op if f.name == "_cdc_op"
+                                   else named(f.name).try_cast(f.dataType) if f.name in have
+                                   else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+
+        old, new = rows(a, F.lit("r"), a.version), rows(b, F.lit("r"), b.version)
+        gone = old.join(new.select(*named(b.pks)), b.pks, "left_anti").withColumns({
+            "_cdc_op": F.lit("d"), "_version": F.lit(b.version).cast("long"), "_cdc_lsn": F.lit(b.version).cast("long"),
+            "_offset": F.lit(b.version).cast("long")}).select(*named([f.name for f in fields]))
+        return ops.diff(old.unionByName(new).unionByName(gone), b.pks, a.version, b.version)
+
     # ---- writing ----------------------------------------------------------------------
     def next_version(self) -> int:
         return self.head().version + 1 if self.exists() else 0
@@ -325,8 +358,9 @@ class ChangeTable:
                      partition_by: str | None = None, key_filters: bool = False) -> tuple[str, dict]:
         """Write one base or change folder and return its relative path and measures."""
         seen = Observation()
-        path = f"{kind}/version={version}"
-        writer = df.observe(seen, *measures(pks)).write.mode("overwrite").option("compression", "zstd")
+        # a folder of its own for every write: no writer can touch what another one has written
+        path = f"{kind}/version={version}-{uuid.uuid4().hex[:12]}"
+        writer = df.observe(seen, *measures(pks)).write.option("compression", "zstd")
         if key_filters:
             # key lookups skip row groups by Bloom filter, whatever column the rows are sorted by
             writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
@@ -341,38 +375,33 @@ class ChangeTable:
 
     def bootstrap(self, df: DataFrame, pks: list[str], lsn: int = 0) -> Commit:
         """(Re)build the table from a full source snapshot: a new base, no changes."""
-        def attempt() -> Commit:
-            version = self.next_version()
-            parent = self.head() if self.exists() else None
-            schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema
-                                   if f.name not in SYSTEM])
-            rows = df.select(*named(schema.names), F.lit("r").alias("_cdc_op"),
-                             F.current_timestamp().alias("_cdc_source_ts"),
-                             F.lit(lsn).cast("long").alias("_cdc_lsn"),
-                             F.current_timestamp().alias("_ingested_at"),
-                             F.lit(0).cast("long").alias("_offset"),
-                             F.lit(version).cast("long").alias("_version"))
-            path, stats = self.write_folder(rows, "base", version, pks,
-                                            key_filters=estimated_bytes(df) >= KEY_FILTER_BYTES)
-            same = parent is not None and parent.schema_json == schema.json()
-            schema_id = 0 if parent is None else parent.schema_id + (0 if same else 1)
-            return self.publish(Commit(
-                version, parent.version if parent else None, utc_text(), "overwrite", schema.json(), pks,
-                streams=parent.streams if parent else {}, schema_id=schema_id, base_version=version, base_paths=[path],
-                base_high=stats["high"], high=stats["high"], base_rows=stats["rows"],
-                summary=self._summary(stats, None, stats["rows"], stats["files"], 0)))
-        return self.retrying(attempt)
+        version = self.next_version()
+        parent = self.head() if self.exists() else None
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema
+                               if f.name not in SYSTEM])
+        rows = df.select(*named(schema.names), F.lit("r").alias("_cdc_op"),
+                         F.current_timestamp().alias("_cdc_source_ts"),
+                         F.lit(lsn).cast("long").alias("_cdc_lsn"),
+                         F.current_timestamp().alias("_ingested_at"),
+                         F.lit(0).cast("long").alias("_offset"),
+                         F.lit(version).cast("long").alias("_version"))
+        path, stats = self.write_folder(rows, "base", version, pks, key_filters=True)
+        same = parent is not None and parent.schema_json == schema.json()
+        schema_id = 0 if parent is None else parent.schema_id + (0 if same else 1)
+        return self.publish(Commit(
+            version, parent.version if parent else None, utc_text(), "overwrite", schema.json(), pks,
+            streams=parent.streams if parent else {}, schema_id=schema_id, base_version=version, base_paths=[path],
+            base_high=stats["high"], high=stats["high"], base_rows=stats["rows"],
+            summary=self._summary(stats, None, stats["rows"], stats["files"], 0)))
 
     @staticmethod
     def _summary(stats: dict, removed_files: int | None, total: int, data_files: int,
                  change_files: int) -> dict:
         return {k: str(v) for k, v in {
-            "added-records": (stats.get("inserts") or 0) + (stats.get("updates") or 0),
-            "deleted-records": stats.get("deletes") or 0,
-            "added-position-deletes": (stats.get("updates") or 0) + (stats.get("deletes") or 0),
-            "added-data-files": stats.get("files") or 0, "deleted-data-files": removed_files or 0,
-            "total-records": total, "total-data-files": data_files,
-            "total-delete-files": change_files}.items()}
+            "rows-written": (stats.get("inserts") or 0) + (stats.get("updates") or 0),
+            "rows-deleted": stats.get("deletes") or 0,
+            "files-written": stats.get("files") or 0, "files-dropped": removed_files or 0,
+            "rows-total": total, "base-files": data_files, "change-files": change_files}.items()}
 
     def evolved(self, incoming: T.StructType, pks: list[str]) -> Evolution:
         """The stored schema extended by an incoming one."""
@@ -381,35 +410,33 @@ class ChangeTable:
     def append(self, changes: DataFrame, schema: T.StructType, pks: list[str],
                stream_id: str | None = None, batch_id: int | None = None) -> tuple[Commit, dict]:
         """Commit one change set: typed rows, one per key, with the metadata columns."""
-        def attempt():
-            version = self.next_version()
-            parent = self.head() if self.exists() else Commit(-1, None, "", "", "", pks, schema_id=-1)
-            have = set(changes.columns)
-            cols = [named(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-                    for f in [*schema.fields, *META_FIELDS, INTERNAL_FIELDS[0]]]
-            path, stats = self.write_folder(
-                changes.select(*cols, F.lit(version).cast("long").alias("_version")),
-                "changes", version, pks)
-            if not stats["rows"] and parent.schema_json == schema.json():
-                return parent, stats
-            known = parent.schema_json == schema.json()
-            lows = [x for x in (parent.changes_low, stats["low"]) if x]
-            highs = [x for x in (parent.high, stats["high"]) if x]
-            total = parent.base_rows + parent.change_rows + stats["rows"]
-            change_files = int(parent.summary.get("total-delete-files", 0)) + stats["files"]
-            commit = replace(
-                parent, version=version, parent=parent.version if parent.version >= 0 else None,
-                committed_at=utc_text(), operation="append", schema_json=schema.json(), pks=pks,
-                streams={**parent.streams, stream_id: batch_id} if stream_id else parent.streams,
-                schema_id=parent.schema_id + (0 if known else 1),
-                change_paths=[*parent.change_paths, *([path] if stats["rows"] else [])],
-                changes_low=min(lows) if lows else None, high=max(highs) if highs else None,
-                change_rows=parent.change_rows + stats["rows"],
-                key_bytes=parent.key_bytes + (stats["key_bytes"] or 0),
-                summary=self._summary(stats, 0, total,
-                                      int(parent.summary.get("total-data-files", 0)), change_files))
-            return self.publish(commit), stats
-        return self.retrying(attempt)
+        version = self.next_version()
+        parent = self.head() if self.exists() else Commit(-1, None, "", "", "", pks, schema_id=-1)
+        have = set(changes.columns)
+        cols = [named(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+                for f in [*schema.fields, *META_FIELDS, INTERNAL_FIELDS[0]]]
+        path, stats = self.write_folder(
+            changes.select(*cols, F.lit(version).cast("long").alias("_version")),
+            "changes", version, pks)
+        if not stats["rows"] and parent.schema_json == schema.json():
+            return parent, stats
+        known = parent.schema_json == schema.json()
+        lows = [x for x in (parent.changes_low, stats["low"]) if x]
+        highs = [x for x in (parent.high, stats["high"]) if x]
+        total = parent.base_rows + parent.change_rows + stats["rows"]
+        change_files = int(parent.summary.get("change-files", 0)) + stats["files"]
+        commit = replace(
+            parent, version=version, parent=parent.version if parent.version >= 0 else None,
+            committed_at=utc_text(), operation="append", schema_json=schema.json(), pks=pks,
+            streams={**parent.streams, stream_id: batch_id} if stream_id else parent.streams,
+            schema_id=parent.schema_id + (0 if known else 1),
+            change_paths=[*parent.change_paths, *([path] if stats["rows"] else [])],
+            changes_low=min(lows) if lows else None, high=max(highs) if highs else None,
+            change_rows=parent.change_rows + stats["rows"],
+            key_bytes=parent.key_bytes + (stats["key_bytes"] or 0),
+            summary=self._summary(stats, 0, total,
+                                  int(parent.summary.get("base-files", 0)), change_files))
+        return self.publish(commit), stats
 
     def erase(self, predicate: Column) -> tuple[Commit, dict]:
         """Commit delete changes for every current row that matches."""

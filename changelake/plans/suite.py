@@ -157,9 +157,8 @@ def n1(src) -> DataFrame:
 
 
 def n2(table: ChangeTable, limit: int = 60) -> DataFrame:
-    """Versions with their added rows and row-level deletes."""
-    return table.snapshots(limit).select("committed_at", "version", "operation", "added_records",
-                                         F.col("added_position_deletes").alias("position_deletes"))
+    """Versions with the rows that they wrote and deleted."""
+    return table.snapshots(limit).select("committed_at", "version", "operation", "rows_written", "rows_deleted")
 
 
 def n3(table: ChangeTable) -> DataFrame:

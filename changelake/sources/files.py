@@ -33,19 +33,21 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """Publish a small file in one step; False when the name is already taken."""
-        target = self._path(path)
-        if self._fs.exists(target):
+        """Create a small file; False when the name is taken. The create call itself is exclusive, so
+        of two writers one gets the name."""
+        if self._fs.exists(self._path(path)):
             return False
-        draft = self._path(target.getParent(), "_draft-" + target.getName())
-        stream = self._fs.create(draft, True)
+        try:
+            stream = self._fs.create(self._path(path), False)
+        except Exception:
+            if self._fs.exists(self._path(path)):
+                return False
+            raise
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        if self._fs.exists(target):
-            return False
-        return self._fs.rename(draft, target)
+        return True
 
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)

@@ -165,7 +165,7 @@ def test_as_of_timestamp(spark, folder):
     with pytest.raises(VersionExpired):
         table.as_of(timestamp="2001-01-01 00:00:00")
     snaps = table.snapshots().collect()
-    assert [(s.operation, s.added_position_deletes) for s in snaps] == [("append", "2"), ("overwrite", "0")]
+    assert [(s.operation, s.rows_deleted) for s in snaps] == [("append", "2"), ("overwrite", "0")]
 
 
 def test_tombstones_stop_late_events(spark, folder):
@@ -202,3 +202,49 @@ def test_a_cached_head_notices_expiry_elsewhere(spark, folder):
     layout.expire(writer, older_than_minutes=0, retain_last=1)
     assert writer.versions() == [2] and reader.head().version == 2
     assert reader.current().count() == 2
+
+
+def test_interleaved_writers_lose_nothing(spark, folder):
+    a, b = Lake(spark, folder).table("shop.t"), Lake(spark, folder).table("shop.t")
+    a.append(changes(spark, [(1, "a", None, "c", 1, 1)]), SCHEMA, ["k"], "s1", 0)
+    b.append(changes(spark, [(2, "b", None, "c", 2, 2)]), SCHEMA, ["k"], "s2", 0)
+    a.append(changes(spark, [(3, "c", None, "c", 3, 3)]), SCHEMA, ["k"], "s1", 1)
+    b.append(changes(spark, [(4, "d", None, "c", 4, 4)]), SCHEMA, ["k"], "s2", 1)
+    assert [v[0] for v in visible(b.current())] == [1, 2, 3, 4]
+    # two commits of one version: the second fails and leaves the first one's rows alone
+    made = changes(spark, [(9, "x", None, "c", 9, 9)])
+    b.next_version = lambda: a.head().version
+    with pytest.raises(CommitConflict):
+        b.append(made, SCHEMA, ["k"], "s2", 2)
+    assert [v[0] for v in visible(a.current())] == [1, 2, 3, 4]
+
+
+def test_history_and_diff_over_a_rebuild(spark, folder):
+    table = Lake(spark, folder).table("shop.t")
+    table.append(changes(spark, [(1, "a", None, "c", 1, 1), (2, "b", None, "c", 2, 2)]), SCHEMA, ["k"])
+    table.append(changes(spark, [(1, "x5", None, "u", 50, 50)]), SCHEMA, ["k"])
+    table.bootstrap(spark.createDataFrame([(1, "new", None), (3, "c", None)], SCHEMA), ["k"])
+    table.append(changes(spark, [(3, "c2", None, "u", 60, 60)]), SCHEMA, ["k"])
+    assert {(r.k, r.change) for r in table.diff(1, 2).collect()} == {(1, "updated"), (2, "deleted"), (3, "inserted")}
+    assert {(r.k, r.change) for r in table.diff(0, 3).collect()} == {(1, "updated"), (2, "deleted"), (3, "inserted")}
+    name = SCHEMA.fields[1].name
+    seen = {(r.k, r.version): r.row and r.row[name] for r in table.row_history([1, 2, 3]).collect()}
+    assert {k: v for k, v in seen.items() if v} == {
+        (1, 0): "a", (1, 1): "x5", (1, 2): "new", (1, 3): "new", (2, 0): "b", (2, 1): "b", (3, 2): "c", (3, 3): "c2"}
+
+
+def test_history_of_a_composite_key(spark, folder):
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.createDataFrame([(1, 1, "p"), (1, 2, "q")], "a long, b long, v string"), ["a", "b"])
+    assert [(r.a, r.b) for r in table.row_history([(1, 2)]).collect()] == [(1, 2)]
+    with pytest.raises(ValueError):
+        table.row_history([1])
+
+
+def test_purge_takes_folders_of_crashed_writes(spark, folder):
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.range(8).select(F.col("id").alias("k"), (F.col("id") % 4).alias("owner")), ["k"])
+    table.write_folder(table.state(table.head()), "base", 7, ["k"])      # no commit names it
+    table.erase(F.col("owner") == 3)
+    layout.purge(table)
+    assert layout.residue(table, "k", [3, 7]).count() == 0 and table.current().count() == 6

@@ -54,7 +54,7 @@ def test_orphans_respect_references_and_age(spark, folder):
     layout.compact(table, rewrite_all=True)
     stray = changes(spark, [(9, "ghost", "2020-01-01", "c", 9, 9)]).withColumn("_version", F.lit(9).cast("long"))
     table.write_folder(stray.select(*table._file_schema(table.head()).names), "changes", 9, ["k"])
-    assert layout.remove_orphans(table, older_than_minutes=0)["orphan_files_deleted"] == 0  # the 24 h floor
+    assert layout.remove_orphans(table, older_than_minutes=0)["unreferenced"] == 0  # the 24 h floor
     listed = files.listing(spark, table.path).where(F.col("file_path").contains("version=9"))
     future = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
     named = spark.createDataFrame([], "file_path string")

@@ -197,8 +197,6 @@ def test_scalars(spark):
     df = spark.createDataFrame([(5,), (1536,), (3 * 1024**2,), (5 * 1024**4,)], "n long")
     assert [r.a for r in df.select(scalars.human_bytes(F.col("n")).alias("a")).collect()] == [
         "5.0 B", "1.5 KB", "3.0 MB", "5.0 TB"]
-    sql = spark.createDataFrame([("SELECT '--x' -- note\n, /* a\nb */ 1;",)], "q string")
-    assert sql.select(scalars.strip_sql_comments(F.col("q")).alias("q")).first().q.split() == ["SELECT", "'--x'", ",", "1"]
     safe = scalars.json_safe(spark.sql(
         "SELECT double('NaN') AS n, double('Infinity') AS i, 1.5D AS f, 9007199254740993L AS l, "
         "cast(1.50 as decimal(5,2)) AS d, cast('hi' as binary) AS b, date'2024-01-02' AS day")).first()
