@@ -120,7 +120,7 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
                  F.sum(F.floor("value").cast("long")).alias("merge_ms"),
                  F.min("ts").alias("batch_started_at"), F.max("ts").alias("batch_finished_at"))
             .withColumn("schema_changes", F.when(F.pmod("batch_id", F.lit(97)) == 0,
-                                                 F.concat(F.lit("ADD COLUMN c"), "batch_id"))))
+                                                 F.concat(F.lit("new column c"), "batch_id"))))
     copies = F.when(F.pmod("batch_id", F.lit(5)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return once.withColumn("_copy", F.explode(copies)).drop("_copy")
 
@@ -133,9 +133,9 @@ WITH raw_b AS (
          CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS merge_ms,
          min(ts) AS batch_started_at, max(ts) AS batch_finished_at
   FROM events GROUP BY 1, 2),
-rec AS (SELECT *, CASE WHEN batch_id % 97 = 0 THEN 'ADD COLUMN c' || batch_id END AS schema_changes FROM raw_b
+rec AS (SELECT *, CASE WHEN batch_id % 97 = 0 THEN 'new column c' || batch_id END AS schema_changes FROM raw_b
   UNION ALL
-  SELECT *, CASE WHEN batch_id % 97 = 0 THEN 'ADD COLUMN c' || batch_id END FROM raw_b WHERE batch_id % 5 = 0),
+  SELECT *, CASE WHEN batch_id % 97 = 0 THEN 'new column c' || batch_id END FROM raw_b WHERE batch_id % 5 = 0),
 b AS (SELECT batch_id, table_name, max(kafka_records) AS kafka_records, max(rows_merged) AS rows_merged,
     max(inserts) AS inserts, max(updates) AS updates, max(deletes) AS deletes, max(merge_ms) AS merge_ms,
     max(schema_changes) AS schema_changes, min(batch_started_at) AS batch_started_at,
@@ -526,7 +526,7 @@ UNION ALL SELECT 'orders_initial', (SELECT count(*) FROM orders), (SELECT count(
 UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM cust), 5,
   NOT EXISTS (SELECT * FROM customer EXCEPT ALL SELECT * FROM cust),
   NOT EXISTS (SELECT * FROM customer EXCEPT ALL SELECT * FROM cust), NULL
-UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, 0, NULL, false, 'not in lakehouse yet'""")
+UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, 0, NULL, false, 'no copy of this table'""")
 def _reconcile(spark, d):
     return quality.compare(*both_sides(spark, d))
 
@@ -948,16 +948,6 @@ def _units(spark, d):
                                    scalars.human_bytes(n).alias("size"))
 
 
-@query("workload_mix")
-def _workload(spark, d):
-    """Weighted synthetic changes, one per order, counted per table and operation."""
-    src = source(spark, d)
-    orders, customers = src("orders"), src("customer")
-    drawn = generate.workload(orders, customers, orders.count(), seed=7)
-    parts = [op_counts(df, []).withColumn("table_name", F.lit(name)) for name, df in drawn.items()]
-    return parts[0].unionByName(parts[1])
-
-
 # ---- written tables -----------------------------------------------------------------------
 
 @query("stream_fold", CURRENT_SQL)

@@ -8,6 +8,7 @@ row after the change.
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelake.functions.schema import (
-    PARAM_LENGTH, PARAM_SCALE, PARAM_TYPE, convert, merge_fields, named, raw_type, target_type)
+    PARAM_LENGTH, PARAM_SCALE, PARAM_TYPE, convert, from_millis, merge_fields, named, raw_type, target_type)
 from changelake.operators.changes import ROW_OPS
 
+log = logging.getLogger(__name__)
+
 # Record schema and the text that separates schema and payload of an envelope.
 RAW_SCHEMA = "topic string, partition int, offset long, key string, value string"
 PAYLOAD_MARK = ',"payload":'
@@ -42,24 +45,30 @@ class TopicShape:
 def text_records(raw: DataFrame) -> DataFrame:
     """Drop tombstones and cut key and value into schema text and payload text.
 
-    Cutting is far cheaper than parsing whole records: the schema texts repeat and only the
-    payloads, a fraction of each record, are parsed. Texts of another form give NULL.
+    Cutting is far cheaper than parsing whole records: the schema texts repeat and only the payloads, a
+    fraction of each record, are parsed. Records of another layout (spaces, another order of members) are
+    parsed as JSON. What is no such JSON keeps its value under ``undecodable``.
     """
     text = {c: F.col(c).cast("string") for c in ("key", "value")}
     pieces = raw.where(F.col("value").isNotNull()).select(
-        "topic", "partition", "offset",
+        "topic", "partition", "offset", *[text[c].alias(f"_{c}_text") for c in text],
         *[F.split(text[c], PAYLOAD_MARK, 2).alias(f"_{c}") for c in text],
         *[text[c].startswith(SCHEMA_MARK).alias(f"_{c}_form") for c in text])
 
     def piece(column: str, index: int) -> Column:
         whole = F.col(f"_{column}_form") & (F.size(f"_{column}") == 2)
-        return F.when(whole, F.get(f"_{column}", F.lit(index)))
+        member = F.get_json_object(f"_{column}_text", ("$.schema", "$.payload")[index])
+        # a cut schema text lacks the closing brace of the envelope, so a parsed one gets its opening
+        parsed = F.concat(F.lit(SCHEMA_MARK), member) if index == 0 else member
+        return F.when(whole, F.get(f"_{column}", F.lit(index))).otherwise(parsed)
 
     # the closing brace of the envelope stays behind the payload; JSON readers stop before it
-    return pieces.select(
-        "topic", "partition", "offset",
+    cut = pieces.select(
+        "topic", "partition", "offset", "_value_text",
         piece("key", 0).alias("key_schema"), piece("key", 1).alias("key_payload"),
         piece("value", 0).alias("value_schema"), piece("value", 1).alias("value_payload"))
+    known = F.col("value_schema").isNotNull() & F.col("value_payload").isNotNull()
+    return cut.withColumn("undecodable", F.when(~known, F.col("_value_text"))).drop("_value_text")
 
 
 def parse_schema(text: str) -> dict:
@@ -76,7 +85,7 @@ def sniff(records: DataFrame) -> list[TopicShape]:
     """Row shape, record count and offset range per topic, from one aggregation.
 
     Only the distinct schema texts reach the driver. Topics without a message key (no primary
-    key) are left out.
+    key) are left out, with a warning.
     """
     found = (records.groupBy("topic", "partition", F.col("value_schema").alias("vs"),
                              F.col("key_schema").alias("ks"))
@@ -87,6 +96,7 @@ def sniff(records: DataFrame) -> list[TopicShape]:
         mine = [r for r in found if r.topic == topic]
         keyed = [r for r in mine if r.ks and r.vs]
         if not keyed:
+            log.warning("topic %s: none of %d records has a key, the topic is left out", topic, sum(r.n for r in mine))
             continue
         partitions = {r.partition for r in mine}
         if len(partitions) > 1 and len({r.vs for r in keyed}) > 1:
@@ -147,7 +157,7 @@ def decode(records: DataFrame, fields: list[dict], pks: list[str],
             rejects = rejects + (raw.isNotNull() & value.isNull()).cast("int")
     return events.select(
         *columns, F.col("e.op").alias("_cdc_op"),
-        F.timestamp_millis("e.source.ts_ms").alias("_cdc_source_ts"),
+        from_millis(F.col("e.source.ts_ms")).alias("_cdc_source_ts"),
         F.col("e.source.lsn").alias("_cdc_lsn"), F.current_timestamp().alias("_ingested_at"),
         F.col("offset").alias("_offset"), rejects.alias("_rejects"))
 

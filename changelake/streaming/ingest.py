@@ -44,7 +44,10 @@ class Ingest:
     """The ``foreachBatch`` function of an ingestion stream."""
 
     def __init__(self, spark: SparkSession, root: str, parallel_tables: int = 4,
-                 stream_id: str | None = None):
+                 stream_id: str | None = None, set_aside: str | None = None):
+        """``set_aside``: a folder for records that cannot be decoded. Without it they stop the stream,
+        before any of their batch is committed."""
+        self.set_aside = set_aside
         self.spark, self.lake = prepare(spark), Lake(spark, root)
         self.parallel_tables, self.stream_id = parallel_tables, stream_id
         self._tables: dict[str, ChangeTable] = {}
@@ -60,13 +63,27 @@ class Ingest:
         stream = self.stream_id or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         records = text_records(batch).persist()
         try:
+            self._undecodable(records, stream, batch_id)
             shapes = sniff(records)
-            work = [(s, records.where(F.col("topic") == s.topic)) for s in shapes]
+            good = records.where(F.col("undecodable").isNull())
+            work = [(s, good.where(F.col("topic") == s.topic)) for s in shapes]
             stats = self._fan_out(work, stream, batch_id)
         finally:
             records.unpersist()
         self._record(stats, stream, batch_id, started)
 
+    def _undecodable(self, records: DataFrame, stream: str, batch_id: int) -> None:
+        bad = records.where(F.col("undecodable").isNotNull()).select(
+            "topic", "partition", "offset", F.col("undecodable").alias("value"))
+        if bad.isEmpty():
+            return
+        if not self.set_aside:
+            first = bad.orderBy("topic", "partition", "offset").first()
+            raise ValueError(f"batch {batch_id}: {bad.count()} records cannot be decoded, the first at "
+                             f"{first.topic}/{first.partition}/{first.offset}; give set_aside to go on without them")
+        # overwritten by a replay of the batch, so each record is there once
+        bad.write.mode("overwrite").parquet(f"{self.set_aside}/stream={stream}/batch={batch_id}")
+
     def _fan_out(self, work: list, stream: str, batch_id: int) -> list[dict]:
         """Tables are independent: their jobs run side by side."""
         job = lambda w: self.ingest_table(*w, stream, batch_id)
