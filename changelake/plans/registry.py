@@ -1005,3 +1005,100 @@ def _purge(spark, d):
     layout.purge(table)
     left = layout.residue(table, "o_custkey", [144]).agg(F.count(F.lit(1)).cast("int")).scalar()
     return table.current().agg(F.count(F.lit(1)).alias("remaining")).select(left.alias("residue"), "remaining")
+
+
+# ---- the stored table's own readers ---------------------------------------------------------
+
+_STAGED: dict[tuple[str, str], object] = {}
+
+
+def stored(spark: SparkSession, folder: str):
+    """The staged table, written once per application and only read by the queries below."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STAGED:
+        _STAGED[key] = staged_table(spark, folder, "stored")
+    return _STAGED[key]
+
+
+@query("lake_as_of_version", CHG + ", " + state_sql("past", 1) + f" SELECT {ORDER_SQL} FROM past")
+def _lake_as_of(spark, d):
+    return stored(spark, d).as_of(version=1).select(*ORDER_COLUMNS)
+
+
+@query("lake_as_of_timestamp", CHG + ", " + state_sql("past", 2) + f" SELECT {ORDER_SQL} FROM past")
+def _lake_as_of_ts(spark, d):
+    table = stored(spark, d)
+    return table.as_of(timestamp=table.commit_at(2).committed_at).select(*ORDER_COLUMNS)
+
+
+@query("lake_version_stats", CHG + ", " + state_sql("past", 1) + ", " + state_sql("cur", 3) + """
+SELECT CAST(1 AS BIGINT) AS version, (SELECT count(*) FROM past) AS rows_then, (SELECT count(*) FROM cur) AS rows_now""")
+def _lake_stats(spark, d):
+    return stored(spark, d).version_stats(1).select("version", "rows_then", "rows_now")
+
+
+DIFF_SQL = """
+SELECT coalesce(a.o_orderkey, z.o_orderkey) AS o_orderkey,
+       CASE WHEN a.o_orderkey IS NULL THEN 'inserted' WHEN z.o_orderkey IS NULL THEN 'deleted'
+            ELSE 'updated' END AS change,
+       CAST(a.o_totalprice AS DOUBLE) AS old_price, CAST(z.o_totalprice AS DOUBLE) AS new_price
+FROM a FULL OUTER JOIN z ON a.o_orderkey = z.o_orderkey
+WHERE a.o_orderkey IS NULL OR z.o_orderkey IS NULL OR a.o_totalprice <> z.o_totalprice"""
+
+
+def _prices(diff: DataFrame) -> DataFrame:
+    return diff.select("o_orderkey", "change", F.col("old.o_totalprice").alias("old_price"),
+                       F.col("new.o_totalprice").alias("new_price"))
+
+
+@query("lake_version_diff", CHG + ", " + state_sql("a", 0) + ", " + state_sql("z", 2) + DIFF_SQL)
+def _lake_diff(spark, d):
+    return _prices(stored(spark, d).diff(0, 2))
+
+
+@query("diff_over_rebuild", CHG + ", " + state_sql("a", 1) + """,
+z AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0)""" + DIFF_SQL)
+def _diff_rebuild(spark, d):
+    """Two versions with a rebuild from half of the source between them."""
+    table = Lake(spark, shared_dir(spark, "rebuild")).table("shop.orders")
+    orders = source(spark, d)("orders")
+    table.bootstrap(orders, PK)
+    table.append(changes(spark, d).where(F.col("_version") == 1).drop("_version"), table.head().schema, PK)
+    table.bootstrap(orders.where(F.col("o_orderkey") % 2 == 0), PK)
+    return _prices(table.diff(1, 2))
+
+
+@query("lake_row_history", CHG + """, v AS (SELECT unnest([0, 1, 2, 3]) AS v),
+k AS (SELECT DISTINCT o_orderkey FROM chg WHERE o_orderkey IN (21, 30, 40, 42, 70, 1000070)),
+h AS (SELECT k.o_orderkey, v.v AS version, arg_max(c.op, c.off) AS op, arg_max(c.o_totalprice, c.off) AS price
+  FROM k CROSS JOIN v LEFT JOIN chg c ON c.o_orderkey = k.o_orderkey AND c.version <= v.v GROUP BY 1, 2)
+SELECT o_orderkey, CAST(version AS BIGINT) AS version, op IS NOT NULL AND op <> 'd' AS present,
+       CASE WHEN op <> 'd' THEN CAST(price AS DOUBLE) END AS o_totalprice FROM h""")
+def _lake_history(spark, d):
+    return stored(spark, d).row_history([21, 30, 40, 42, 70, 1000070]).select(
+        "o_orderkey", "version", F.col("row").isNotNull().alias("present"), F.col("row.o_totalprice").alias("o_totalprice"))
+
+
+@query("history_composite_key", """
+SELECT o_custkey, o_orderkey, CAST(0 AS BIGINT) AS version, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders
+WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders UNION SELECT min(o_orderkey) FROM orders)""")
+def _history_composite(spark, d):
+    """The history of two rows under a key of two columns, one of which has other orders too."""
+    orders = source(spark, d)("orders")
+    keys = orders.agg(F.min(F.struct("o_orderkey", "o_custkey")), F.max(F.struct("o_orderkey", "o_custkey"))).first()
+    table = Lake(spark, shared_dir(spark, "composite")).table("shop.orders")
+    table.bootstrap(orders, ["o_custkey", "o_orderkey"])
+    return table.row_history([(k.o_custkey, k.o_orderkey) for k in keys]).select(
+        "o_custkey", "o_orderkey", "version", F.col("row.o_totalprice").alias("o_totalprice"))
+
+
+@query("n3_on_table", CHG + """
+SELECT 0 AS content, count(*) AS records FROM orders UNION ALL SELECT 1, count(*) FROM chg WHERE version > 0""")
+def _n3_on_table(spark, d):
+    return suite.n3(stored(spark, d)).select("content", "records")
+
+
+@query("n8_on_table", CHG + ", " + state_sql("cur", 3) + " SELECT count(*) AS orders_one_hour_ago FROM cur")
+def _n8_on_table(spark, d):
+    """One hour before two hours from now: the newest version."""
+    return suite.n8(stored(spark, d), F.current_timestamp() + F.expr("INTERVAL 2 HOURS"))
