@@ -8,11 +8,11 @@ group may hold any share of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelake.session import is_small
-
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
             out: str, kind: str = "last", inclusive: bool = True, total: str | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, val
 
     ``order`` are ascending columns; ``chunk`` must not decrease along them. With
     ``inclusive=False`` the current row does not count (``last`` is then a lag). ``total`` names
-    a further column with the value over the whole series. Keys must not be NULL.
+    a further column with the value over the whole series. A NULL key is a series like any other.
     """
     over_rows = {
         "last": lambda c: F.last(c, ignorenulls=True),
@@ -42,7 +42,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, val
     within = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = src.withColumn("_local", over_rows(F.col("_value")).over(within))
-    both = local.join(carried, [*keys, "_chunk"])
+    both = join_null_safe(local, carried, [*keys, "_chunk"])
     combined = {
         "last": F.coalesce("_local", "_carry"),
         "min": F.least("_local", "_carry"),
@@ -54,18 +54,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, val
                        *([total] if total else []))
 
 
-ROWS_PER_CHUNK = 1_000_000
-SPARSE_BYTES = 512 * 1024 * 1024
+# Length of the chunks that a time axis is cut into. Results do not depend on it; a series with more than
+# some 1,000 rows a second may want shorter ones, which callers can give.
+CHUNK_SECONDS = 600
 
 
-def chunk_seconds_for(df: DataFrame, keys: list[str], ts: str) -> int:
-    """Chunk length along a time axis: a day for small inputs; for large ones so short that the
-    densest hour of the largest series splits into chunks of about a million rows."""
-    if is_small(df, SPARSE_BYTES):
-        return 86_400
-    hour = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(3_600_000_000))
-    densest = df.groupBy(*keys, hour).count().agg(F.max("count").alias("n")).first().n or 1
-    return max(1, min(86_400, int(3600 * ROWS_PER_CHUNK / densest)))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys match; the right side's keys are left out."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*[f"_right_{k}" for k in keys])
 
 
 def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column],
@@ -75,7 +73,7 @@ def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[s
     Each row is also handed to the following bucket, so every bucket sees the whole trailing
     window of its own rows and the buckets of one series run in parallel.
     """
-    width = max(bucket_seconds or chunk_seconds_for(df, keys, ts), seconds)
+    width = max(bucket_seconds or CHUNK_SECONDS, seconds)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bucket = F.floor(micros / (width * 1_000_000)).cast("long")
     src = df.withColumn("_us", micros).withColumn("_home", bucket)

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelake.functions.stats import SPARSE_BYTES, running
+from changelake.functions.stats import running
 from changelake.operators.series import LOOKBACK_SECONDS, STEP_SECONDS, label_key, resample
-from changelake.session import is_small, shared_dir
+from changelake.session import shared_dir
 
 MB = 1024 * 1024
 
@@ -37,7 +37,7 @@ class Grid:
         names = named.groupBy("metric", "_key").agg(F.any_value("labels").alias("labels"))
         samples = resample(named.select("metric", "_key", "ts", "value"), ["metric", "_key"],
                            step, lookback).join(names, ["metric", "_key"])
-        self.samples = samples if is_small(series, SPARSE_BYTES) else written_once(samples, "metric")
+        self.samples = written_once(samples, "metric")
 
     def where(self, metric: str, condition: Column) -> DataFrame:
         """Steps at which a metric meets a condition: labels, ts."""

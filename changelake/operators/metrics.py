@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import millis_between, ratio
-from changelake.functions.stats import chunk_seconds_for, combine_rows, medians, nearest_rank, order_statistics, running
+from changelake.functions.stats import CHUNK_SECONDS, combine_rows, medians, nearest_rank, order_statistics, running
 
 # Write time counted as slow, window of the ingest rate, default probe timeout.
 SLOW_MERGE_MS = 10_000
@@ -156,7 +156,7 @@ def nearest_batch(commits: DataFrame, batches: DataFrame, chunk_seconds: int | N
     carried backwards, instead of pairing every commit with every later batch.
     """
     once = dedup_batches(batches)
-    chunk_seconds = chunk_seconds or chunk_seconds_for(commits, ["table_name"], "committed_at")
+    chunk_seconds = chunk_seconds or CHUNK_SECONDS
     earliest = F.col("committed_at") - F.expr("INTERVAL 1 SECOND")
     side = lambda d, at, is_batch: d.select(
         "table_name", F.unix_micros(at.cast("timestamp")).alias("_us"), F.lit(is_batch).alias("_is_batch"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import ratio
-from changelake.functions.stats import chunk_seconds_for, index_rank, order_statistics, running, trailing
+from changelake.functions.stats import CHUNK_SECONDS, index_rank, join_null_safe, order_statistics, running, trailing
 
 # Sampling step, how long a sample stays valid, delta and clipping parameters.
 STEP_SECONDS, LOOKBACK_SECONDS = 15, 300
@@ -75,7 +75,7 @@ def counter_rate(df: DataFrame, keys: list[str], order: list[str], window_second
 
     A value below its predecessor means the counter restarted: it counts from zero.
     """
-    chunk_seconds = chunk_seconds or chunk_seconds_for(df, keys, "ts")
+    chunk_seconds = chunk_seconds or CHUNK_SECONDS
     chunk = F.floor(micros_of("ts") / F.lit(chunk_seconds * 1_000_000))
     with_prev = running(df, keys, order, chunk, F.col("value"), "_prev", "last", inclusive=False)
     grown = F.when(F.col("value") < F.col("_prev"), F.col("value")) \
@@ -96,7 +96,7 @@ def delta(df: DataFrame, keys: list[str], window: int = DELTA_SECONDS) -> DataFr
     ends = df.groupBy(*keys).agg(F.max("ts").alias("_last"), F.max_by("value", order).alias("now"))
     span = F.expr(f"INTERVAL {window} SECONDS")
     older = F.col("ts") <= F.col("_last") - span
-    ref = df.join(ends, keys).groupBy(*keys).agg(
+    ref = join_null_safe(df, ends, keys).groupBy(*keys).agg(
         F.first("_last").alias("_last"), F.first("now").alias("now"),
         F.max_by(order, F.when(older, order)).alias("_old"), F.min_by(order, order).alias("_first"))
     base = F.coalesce("_old", "_first")

@@ -69,13 +69,10 @@ def test_resample_lookback_and_carry(spark):
     assert got == want
 
 
-def test_dense_series_get_short_chunks(spark, monkeypatch):
-    df = frame(spark, [("hot", at(i / 10), 1.0) for i in range(2000)] + [("b", at(5000), 1.0)])
-    assert stats.chunk_seconds_for(df, ["k"], "ts") == 86_400
-    monkeypatch.setattr(stats, "SPARSE_BYTES", 0)
-    monkeypatch.setattr(stats, "ROWS_PER_CHUNK", 100)
-    assert stats.chunk_seconds_for(df, ["k"], "ts") == 180  # 2000 rows in the densest hour
-    assert series.counter_rate(df, ["k"], ["ts"], 120).count() == 3
+def test_chunks_do_not_change_results(spark):
+    df = frame(spark, [("hot", at(i / 10), float(i)) for i in range(2000)] + [("b", at(5000), 1.0)])
+    short, long = (sorted(map(tuple, series.counter_rate(df, ["k"], ["ts"], 120, chunk).collect())) for chunk in (7, 86_400))
+    assert short == long and len(short) == 3
 
 
 def test_counter_rate_with_restart(spark):
@@ -127,9 +124,7 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp, value double")
 
 
-@pytest.mark.parametrize("written", [False, True])
-def test_standard_alert_rules(spark, monkeypatch, written):
-    monkeypatch.setattr(alerts, "is_small", lambda df, limit: not written)
+def test_standard_alert_rules(spark):
     steps = range(0, 1200, 15)
     rows = [("lakehouse_cdc_freshness_seconds", {}, at(s), 500.0 if 300 <= s < 600 else 1.0) for s in steps]
     # the connector metric disappears after 900 s (samples stay valid for 300 s) and is 0 around 450 s
@@ -202,3 +197,12 @@ def test_scalars(spark):
         "cast(1.50 as decimal(5,2)) AS d, cast('hi' as binary) AS b, date'2024-01-02' AS day")).first()
     assert (safe.n, safe.i, safe.f, safe.l, safe.d, safe.b, safe.day) == (
         None, None, 1.5, "9007199254740993", "1.50", "6869", "2024-01-02")
+
+
+def test_a_null_series_is_a_series(spark):
+    rows = [(None if i % 2 else "a", f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", float(i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert {r.k: r.median for r in stats.medians(df, ["k"], "value", 10.0).collect()} == {"a": 749.0, None: 750.0}
+    grown = series.counter_rate(df, ["k"], ["ts"], 3600).groupBy("k").agg(F.sum("increase").alias("s")).collect()
+    assert {r.k: r.s for r in grown} == {"a": 1498.0, None: 1498.0}
+    assert {r.k: r.now for r in series.delta(df, ["k"], 60).collect()} == {"a": 1498.0, None: 1499.0}
