@@ -75,10 +75,24 @@ _BLOCKS = ("block long, bucket int, rows binary, n_rows int, words_per_row binar
 _IDS = "block long, bucket int, count binary, ids binary"
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together up to about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _to_blocks(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, BLOCK_BYTES):
             column = pc.fill_null(batch.column(1), "")
             for first, _, offsets in slices(column, BLOCK_BYTES):
                 n = len(offsets) - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.session import shared_dir
@@ -11,6 +11,17 @@ from changelake.session import shared_dir
 BROADCAST_IDS = 1_000_000
 
 
+# Rows of an Arrow batch: documents are long, and Spark's default of 10,000 would hold tens of MB of text in
+# each of several places at once.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches that suit documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """The frame, written once to the shared folder and read from there: its lineage ends here."""
     folder = shared_dir(df.sparkSession, purpose)

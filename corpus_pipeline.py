@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelake.llm import bytebpe, decontaminate, lines, neardup, quality
-from changelake.llm.store import materialise, only_ids
+from changelake.llm.store import materialise, only_ids, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,16 +28,19 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
+    small_batches(spark)
     return quality.train(docs).keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that repeat in windows of three."""
+    small_batches(spark)
     return _with_text(docs, lines.dedup_lines(docs), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest doc_id."""
+    small_batches(spark)
     judged = neardup.near_duplicates(docs)
     gone = materialise(judged.where("NOT kept").select("doc_id").distinct(), "near-duplicates")
     return only_ids(docs, "doc_id", gone, "left_anti")
@@ -45,12 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark phrases out of the texts."""
+    small_batches(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _with_text(docs, found, "cleaned")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text that they decode to."""
+    small_batches(spark)
     import public_tokenizers as tokenizers
     ranks = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bytebpe.encode(docs, ranks, tokenizers.PATTERN)
