@@ -24,7 +24,9 @@ document as often as they are written. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,18 +136,20 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         run, f"doc_id {kind}, shingles array<long>")
 
 
-def sketch_similarity(x: Column, y: Column) -> Column:
-    """Similarity estimated from two odd sketches: 1 + n / 4k * ln(1 - 2z / n), z differing bits."""
-    z = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    n, k = float(SKETCH_BITS), float(SAMPLES)
-    return F.when(z * 2 < SKETCH_BITS, 1 + F.log(1 - 2 * z / n) * (n / (4 * k))).otherwise(F.lit(0.0))
+def sketches_near(x: Column, y: Column) -> Column:
+    """Whether two odd sketches put the similarity, 1 + n / 4k * ln(1 - 2z / n) for z differing bits, at
+    the threshold less SLACK or above. Written out word by word, it stays in generated code."""
+    n, k = SKETCH_BITS, SAMPLES
+    most = n / 2 * (1 - math.exp(4 * k / n * (THRESHOLD / 100 - SLACK - 1)))
+    differing = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(n // 64)]
+    return reduce(lambda p, q: p + q, differing) <= int(most)
 
 
 def may_be_near(a: str, b: str) -> Column:
     """False for pairs that set sizes or sketches put well below the threshold."""
     x, y = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * THRESHOLD) & (
-        sketch_similarity(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= THRESHOLD / 100 - SLACK)
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * THRESHOLD) & sketches_near(
+        F.col(f"sketch_{a}"), F.col(f"sketch_{b}"))
 
 
 def enough(a: str, b: str) -> Column:
@@ -169,7 +173,7 @@ def links_left(placed: DataFrame, known: DataFrame, docs: DataFrame, text: str,
     x, y = (wide.select("band", "nth", *[F.col(c).alias(f"{n}_{s}") for c, n in (
         ("component", "component"), ("n_shingles", "n"), ("sketch", "sketch"), ("bands", "bands"), ("shingles", "set"))],
         F.col("doc_id").alias(s)) for s in ("a", "b"))
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
+    first = F.coalesce(*[F.when(F.get("bands_a", F.lit(i)) == F.get("bands_b", F.lit(i)), i) for i in range(BANDS)])
     return x.join(y.withColumnRenamed("band", "band_b").drop("nth"), (F.col("band") == F.col("band_b"))
                   & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
                   & may_be_near("a", "b") & (first == F.col("nth")) & enough("a", "b")).select("a", "b")
