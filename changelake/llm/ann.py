@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise
+from changelake.llm.text import tidy
 
 NEIGHBOURS = 20
 RECALL = 0.96
@@ -171,7 +172,7 @@ def search(table: DataFrame, queries: Column, k: int = NEIGHBOURS, recall: float
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))],
                                                  names=["v", "ids", "i", "j"])
 
-    placed = materialise(held.mapInArrow(place, f"v array<double>, ids array<{id_type}>, i int, j int"), "cells")
+    placed = materialise(held.mapInArrow(tidy(place), f"v array<double>, ids array<{id_type}>, i int, j int"), "cells")
     for r in placed.groupBy("i", "j").count().collect():      # at most K * K rows
         index.count[r.i, r.j] = r["count"]
     book = spark.sparkContext.broadcast(index)
@@ -200,7 +201,7 @@ def search(table: DataFrame, queries: Column, k: int = NEIGHBOURS, recall: float
                 [*chosen.columns, pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(second, pa.list_(pa.int32()))],
                 names=["query_id", "q", "i", "block", "js"])
 
-    routed = asked.mapInArrow(route, f"query_id {id_type}, q array<double>, i int, block int, js array<int>")
+    routed = asked.mapInArrow(tidy(route), f"query_id {id_type}, q array<double>, i int, block int, js array<int>")
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     counts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
@@ -250,7 +251,7 @@ def _tune(placed: DataFrame, asked: DataFrame, index: MultiIndex, width: int, k:
                                                  names=["query_id", "id", "score"])
 
     # an entry is known by its cell and score; the query's own vector is the best one and counts too
-    best = nearest(placed.mapInArrow(exact, "query_id long, id long, score double"), k + 1).collect()
+    best = nearest(placed.mapInArrow(tidy(exact), "query_id long, id long, score double"), k + 1).collect()
     depths: list[int] = []
     for r in best:
         cells = [divmod(x.id, index.k) for x in r.best]

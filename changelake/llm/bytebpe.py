@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from changelake.llm import bpe
 from changelake.llm.pretoken import split_texts, sums
-from changelake.llm.text import ragged, slices
+from changelake.llm.text import ragged, slices, tidy
 from changelake.session import estimated_bytes, shared_dir
 
 BLOCK_BYTES = 6 << 20
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     buckets = -(-size // BUCKET_BYTES) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(65536, max(12, buckets))       # of unknown size: as many as the session shuffles to
     made = materialise_by(docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(
-        _to_blocks(pattern, int(buckets)), _BLOCKS), "block", int(buckets))
+        tidy(_to_blocks(pattern, int(buckets))), _BLOCKS), "block", int(buckets))
     blocks = made.where("bucket < 0").drop("words", "bucket")
     words = made.where("bucket >= 0").select("block", "bucket", "words")
     ids = words.groupBy("bucket").applyInPandas(_encode_bucket(vocabulary), _IDS)
@@ -212,4 +212,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())],
                                              names=[*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelake.llm.fmindex import FMIndex
-from changelake.llm.text import Words, ragged, words
+from changelake.llm.text import Words, ragged, tidy, words
 from changelake.session import shared_dir
 
 PHRASE = 10
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RESULT = ("n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first:int,last:int>>, "
           "cleaned string")
 _RESULT = pa.schema([
@@ -123,7 +123,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE, text: str =
             folder = shared_dir(docs.sparkSession, "phrases")
             found.write.parquet(folder)
             found = docs.sparkSession.read.schema(found.schema).parquet(folder)
-        found = found.mapInArrow(_search(phrases, text, len(names), any_block), schema)
+        found = found.mapInArrow(tidy(_search(phrases, text, len(names), any_block)), schema)
         any_block = True
     if not any_block:
         found = found.mapInArrow(_search(Phrases([], [], size), text, len(names), False), schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelake.llm.text import slices
+from changelake.llm.text import slices, tidy
 
 SAMPLE_BYTES = 512 << 10
 SAMPLE_PIECE = 2 << 10        # characters of one document, so that a dictionary holds many
@@ -118,5 +118,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                      pa.array(score < MIN_MARGIN)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("doc_id", key)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("doc_id", key)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from changelake.llm.graph import connected_components
 from changelake.llm.store import materialise, only_ids
-from changelake.llm.text import Words, mix, span_hash, starts_of_windows, window_hash, words
+from changelake.llm.text import Words, mix, span_hash, starts_of_windows, tidy, window_hash, words
 
 SHINGLE = 5
 BANDS, ROWS = 50, 6
@@ -116,8 +116,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                     names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -132,8 +131,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                     names=["doc_id", "shingles"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, shingles array<long>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, shingles array<long>")
 
 
 def sketches_near(x: Column, y: Column) -> Column:

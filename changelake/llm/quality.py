@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise
-from changelake.llm.text import Words, mix, span_hash, words
+from changelake.llm.text import Words, mix, span_hash, tidy, words
 
 FEATURES = 1 << 12
 TRAIN_ROWS = 20_000
@@ -132,7 +132,7 @@ def combinations(docs: DataFrame, text: str = "text") -> DataFrame:
                 code, n = np.unique(_code(votes(w)[np.diff(w.bounds) > 0]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["votes", "n"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "votes long, n long").groupBy("votes").agg(
+    return docs.select(F.col(text).cast("string")).mapInArrow(tidy(run), "votes long, n long").groupBy("votes").agg(
         F.sum("n").alias("n"))
 
 
@@ -185,8 +185,7 @@ class QualityModel:
                         names=["doc_id", "score", "keep"])
 
         kind = docs.schema[key].dataType.simpleString()
-        return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-            run, f"doc_id {kind}, score double, keep boolean").withColumnRenamed("doc_id", key)
+        return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, score double, keep boolean").withColumnRenamed("doc_id", key)
 
     def keep_good(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows that are not rejected, with all their columns."""
@@ -197,7 +196,7 @@ class QualityModel:
                 for w in words(batch.column(at), "space", False):
                     yield batch.slice(w.first_row, w.rows).filter(pa.array(held.value.scores(w) >= 0.5))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train(docs: DataFrame, text: str = "text") -> QualityModel:
@@ -227,7 +226,7 @@ def train(docs: DataFrame, text: str = "text") -> QualityModel:
     bound = min(1.0, TRAIN_ROWS / total)
     sample = docs.where(F.col(text).isNotNull() & F.trim(F.col(text)).rlike(r"\S")).select(text).where(
         F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(bound * (1 << 30)))
-    rows = sample.limit(2 * TRAIN_ROWS).mapInArrow(run, "y double, feature array<int>, share array<float>")
+    rows = sample.limit(2 * TRAIN_ROWS).mapInArrow(tidy(run), "y double, feature array<int>, share array<float>")
     got = materialise(rows, "quality-sample").toArrow().combine_chunks()
     return _fit(got.column("y").to_numpy(), got.column("feature"), got.column("share"), good)
 

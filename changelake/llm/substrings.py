@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise, only_ids
-from changelake.llm.text import ragged, slices, span_hash, starts_of_windows, window_hash, words
+from changelake.llm.text import ragged, slices, span_hash, starts_of_windows, tidy, window_hash, words
 
 LENGTH = 50
 
@@ -77,8 +77,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str
                      pa.array(span.view(np.int64))], names=["h", "doc_id", "first", "n", "span"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-        run, f"h long, doc_id {kind}, first int, n int, span long")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"h long, doc_id {kind}, first int, n int, span long")
 
 
 def expand(docs: DataFrame, length: int) -> DataFrame:
@@ -99,7 +98,7 @@ def expand(docs: DataFrame, length: int) -> DataFrame:
                      pa.array(at, pa.int32())], names=["h", "doc_id", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "runs").mapInArrow(run, f"h long, doc_id {kind}, first int")
+    return docs.select("doc_id", "text", "runs").mapInArrow(tidy(run), f"h long, doc_id {kind}, first int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -136,8 +135,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     hit = only_ids(body, "doc_id", spans.select("doc_id")).join(spans, "doc_id")
     rest = only_ids(body, "doc_id", spans.select("doc_id"), "left_anti").withColumn(
         "spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    made = hit.select("doc_id", "text", "spans").union(rest).mapInArrow(
-        _cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    made = hit.select("doc_id", "text", "spans").union(rest).mapInArrow(tidy(_cut), f"doc_id {kind}, n_words long, n_removed long, kept string")
     return made.withColumnRenamed("doc_id", key)
 
 

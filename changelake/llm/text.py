@@ -7,7 +7,8 @@ than the bound is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -49,6 +50,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def tidy(run: Callable) -> Callable:
+    """The task function, which at its end gives freed memory back to the system: Spark keeps workers for
+    later stages, and what they hold on to adds up beside the next stage's."""
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return wrapped
+
+
 def word_table(kind: str) -> np.ndarray:
     """Which bytes belong to words: 'alnum' is [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing
     A-Z, 'space' is [^\\x20\\x09-\\x0D]. Bytes of characters beyond ASCII always do."""

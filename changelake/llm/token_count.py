@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from changelake.llm import bpe
 from changelake.llm.pretoken import split_texts, sums
-from changelake.llm.text import slices
+from changelake.llm.text import slices, tidy
 
 TOKEN_LIMIT = 1024
 
@@ -50,4 +50,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = TO
 
     schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(tidy(run), schema)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise
-from changelake.llm.text import Words, mix, words
+from changelake.llm.text import Words, mix, tidy, words
 
 DEPTH = 6
 CLASS_DISCOUNT = 1.5
@@ -105,8 +105,7 @@ def count_prefixes(labelled: DataFrame) -> DataFrame:
                              pa.array(history[mine][first].view(np.int64)), pa.array(pair[mine][first].astype(np.int32)),
                              pa.array(tox), pa.array(both - tox)], names=["part", "g", "h", "pair", "tox", "ord"])
 
-    return labelled.select("text", "toxic", "part").mapInArrow(
-        run, "part int, g long, h long, pair int, tox long, ord long").groupBy("part", "g", "h", "pair").agg(
+    return labelled.select("text", "toxic", "part").mapInArrow(tidy(run), "part int, g long, h long, pair int, tox long, ord long").groupBy("part", "g", "h", "pair").agg(
         F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
 
 
@@ -155,7 +154,7 @@ class Tables:
                     names=["slot", "tag", "ratio", "rest", "weight"])
 
         # SLOTS rows at most, however many prefixes there are
-        got = model.mapInArrow(fold, "slot int, tag int, ratio double, rest double, weight long").groupBy("slot").agg(
+        got = model.mapInArrow(tidy(fold), "slot int, tag int, ratio double, rest double, weight long").groupBy("slot").agg(
             F.max_by(F.struct("tag", "ratio", "rest"), F.struct("weight", "tag", "ratio")).alias("x")).select(
             "slot", "x.tag", F.col("x.ratio").cast("float").alias("ratio"),
             F.col("x.rest").cast("float").alias("rest")).toArrow()
@@ -225,8 +224,7 @@ class ToxicityModel:
                     names=["doc_id", "ratio", "evidence", "score", "predicted"])
 
         kind = docs.schema[key].dataType.simpleString()
-        return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-            run, f"doc_id {kind}, ratio double, evidence double, score double, predicted int").withColumnRenamed(
+        return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, ratio double, evidence double, score double, predicted int").withColumnRenamed(
             "doc_id", key)
 
 
