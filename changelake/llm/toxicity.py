@@ -1,13 +1,17 @@
-"""Toxicity by class-conditional Kneser-Ney models over the first bytes of words.
+"""Toxicity by class-conditional Kneser-Ney models over all bytes of a text.
 
-A word (A-Z lower-cased, see ``text.word_table``) is a sequence of up to ``DEPTH`` bytes, its end included;
-each byte is predicted from all earlier bytes of the word. Training counts every such prefix of all
-labelled documents per class, so what is gathered grows with the labelled corpus. The classes have their
-own counts at the highest order alone and share everything below:
+A text is the sequence of its words' bytes (A-Z lower-cased, see ``text.word_table``), each word followed by
+a byte 0. Every byte is predicted from the ``ORDER`` - 1 bytes before it, across words, with zeros before the
+first; so words of any length and what stands between two words are judged, in any script. Training counts
+every such n-gram of all labelled documents per class, so what is gathered grows with the labelled corpus.
+An n-gram is its own key: six bytes in a long, the history is the key without its last byte. There are three
+levels; the classes have their own counts at the first two and share the third:
 
-    P_class(w | h)  = (max(c(hw) - D, 0) + sum_v min(c(hv), D) * P_shared(w | h)) / c(h)
-    P_shared(w | h) = (max(n(hw) - d, 0) + d * types(h) * P_cont(w | last byte of h)) / n(h)
+    P_class(w | h)  = (max(c(hw) - D, 0) + sum_v min(c(hv), D) * P_word(w | h')) / c(h)
+    P_word(w | h')  = (max(c(h'w) - D, 0) + sum_v min(c(h'v), D) * P_shared(w | h')) / c(h')
+    P_shared(w | h') = (max(n(h'w) - d, 0) + d * types(h') * P_cont(w | last byte of h')) / n(h')
 
+h' is h without what lies before the word, so the first level is left out where h lies within a word;
 n are the counts of both classes together, P_cont Kneser-Ney continuation counts (in how many distinct
 histories a byte pair occurs). A rare expression therefore has nearly the shared probability in both
 classes and says little; one that a class uses often says much.
@@ -18,9 +22,7 @@ Long ordinary texts pile up small differences of chance, so the score is a logis
 The curve's two parameters are fitted on up to ``FIT_ROWS`` labelled rows with counts that leave these rows'
 eighth of the corpus out; the final model counts all.
 
-Tasks need log-likelihood ratios per prefix. They are compiled by joins in Spark and folded into tables of
-``SLOTS`` entries (42 MB) whatever the size of the corpus; where prefixes share a slot, the more frequent
-holds it and the other counts as unseen.
+The log-likelihood ratios per n-gram are computed in Spark and broadcast to the tasks.
 
 Defined results. Null and empty texts have no evidence and get the curve's value there. Rows are
 independent; repeated rows and null or repeated doc_ids give one row each. Labels with null doc_id or label
@@ -30,160 +32,223 @@ without slope, slightly below 0.5. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelake.llm.store import materialise
-from changelake.llm.text import Words, mix, tidy, words
+from changelake.llm.text import Words, mix, ragged, tidy, words
 
-DEPTH = 6
+ORDER = 6
 CLASS_DISCOUNT = 1.5
 SHARED_DISCOUNT = 0.75
 MARGIN = 1.0
-COUNT_BYTES = 4 << 20         # text that a task adds up before it sends counts
-SLOTS = 1 << 22
+COUNT_ROWS = 3_000_000        # n-grams that a task adds up before it sends counts
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000  # labels up to this number are broadcast, beyond it the join shuffles
+WITHIN = 1 << 56              # marks keys of the second level
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def prefixes(w: Words, follow=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: (words that reach it, history, prefix, byte pair). ``follow(prefix)`` tells which
-    words to go on with."""
-    data = np.append(_LOWER[w.data], 0)
-    size = w.end - w.start
-    on, key = np.arange(len(size)), np.zeros(len(size), np.uint64)
-    last = np.zeros(len(size), np.int64)
-    for depth in range(DEPTH):
-        alive = size[on] >= depth                 # the end of a word is a byte 0 of its own
-        on, key, last = on[alive], key[alive], last[alive]
-        if not len(on):
-            return
-        byte = np.where(size[on] > depth, data[np.minimum(w.start[on] + depth, len(data) - 1)], 0).astype(np.int64)
-        history = key
-        with np.errstate(over="ignore"):
-            key = mix(history + (byte + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        yield on, history, key, last << 8 | byte
-        last = byte
-        if follow is not None:
-            go = follow(key)
-            on, key, last = on[go], key[go], last[go]
-
-
-def slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - int(math.log2(SLOTS)))).astype(np.int64)
-
-
-def tag(key: np.ndarray) -> np.ndarray:
-    """1 to 65535, from other bits than the slot."""
-    return (key & np.uint64(0xFFFF) | np.uint64(1)).astype(np.uint16)
-
-
-def count_prefixes(labelled: DataFrame) -> DataFrame:
-    """(part, g, h, pair, tox, ord) from rows (text, toxic, part): tasks add up slice by slice first."""
+def ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram that ends there, document) of each byte of the words and of each word's end."""
+    size, doc = w.end - w.start, w.doc_of_word()
+    count = np.diff(w.bounds)
+    # zeros before each document's first word, so that no history reaches into the document before
+    base = np.cumsum(size + 1) - (size + 1) + (ORDER - 1) * np.cumsum(count > 0)[doc]
+    line = np.zeros(int(base[-1] + size[-1] + 1) if len(base) else 0, np.uint64)
+    line[ragged(base, size)] = _LOWER[w.data[ragged(w.start, size)]]
+    key = line.copy()
+    for back in range(1, ORDER):
+        key[back:] |= line[:-back] << np.uint64(8 * back)
+    return key[ragged(base, size + 1)], np.repeat(doc, size + 1)
+
+
+def within(key: np.ndarray) -> np.ndarray:
+    """The n-grams without what lies before their last byte's word."""
+    out = key.copy()
+    for back in range(ORDER - 1, 0, -1):
+        zero = key & np.uint64(0xFF << 8 * back) == 0
+        out[zero] = key[zero] & np.uint64((1 << 8 * back) - 1)
+    return out
+
+
+def within_column(key: Column) -> Column:
+    """The same in Spark."""
+    out = key
+    for back in range(ORDER - 1, 0, -1):
+        out = F.when(key.bitwiseAND(F.lit(0xFF << 8 * back)) == 0, key.bitwiseAND(F.lit((1 << 8 * back) - 1))).otherwise(out)
+    return out
+
+
+def count_ngrams(labelled: DataFrame) -> DataFrame:
+    """(key, tox_0, ord_0, tox_1, ord_1), counts by part, from rows (text, toxic, part): tasks add up first."""
+    names = ["ord_0", "tox_0", "ord_1", "tox_1"]
+
+    def add_up(held: list) -> tuple[np.ndarray, np.ndarray]:
+        code, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        return code[first], np.add.reduceat(n, first) if len(first) else n
+
+    def rows(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, at = np.unique(code >> np.uint64(2), return_inverse=True)
+        table = np.zeros((4, len(key)), np.int64)
+        table[(code & np.uint64(3)).astype(np.int64), at] = n
+        for i in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[i:i + 100_000].view(np.int64)), *[pa.array(c[i:i + 100_000]) for c in table]],
+                names=["key", *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            toxic = np.array(batch.column(1).to_pylist(), bool)
-            part = np.array(batch.column(2).to_pylist(), np.int64)
-            for w in words(batch.column(0), "alnum", True, COUNT_BYTES, hashed=False):
-                doc = w.doc_of_word() + w.first_row
-                for on, history, key, pair in prefixes(w):
-                    bad, of = toxic[doc[on]], part[doc[on]]
-                    for p in np.unique(of):
-                        mine = of == p
-                        unique, first, at = np.unique(key[mine], return_index=True, return_inverse=True)
-                        both = np.bincount(at, minlength=len(unique))
-                        tox = np.bincount(at, weights=bad[mine], minlength=len(unique)).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(unique), p, np.int32)), pa.array(unique.view(np.int64)),
-                             pa.array(history[mine][first].view(np.int64)), pa.array(pair[mine][first].astype(np.int32)),
-                             pa.array(tox), pa.array(both - tox)], names=["part", "g", "h", "pair", "tox", "ord"])
-
-    return labelled.select("text", "toxic", "part").mapInArrow(tidy(run), "part int, g long, h long, pair int, tox long, ord long").groupBy("part", "g", "h", "pair").agg(
-        F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
+            kind = np.array(batch.column(2).to_pylist(), np.uint64) * np.uint64(2) + np.array(
+                batch.column(1).to_pylist(), np.uint64)
+            for w in words(batch.column(0), "alnum", True, hashed=False):
+                key, doc = ngrams(w)
+                held.append(np.unique(key << np.uint64(2) | kind[doc + w.first_row], return_counts=True))
+                size += len(held[-1][0])
+                if size > COUNT_ROWS:
+                    held = [add_up(held)]
+                    size = len(held[0][0])
+                    if size > COUNT_ROWS // 2:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*add_up(held))
+
+    return labelled.select("text", "toxic", "part").mapInArrow(
+        tidy(run), "key long, " + ", ".join(f"{c} long" for c in names)).groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in names])
 
 
 def compile_model(counts: DataFrame) -> DataFrame:
-    """(key, ratio, rest, weight): log P_toxic - log P_ordinary of each prefix's last byte, and of a byte
-    that neither class has after this prefix."""
+    """(key, ratio, rest, weight) from rows (key, tox, ord), for both levels: log P_toxic - log P_ordinary of
+    the n-gram's last byte; what a byte that neither class has after its history adds to the next level's
+    value; how often the history occurs."""
     low, high, d = F.lit(0.0), CLASS_DISCOUNT, SHARED_DISCOUNT
-    pairs = counts.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))          # 65,536 rows at most
-    before = pairs.groupBy(F.shiftright("pair", 8).alias("v")).agg(
-        F.sum("n").alias("n_v"), F.count(F.lit(1)).alias("types_v"))
-    cont = pairs.join(F.broadcast(before), F.shiftright("pair", 8) == F.col("v")).select(
-        "pair", ((F.greatest(F.col("n") - d, low) + F.col("types_v") * d / 256) / F.col("n_v")).alias("p_cont"))
+    history = Window.partitionBy(F.shiftright("key", 8))                      # 256 rows at most
+    both = F.col("tox") + F.col("ord")
 
     def spread(c: str) -> Column:
-        return F.sum(F.least(F.col(c).cast("double"), F.lit(high)))
+        return F.sum(F.least(F.col(c).cast("double"), F.lit(high))).over(history)
 
-    both = F.col("tox") + F.col("ord")
-    histories = counts.groupBy("h").agg(
-        F.sum("tox").alias("sum_tox"), F.sum("ord").alias("sum_ord"), spread("tox").alias("rest_tox"),
-        spread("ord").alias("rest_ord"), F.sum(both).alias("sum"), F.count(F.lit(1)).alias("types"))
-    joined = counts.join(histories, "h").join(F.broadcast(cont), "pair").withColumn(
-        "p", (F.greatest(both - d, low) + F.col("types") * d * F.col("p_cont")) / F.col("sum"))
+    def sums(level: DataFrame) -> DataFrame:
+        return level.withColumns({
+            "sum_tox": F.sum("tox").over(history), "sum_ord": F.sum("ord").over(history), "rest_tox": spread("tox"),
+            "rest_ord": spread("ord"), "sum": F.sum(both).over(history), "types": F.count(F.lit(1)).over(history)})
 
-    def own(c: str) -> Column:
-        p = (F.greatest(F.col(c) - high, low) + F.col(f"rest_{c}") * F.col("p")) / F.col(f"sum_{c}")
-        return F.when(F.col(f"sum_{c}") > 0, p).otherwise(F.col("p"))
+    def own(c: str, shorter: str) -> Column:
+        p = (F.greatest(F.col(c) - high, low) + F.col(f"rest_{c}") * F.col(shorter)) / F.col(f"sum_{c}")
+        return F.when(F.col(f"sum_{c}") > 0, p).otherwise(F.col(shorter))
 
     def left(c: str) -> Column:
         return F.when(F.col(f"sum_{c}") > 0, F.col(f"rest_{c}") / F.col(f"sum_{c}")).otherwise(F.lit(1.0))
 
-    seen = joined.select(F.col("g").alias("key"), F.log(own("tox") / own("ord")).alias("ratio"),
-                         both.alias("weight"))
-    after = histories.select(F.col("h").alias("key"), F.log(left("tox") / left("ord")).alias("rest"))
-    return seen.join(after, "key", "left").select("key", "ratio", F.coalesce("rest", F.lit(0.0)).alias("rest"), "weight")
+    def ratios(level: DataFrame, tox: Column, ord: Column, *more: str) -> DataFrame:
+        return level.select("key", F.log(tox / ord).cast("float").alias("ratio"),
+                            F.log(left("tox") / left("ord")).cast("float").alias("rest"), F.col("sum").alias("weight"), *more)
+
+    counts = counts.withColumn("word", within_column(F.col("key")))
+    words_only = materialise(counts.groupBy(F.col("word").bitwiseOR(F.lit(WITHIN)).alias("key")).agg(
+        F.sum("tox").alias("tox"), F.sum("ord").alias("ord")), "word-counts").withColumn(
+        "pair", F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    pairs = words_only.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))      # 65,536 rows at most
+    before = pairs.groupBy(F.shiftright("pair", 8).alias("v")).agg(
+        F.sum("n").alias("n_v"), F.count(F.lit(1)).alias("types_v"))
+    cont = pairs.join(F.broadcast(before), F.shiftright("pair", 8) == F.col("v")).select(
+        "pair", ((F.greatest(F.col("n") - d, low) + F.col("types_v") * d / 256) / F.col("n_v")).alias("p_cont"))
+    second = sums(words_only.join(F.broadcast(cont), "pair")).withColumn(
+        "p", (F.greatest(both - d, low) + F.col("types") * d * F.col("p_cont")) / F.col("sum")).withColumns(
+        {"p_tox": own("tox", "p"), "p_ord": own("ord", "p")})
+    second = materialise(ratios(second, F.col("p_tox"), F.col("p_ord"), "p_tox", "p_ord"), "word-level")
+    first = sums(counts.where("key <> word")).join(
+        second.select(F.col("key").bitwiseAND(F.lit(WITHIN - 1)).alias("word"), "p_tox", "p_ord"), "word")
+    return ratios(first, own("tox", "p_tox"), own("ord", "p_ord")).union(second.drop("p_tox", "p_ord"))
+
+
+class Index:
+    """Finds numbers in an array of distinct ones."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys)
+        self.order = np.argsort(mixed).astype(np.int32)
+        self.mixed = mixed[self.order]
+        bits = max(int(len(keys)).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.mixed >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        mixed = mix(keys)
+        cell = (mixed >> self.shift).astype(np.int64)
+        at, end = self.first[cell], self.first[cell + 1]
+        on = np.flatnonzero(at < end)
+        while len(on):
+            hit = self.mixed[at[on]] == mixed[on]
+            out[on[hit]] = self.order[at[on[hit]]]
+            on = on[~hit]
+            at[on] += 1
+            on = on[at[on] < end[on]]
+        return out
 
 
 class Tables:
-    """The compiled model as arrays by slot; a tag tells most strangers apart."""
+    """The compiled model as arrays."""
 
     def __init__(self, model: DataFrame):
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                key = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot(key).astype(np.int32)), pa.array(tag(key).astype(np.int32)), *b.columns[1:]],
-                    names=["slot", "tag", "ratio", "rest", "weight"])
-
-        # SLOTS rows at most, however many prefixes there are
-        got = model.mapInArrow(tidy(fold), "slot int, tag int, ratio double, rest double, weight long").groupBy("slot").agg(
-            F.max_by(F.struct("tag", "ratio", "rest"), F.struct("weight", "tag", "ratio")).alias("x")).select(
-            "slot", "x.tag", F.col("x.ratio").cast("float").alias("ratio"),
-            F.col("x.rest").cast("float").alias("rest")).toArrow()
-        self.tag = np.zeros(SLOTS, np.uint16)
-        self.ratio, self.rest = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-        at = got.column("slot").to_numpy()
-        self.tag[at] = got.column("tag").to_numpy()
-        self.ratio[at], self.rest[at] = got.column("ratio").to_numpy(), got.column("rest").to_numpy()
-
-    def compare(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ratio, evidence) of each text."""
-        doc = w.doc_of_word()
-        total, ahead = np.zeros(w.rows), np.zeros(w.rows)
-        known: list[np.ndarray] = []
-
-        def follow(key: np.ndarray) -> np.ndarray:
-            return known.pop()
-
-        for on, history, key, _ in prefixes(w, follow):
-            at = slot(key)
-            there = self.tag[at] == tag(key)
-            before = slot(history)
-            rest = np.where(self.tag[before] == tag(history), self.rest[before], 0)
-            value = np.where(there, self.ratio[at], rest).astype(np.float64)
-            total += np.bincount(doc[on], weights=value, minlength=w.rows)
-            ahead += np.bincount(doc[on], weights=np.where(value > MARGIN, value, 0), minlength=w.rows)
-            known.append(there)
-        length = np.bincount(doc, weights=np.minimum(w.end - w.start + 1, DEPTH), minlength=w.rows)
-        return total / np.maximum(length, 1), ahead / np.maximum(length, 1)
+        got = model.select("key", "ratio", "rest").toArrow()
+        key = got.column("key").to_numpy().astype(np.uint64)
+        history, first = np.unique(key >> np.uint64(8), return_index=True)
+        self.held = Held(Index(key), got.column("ratio").to_numpy(), Index(history),
+                         got.column("rest").to_numpy()[first], False)
+
+
+class Held:
+    """What tasks get of the model."""
+
+    def __init__(self, key: Index, ratio: np.ndarray, history: Index, rest: np.ndarray, more: bool):
+        self.key, self.ratio, self.history, self.rest, self.more = key, ratio, history, rest, more
+
+    def compare(self, w: Words) -> list[pa.Array]:
+        """total, ahead, length of each text, and its distinct n-grams that need other histories, with their counts."""
+        key, doc = ngrams(w)
+        word = within(key)
+        mark = word | np.uint64(WITHIN)
+        at = self.key.find(mark)
+        known, value = at >= 0, np.zeros(len(key))
+        value[known] = self.ratio[at[known]]
+        on = np.flatnonzero(~known)
+        before = self.history.find(mark[on] >> np.uint64(8))
+        value[on[before >= 0]] = self.rest[before[before >= 0]]
+        known[on[before >= 0]] = True
+        on = np.flatnonzero(word != key)
+        at = self.key.find(key[on])
+        value[on[at >= 0]] = self.ratio[at[at >= 0]]
+        known[on[at >= 0]] = True
+        on = on[at < 0]
+        before = self.history.find(key[on] >> np.uint64(8))
+        value[on[before >= 0]] += self.rest[before[before >= 0]]
+        known[on[before < 0]] = False
+        cold = np.flatnonzero(~known) if self.more else on[:0]
+        value[cold] = 0
+        cold = cold[np.lexsort((key[cold], doc[cold]))]
+        k, d = key[cold], doc[cold]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else cold
+        cuts = pa.array(np.searchsorted(d[first], np.arange(w.rows + 1)), pa.int32())
+        return [pa.array(np.bincount(doc, weights=value, minlength=w.rows)),
+                pa.array(np.bincount(doc, weights=np.where(value > MARGIN, value, 0), minlength=w.rows)),
+                pa.array(np.bincount(doc, minlength=w.rows), pa.int64()),
+                pa.ListArray.from_arrays(cuts, pa.array(k[first].view(np.int64))),
+                pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(first, len(k))), pa.int64()))]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -209,23 +274,22 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """Per row: the key, ratio, evidence, score, predicted."""
-        held = docs.sparkSession.sparkContext.broadcast(self.tables)
-        slope, intercept = self.slope, self.intercept
+        held = docs.sparkSession.sparkContext.broadcast(self.tables.held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = [held.value.compare(w) for w in words(batch.column(1), "alnum", True, hashed=False)]
-                ratio = np.concatenate([np.zeros(0), *[p[0] for p in parts]])
-                evidence = np.concatenate([np.zeros(0), *[p[1] for p in parts]])
-                score = 1 / (1 + np.exp(-np.clip(slope * evidence + intercept, -30, 30)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ratio), pa.array(evidence), pa.array(score),
-                     pa.array((score >= 0.5).astype(np.int32))],
-                    names=["doc_id", "ratio", "evidence", "score", "predicted"])
+                for w in words(batch.column(1), "alnum", True, hashed=False):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(w.first_row, w.rows), *held.value.compare(w)],
+                        names=["doc_id", "total", "ahead", "length", "cold", "times"])
 
         kind = docs.schema[key].dataType.simpleString()
-        return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, ratio double, evidence double, score double, predicted int").withColumnRenamed(
-            "doc_id", key)
+        rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, total double, ahead double, length long, cold array<long>, times array<long>")
+        size = F.greatest("length", F.lit(1))
+        odds = F.col("evidence") * self.slope + self.intercept
+        return rows.select("doc_id", (F.col("total") / size).alias("ratio"), (F.col("ahead") / size).alias("evidence")).withColumn(
+            "score", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))).withColumn(
+            "predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("doc_id", key)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text",
@@ -242,10 +306,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
 def train(labelled: DataFrame) -> ToxicityModel:
     """A model from rows (doc_id, text, toxic). All rows are counted."""
     parted = labelled.withColumn("part", (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).cast("int"))
-    counts = materialise(count_prefixes(parted), "prefix-counts")
-    fitted = ToxicityModel(Tables(compile_model(counts.where("part = 0"))), 1.0, 0.0)
+    counts = materialise(count_ngrams(parted), "ngram-counts")
+    most = counts.select("key", F.col("tox_0").alias("tox"), F.col("ord_0").alias("ord")).where("tox + ord > 0")
+    fitted = ToxicityModel(Tables(compile_model(most)), 1.0, 0.0)
     aside = parted.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic"))
     rows = fitted.score(aside, key="toxic").select("toxic", "evidence").limit(FIT_ROWS).toArrow()
     slope, intercept = fit_curve(rows.column("evidence").to_numpy(), rows.column("toxic").to_numpy().astype(float))
-    whole = counts.groupBy("g", "h", "pair").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
+    whole = counts.select("key", (F.col("tox_0") + F.col("tox_1")).alias("tox"), (F.col("ord_0") + F.col("ord_1")).alias("ord"))
     return ToxicityModel(Tables(compile_model(whole)), slope, intercept)

@@ -283,6 +283,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc(np.array([t[0] for t in test]), np.array([t[1] for t in test])) > 0.9
 
 
+def trained(spark, toxic, ordinary):
+    """A model from these texts, each ten times."""
+    texts = [*toxic, *ordinary] * 10
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(t in toxic)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    return toxicity.train(toxicity.labelled_texts(docs, labels))
+
+
+def test_toxicity_reads_whole_texts(spark):
+    toxic = ["internationalscum", "black dog", "white cat", "\u043f\u0440\u0435\u0434\u0430\u0442\u0435\u043b\u044c"]
+    ordinary = ["internationalpeace", "black cat", "white dog", "\u043f\u0440\u0435\u0434\u043b\u043e\u0433"]
+    texts = [*toxic, *ordinary]
+    got = {r.doc_id: r for r in trained(spark, toxic, ordinary).score(frame(spark, texts)).collect()}
+    for i in range(4):
+        assert got[i].ratio > 0 > got[i + 4].ratio and got[i].evidence > got[i + 4].evidence == 0, texts[i]
+
+
 def test_pipeline_stages(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     now = spark.read.parquet(f"{SF}/documents.parquet")
