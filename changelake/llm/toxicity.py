@@ -22,7 +22,10 @@ Long ordinary texts pile up small differences of chance, so the score is a logis
 The curve's two parameters are fitted on up to ``FIT_ROWS`` labelled rows with counts that leave these rows'
 eighth of the corpus out; the final model counts all.
 
-The log-likelihood ratios per n-gram are computed in Spark and broadcast to the tasks.
+The log-likelihood ratios per n-gram are computed in Spark and stay a table there. Tasks hold its most
+frequent histories, ``HOT`` n-grams at most, each history with all that follows it. If there are more, the
+n-grams of other histories leave the tasks as counts per document and are joined with the table, so every
+n-gram counts with its own value whatever the size of the model.
 
 Defined results. Null and empty texts have no evidence and get the curve's value there. Rows are
 independent; repeated rows and null or repeated doc_ids give one row each. Labels with null doc_id or label
@@ -47,6 +50,7 @@ CLASS_DISCOUNT = 1.5
 SHARED_DISCOUNT = 0.75
 MARGIN = 1.0
 COUNT_ROWS = 3_000_000        # n-grams that a task adds up before it sends counts
+HOT = 1 << 22                 # n-grams that tasks hold
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000  # labels up to this number are broadcast, beyond it the join shuffles
 WITHIN = 1 << 56              # marks keys of the second level
@@ -202,14 +206,24 @@ class Index:
 
 
 class Tables:
-    """The compiled model as arrays."""
+    """The compiled model's most frequent histories as arrays; ``cold`` is the whole table if that is not all."""
 
     def __init__(self, model: DataFrame):
-        got = model.select("key", "ratio", "rest").toArrow()
+        model = materialise(model, "toxicity-model")
+        level = F.floor(F.log2("weight") * 4).cast("int")
+        taken, self.lowest, self.cold = 0, None, None
+        for r in model.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 256 rows at most
+            taken += r["count"]
+            if taken > HOT:
+                self.cold = model
+                break
+            self.lowest = r.level
+        got = (model.where("false") if self.lowest is None else model.where(level >= self.lowest)).select(
+            "key", "ratio", "rest").toArrow()
         key = got.column("key").to_numpy().astype(np.uint64)
         history, first = np.unique(key >> np.uint64(8), return_index=True)
         self.held = Held(Index(key), got.column("ratio").to_numpy(), Index(history),
-                         got.column("rest").to_numpy()[first], False)
+                         got.column("rest").to_numpy()[first], self.cold is not None)
 
 
 class Held:
@@ -285,12 +299,39 @@ class ToxicityModel:
 
         kind = docs.schema[key].dataType.simpleString()
         rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, total double, ahead double, length long, cold array<long>, times array<long>")
+        if self.tables.cold is not None:
+            rows = self._with_cold(rows)
         size = F.greatest("length", F.lit(1))
         odds = F.col("evidence") * self.slope + self.intercept
         return rows.select("doc_id", (F.col("total") / size).alias("ratio"), (F.col("ahead") / size).alias("evidence")).withColumn(
             "score", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))).withColumn(
             "predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("doc_id", key)
 
+    def _with_cold(self, rows: DataFrame) -> DataFrame:
+        """The rows with the n-grams added that tasks could not judge."""
+        rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "toxicity-rows")
+        asked = materialise(rows.select("_row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select(
+            "_row", F.col("x.cold").alias("key"), F.col("x.times").alias("times")), "toxicity-asked")
+        model = self.tables.cold
+        rests = model.select(F.shiftright("key", 8).alias("_h"), "rest").distinct()
+        found = asked.select("key").distinct().withColumn("word", within_column(F.col("key")))
+        for name, at in (("first", F.when(F.col("key") != F.col("word"), F.col("key"))),
+                         ("second", F.col("word").bitwiseOR(F.lit(WITHIN)))):
+            found = found.withColumn("_at", at)
+            found = found.join(model.select(F.col("key").alias("_key"), F.col("ratio").alias(f"ratio_{name}")),
+                               F.col("_at") == F.col("_key"), "left").join(
+                rests.withColumnRenamed("rest", f"rest_{name}"), F.shiftright("_at", 8) == F.col("_h"), "left").drop(
+                "_at", "_key", "_h")
+        none = F.lit(0.0)
+        found = found.select("key", F.coalesce(F.col("ratio_first").cast("double"), F.coalesce("rest_first", none) + F.coalesce(
+            "ratio_second", "rest_second", none)).alias("value"))
+        more = asked.join(found, "key").groupBy("_row").agg(
+            F.sum(F.col("value") * F.col("times")).alias("more"),
+            F.sum(F.when(F.col("value") > MARGIN, F.col("value") * F.col("times")).otherwise(0.0)).alias("more_ahead"))
+        return rows.join(more, "_row", "left").select(
+            "doc_id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("ahead") + F.coalesce("more_ahead", F.lit(0.0))).alias("ahead"), "length")
+
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text",
                    key: str = "doc_id") -> DataFrame:

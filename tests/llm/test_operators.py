@@ -300,6 +300,22 @@ def test_toxicity_reads_whole_texts(spark):
         assert got[i].ratio > 0 > got[i + 4].ratio and got[i].evidence > got[i + 4].evidence == 0, texts[i]
 
 
+def test_toxicity_keeps_every_ngram(spark, monkeypatch):
+    rnd = random.Random(3)
+    toxic = [prose(rnd, 30, 900).replace("w", "t") for _ in range(10)]
+    ordinary = [prose(rnd, 30, 900) for _ in range(10)]
+    texts = [*toxic, *ordinary, None, "", "w1 t2", "unseen", " ".join([toxic[0]] * 50)]
+    want = trained(spark, toxic, ordinary).score(frame(spark, texts)).orderBy("doc_id").collect()
+    for hot in (300, 0):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        model = trained(spark, toxic, ordinary)
+        assert model.tables.cold is not None and len(model.tables.held.ratio) <= hot
+        got = model.score(frame(spark, texts)).orderBy("doc_id").collect()
+        assert [r.doc_id for r in got] == [r.doc_id for r in want]
+        for column in ("ratio", "evidence", "score"):
+            assert np.allclose([r[column] for r in got], [r[column] for r in want]), (hot, column)
+
+
 def test_pipeline_stages(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     now = spark.read.parquet(f"{SF}/documents.parquet")
