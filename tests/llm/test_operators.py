@@ -2,6 +2,7 @@
 tables, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -316,6 +317,19 @@ def test_toxicity_keeps_every_ngram(spark, monkeypatch):
             assert np.allclose([r[column] for r in got], [r[column] for r in want]), (hot, column)
 
 
+def test_sketches_lose_far_less_than_bands():
+    n, k, s = neardup.SKETCH_BITS, neardup.SAMPLES, neardup.THRESHOLD / 100
+    most = int(n / 2 * (1 - math.exp(4 * k / n * (s - neardup.SLACK - 1))))
+    odd, z, lost = np.eye(1, n + 1)[0], np.arange(n + 1), 0.0
+    for differ in range(k + 1):           # samples that differ; each flips two bits of the XOR
+        chance = math.exp(math.lgamma(k + 1) - math.lgamma(differ + 1) - math.lgamma(k - differ + 1)
+                          + differ * math.log(1 - s) + (k - differ) * math.log(s))
+        lost += chance * odd[most + 1:].sum()
+        for _ in range(2):
+            odd = np.append(0, odd[:-1] * (n - z[:-1]) / n) + np.append(odd[1:] * z[1:] / n, 0)
+    assert lost < 0.01 * (1 - s ** neardup.ROWS) ** neardup.BANDS
+
+
 def test_pipeline_stages(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     now = spark.read.parquet(f"{SF}/documents.parquet")
