@@ -184,3 +184,15 @@ def load_merges(path: str) -> tuple[Merges, dict[str, int]]:
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     return Merges(size, ids, [vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs],
                   range(len(pairs)), [vocab[a + b] for a, b in pairs]), special
+
+
+@lru_cache(maxsize=2)
+def load_token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a tokenizers file with a byte-level BPE model."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = byte_symbols()
+    table = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return table

@@ -31,9 +31,13 @@ def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ())
     index: dict[str, int] = {}
     parts: list[np.ndarray] = []
     flat: list[str] = []
-    held = 0
+    held, nul = 0, False
 
     def fold() -> None:
+        if nul:      # the library's table of strings ends them at a NUL
+            parts.append(np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int32, len(flat)))
+            flat.clear()
+            return
         codes, unique = pd.factorize(np.array(flat, dtype=object))
         number = np.fromiter((index.setdefault(w, len(index)) for w in unique), np.int32, len(unique))
         parts.append(number[codes])
@@ -50,9 +54,10 @@ def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ())
             flat += find(text)
         count[i] = len(flat) - before
         held += len(text)
+        nul = nul or "\0" in text
         if held >= PIECE_CHARS:
             fold()
-            held = 0
+            held, nul = 0, False
     if flat:
         fold()
     codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)

@@ -210,3 +210,53 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     from changelake.llm.ann import search
     return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# ---- 11. SimHash near-duplicates --------------------------------------------------------------
+
+@query("op11_simhash")
+def _simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- 12. Periodic runs ------------------------------------------------------------------------
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one document in ten gets a periodic end, as the contract of op12 sets out."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    w = w.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn(
+        "a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    w = w.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    end = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.get("w", F.col("a") + i % F.col("p")))
+    planted = F.array_join(F.concat(F.slice("w", 1, "a"), end), " ")
+    return w.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def _periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from changelake.llm.runs import periodic_runs
+    found = periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# ---- 13. Cross-tokenizer alignment ------------------------------------------------------------
+
+@query("op13_alignment")
+def _alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+    from changelake.llm.alignment import align_documents
+    found = align_documents(table(spark, folder, "documents"), tokenizers.path("byte_bpe_50k.json"),
+                            tokenizers.PATTERN, tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")

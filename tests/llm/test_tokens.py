@@ -36,7 +36,7 @@ def odd_texts():
     made = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 400))) for _ in range(300)]
     anywhere = ["".join(chr(c) for c in rnd.sample(range(0x20000), 300) if not 0xD800 <= c < 0xE000) for _ in range(20)]
     return [None, "", " ", "\n\n\n", "x" * 30000, "ab" * 9000, " " * 5000, "it's we've 'sno ''s", "a <|endoftext|> b",
-            "<|endoftext|><|endoftext|>", "<|endoftext", *made, *anywhere]
+            "<|endoftext|><|endoftext|>", "<|endoftext", " ", "\0", " \0\1", "a\0b", "a\0c", "a", *made, *anywhere]
 
 
 def test_words_merge_as_the_libraries_do(tik):
