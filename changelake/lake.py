@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -408,8 +409,10 @@ class ChangeTable:
         return evolve(self.head().schema if self.exists() else None, incoming, pks)
 
     def append(self, changes: DataFrame, schema: T.StructType, pks: list[str],
-               stream_id: str | None = None, batch_id: int | None = None) -> tuple[Commit, dict]:
-        """Commit one change set: typed rows, one per key, with the metadata columns."""
+               stream_id: str | None = None, batch_id: int | None = None,
+               before_commit: Callable[[], None] | None = None) -> tuple[Commit, dict]:
+        """Commit one change set: typed rows, one per key, with the metadata columns. ``before_commit`` runs
+        when the rows are written; if it raises, nothing is committed."""
         version = self.next_version()
         parent = self.head() if self.exists() else Commit(-1, None, "", "", "", pks, schema_id=-1)
         have = set(changes.columns)
@@ -418,6 +421,8 @@ class ChangeTable:
         path, stats = self.write_folder(
             changes.select(*cols, F.lit(version).cast("long").alias("_version")),
             "changes", version, pks)
+        if before_commit:
+            before_commit()
         if not stats["rows"] and parent.schema_json == schema.json():
             return parent, stats
         known = parent.schema_json == schema.json()

@@ -926,6 +926,34 @@ def _decode(spark, d):
     return envelope.decode(records, shape.fields, shape.pks).drop("_ingested_at")
 
 
+@query("decode_rejects", CHG + """,
+f AS (SELECT CASE off % 40 WHEN 1 THEN 'payload does not parse' WHEN 2 THEN 'payload does not parse' WHEN 3 THEN 'no op'
+    WHEN 4 THEN 'unknown op' WHEN 5 THEN 'no key' WHEN 6 THEN 'not an envelope' WHEN 7 THEN 'no op'
+    ELSE 'applied' END AS fault, off FROM chg WHERE off % 40 NOT IN (8, 9))
+SELECT fault, count(*) AS records, min(off) AS first_offset, max(off) AS last_offset FROM f GROUP BY fault""")
+def _decode_rejects(spark, d):
+    """Records damaged by offset, in every way the decoder tells apart; truncates and tombstones are none."""
+    landed_at = f"{shared_dir(spark, 'rejects')}/raw"
+    made = raw_records(spark, d)
+    n, value = F.col("offset") % 40, F.col("value")
+    op = F.concat(F.lit('"op":"'), F.regexp_extract(value, '"op":"(.)"', 1), F.lit('"'))
+    damaged = (F.when(n == 1, F.expr("substring(value, 1, length(value) - 25)"))       # cut within the payload
+               .when(n == 2, F.expr("substring(value, 1, length(value) - 1)"))         # one brace missing
+               .when(n == 3, F.replace(value, F.concat(F.lit(","), op), F.lit("")))
+               .when(n == 4, F.replace(value, op, F.lit('"op":"x"')))
+               .when(n == 6, F.concat(F.lit("<"), value))
+               .when(n == 7, F.concat(F.substring_index(value, envelope.PAYLOAD_MARK, 1), F.lit(envelope.PAYLOAD_MARK + "{}}")))
+               .when(n == 8, F.replace(value, op, F.lit('"op":"t"')))
+               .when(n != 9, value))
+    made.select("topic", "partition", "offset", F.when(n != 5, F.col("key")).alias("key"), damaged.alias("value")) \
+        .write.parquet(landed_at)
+    records = envelope.text_records(spark.read.schema(envelope.RAW_SCHEMA).parquet(landed_at))
+    shape = envelope.sniff(records)[0]
+    decoded = envelope.decode_all(records, shape.fields, shape.pks)
+    return decoded.groupBy(F.coalesce("_fault", F.lit("applied")).alias("fault")).agg(
+        F.count(F.lit(1)).alias("records"), F.min("_offset").alias("first_offset"), F.max("_offset").alias("last_offset"))
+
+
 @query("json_safe", """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
   CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS o_totalprice,

@@ -25,6 +25,11 @@ log = logging.getLogger(__name__)
 RAW_SCHEMA = "topic string, partition int, offset long, key string, value string"
 PAYLOAD_MARK = ',"payload":'
 SCHEMA_MARK = '{"schema":'
+# Operations that change no row (truncate, logical message).
+OTHER_OPS = ["t", "m"]
+# Why a record cannot be applied.
+NOT_JSON, CUT, NO_OP, ODD_OP, NO_KEY = (
+    "not an envelope", "payload does not parse", "no op", "unknown op", "no key")
 
 
 @dataclass(frozen=True)
@@ -47,7 +52,8 @@ def text_records(raw: DataFrame) -> DataFrame:
 
     Cutting is far cheaper than parsing whole records: the schema texts repeat and only the payloads, a
     fraction of each record, are parsed. Records of another layout (spaces, another order of members) are
-    parsed as JSON. What is no such JSON keeps its value under ``undecodable``.
+    parsed as JSON. What is no such JSON keeps its value under ``undecodable``. A payload text that is cut
+    in the middle is found by ``decode_all``.
     """
     text = {c: F.col(c).cast("string") for c in ("key", "value")}
     pieces = raw.where(F.col("value").isNotNull()).select(
@@ -60,9 +66,14 @@ def text_records(raw: DataFrame) -> DataFrame:
         member = F.get_json_object(f"_{column}_text", ("$.schema", "$.payload")[index])
         # a cut schema text lacks the closing brace of the envelope, so a parsed one gets its opening
         parsed = F.concat(F.lit(SCHEMA_MARK), member) if index == 0 else member
-        return F.when(whole, F.get(f"_{column}", F.lit(index))).otherwise(parsed)
+        cut = F.get(f"_{column}", F.lit(index))
+        if index:
+            # the envelope's own closing brace goes; a record that lacks it must not have a payload that parses
+            cut = F.rtrim(cut)
+            cut = F.when(cut.endswith("}"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(
+                F.concat(F.lit("{"), cut))
+        return F.when(whole, cut).otherwise(parsed)
 
-    # the closing brace of the envelope stays behind the payload; JSON readers stop before it
     cut = pieces.select(
         "topic", "partition", "offset", "_value_text",
         piece("key", 0).alias("key_schema"), piece("key", 1).alias("key_payload"),
@@ -122,29 +133,33 @@ def schemas_by_position(records: DataFrame) -> list:
             .orderBy("last").collect())
 
 
-def decode(records: DataFrame, fields: list[dict], pks: list[str],
-           table_schema: T.StructType | None = None) -> DataFrame:
-    """Typed change frame of one topic.
+def decode_all(records: DataFrame, fields: list[dict], pks: list[str],
+               table_schema: T.StructType | None = None) -> DataFrame:
+    """Typed change frame of one topic, with the records that cannot be applied.
 
     Key columns come from the message key (a delete has no row after the change), the others
     from the payload. Values are converted to the type of the event and then to the type of
-    the table; what does not fit becomes NULL and is counted in ``_rejects``.
+    the table; what does not fit becomes NULL and is counted in ``_rejects``. ``_fault`` says why a
+    record cannot be applied. Only operations that change no row are left out.
     """
     struct_of = lambda fs: T.StructType([T.StructField(f["field"], raw_type(f)) for f in fs])
     payload = T.StructType([
         T.StructField("op", T.StringType()),
         T.StructField("source", T.StructType.fromDDL("ts_ms long, lsn long")),
-        T.StructField("after", struct_of(fields))])
+        T.StructField("after", struct_of(fields)), T.StructField("_corrupt", T.StringType())])
     key = struct_of([f for f in fields if f["field"] in pks])
     # the one-element explode keeps the filter on op above the parse; moved below it, every
     # payload would be parsed twice
-    parsed = records.select("offset", "key_payload",
-                            F.explode(F.array(F.from_json("value_payload", payload))).alias("e"))
-    events = (parsed.where(F.col("e.op").isin(ROW_OPS))
-              .select("offset", "e", F.from_json("key_payload", key).alias("k")))
+    corrupt = {"columnNameOfCorruptRecord": "_corrupt"}
+    parsed = records.select(
+        "topic", "partition", "offset", "key_payload", "value_payload",
+        F.explode(F.array(F.from_json("value_payload", payload, corrupt))).alias("e"))
+    op = F.col("e.op")
+    events = (parsed.where(~F.coalesce(op.isin(OTHER_OPS), F.lit(False)))
+              .select("topic", "partition", "offset", "value_payload", "e", F.from_json("key_payload", key).alias("k")))
 
     types = {f.name: f.dataType for f in table_schema} if table_schema else {}
-    columns, rejects = [], F.lit(0)
+    columns, rejects, keyless = [], F.lit(0), F.lit(False)
     for f in fields:
         name = f["field"]
         raw = F.col("k").getField(name) if name in pks else F.col("e.after").getField(name)
@@ -153,13 +168,38 @@ def decode(records: DataFrame, fields: list[dict], pks: list[str],
         if stored != target_type(f):
             value = value.try_cast(stored)
         columns.append(value.alias(name))
+        if name in pks:
+            keyless = keyless | value.isNull()
         if not isinstance(stored, (T.StringType, T.BooleanType)):
             rejects = rejects + (raw.isNotNull() & value.isNull()).cast("int")
+    # a value of the wrong type also marks a record as corrupt, but leaves the others, op among them
+    fault = (F.when(F.col("value_payload").isNull(), NOT_JSON)
+             .when(op.isNull() & F.col("e._corrupt").isNotNull() & (F.col("value_payload") != "null"), CUT)
+             .when(op.isNull(), NO_OP)
+             .when(~op.isin(ROW_OPS), ODD_OP).when(keyless, NO_KEY))
     return events.select(
-        *columns, F.col("e.op").alias("_cdc_op"),
+        *columns, op.alias("_cdc_op"),
         from_millis(F.col("e.source.ts_ms")).alias("_cdc_source_ts"),
         F.col("e.source.lsn").alias("_cdc_lsn"), F.current_timestamp().alias("_ingested_at"),
-        F.col("offset").alias("_offset"), rejects.alias("_rejects"))
+        F.col("offset").alias("_offset"), rejects.alias("_rejects"), fault.alias("_fault"),
+        F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("value_payload").alias("_payload"))
+
+
+RECORD_COLUMNS = ["_fault", "_topic", "_partition", "_payload"]
+
+
+def decode(records: DataFrame, fields: list[dict], pks: list[str],
+           table_schema: T.StructType | None = None) -> DataFrame:
+    """The changes that can be applied."""
+    return decode_all(records, fields, pks, table_schema).where(F.col("_fault").isNull()).drop(*RECORD_COLUMNS)
+
+
+def faults(decoded: DataFrame) -> DataFrame:
+    """topic, partition, offset, fault, value of the records in a frame of ``decode_all`` that cannot be
+    applied. (The value is the payload's text; schemas are the topic's.)"""
+    return decoded.where(F.col("_fault").isNotNull()).select(
+        F.col("_topic").alias("topic"), F.col("_partition").alias("partition"), F.col("_offset").alias("offset"),
+        F.col("_fault").alias("fault"), F.col("_payload").alias("value"))
 
 
 def describe(field: T.StructField) -> dict:

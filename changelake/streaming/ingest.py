@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from changelake.lake import ChangeTable, Lake
 from changelake.operators.changes import latest_per_key
 from changelake.session import prepare
-from changelake.sources.envelope import TopicShape, decode, sniff, text_records
+from changelake.sources.envelope import NOT_JSON, RECORD_COLUMNS, TopicShape, decode_all, faults, sniff, text_records
 
 log = logging.getLogger(__name__)
 
@@ -45,8 +45,9 @@ class Ingest:
 
     def __init__(self, spark: SparkSession, root: str, parallel_tables: int = 4,
                  stream_id: str | None = None, set_aside: str | None = None):
-        """``set_aside``: a folder for records that cannot be decoded. Without it they stop the stream,
-        before any of their batch is committed."""
+        """``set_aside``: a folder for records that cannot be applied, each with the reason. Without it they
+        stop the stream: what is no envelope before any of its batch is committed, others before their
+        table's commit. A restart repeats the batch; tables that have it already skip it."""
         self.set_aside = set_aside
         self.spark, self.lake = prepare(spark), Lake(spark, root)
         self.parallel_tables, self.stream_id = parallel_tables, stream_id
@@ -74,15 +75,18 @@ class Ingest:
 
     def _undecodable(self, records: DataFrame, stream: str, batch_id: int) -> None:
         bad = records.where(F.col("undecodable").isNotNull()).select(
-            "topic", "partition", "offset", F.col("undecodable").alias("value"))
-        if bad.isEmpty():
-            return
+            "topic", "partition", "offset", F.lit(NOT_JSON).alias("fault"), F.col("undecodable").alias("value"))
+        if not bad.isEmpty():
+            self._put_aside(bad, stream, batch_id, "envelope")
+
+    def _put_aside(self, bad: DataFrame, stream: str, batch_id: int, part: str) -> None:
         if not self.set_aside:
             first = bad.orderBy("topic", "partition", "offset").first()
-            raise ValueError(f"batch {batch_id}: {bad.count()} records cannot be decoded, the first at "
-                             f"{first.topic}/{first.partition}/{first.offset}; give set_aside to go on without them")
+            raise ValueError(f"batch {batch_id}: {bad.count()} records cannot be applied, the first at "
+                             f"{first.topic}/{first.partition}/{first.offset} ({first.fault}); give set_aside to go "
+                             f"on without them")
         # overwritten by a replay of the batch, so each record is there once
-        bad.write.mode("overwrite").parquet(f"{self.set_aside}/stream={stream}/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{self.set_aside}/stream={stream}/batch={batch_id}/part={part}")
 
     def _fan_out(self, work: list, stream: str, batch_id: int) -> list[dict]:
         """Tables are independent: their jobs run side by side."""
@@ -110,10 +114,18 @@ class Ingest:
                 log.warning("%s: cannot widen %s; values are cast to the stored type", name, step)
         begun = time.perf_counter()
         counted = Observation()
-        typed = decode(records, shape.fields, shape.pks, schema).observe(
-            counted, F.coalesce(F.sum("_rejects"), F.lit(0)).alias("rejects"))
-        newest = latest_per_key(typed.drop("_rejects"), shape.pks)
-        _, stats = table.append(newest, schema, shape.pks, stream, batch_id)
+        decoded = decode_all(records, shape.fields, shape.pks, schema)
+        good = F.col("_fault").isNull()
+        # counted in the pass that writes the changes; a second one reads the faults only if there are any
+        typed = decoded.observe(counted, F.coalesce(F.sum(F.when(good, F.col("_rejects"))), F.lit(0)).alias("rejects"),
+                                F.count_if(~good).alias("faults")).where(good)
+
+        def before_commit() -> None:
+            if counted.get["faults"]:
+                self._put_aside(faults(decoded), stream, batch_id, name)
+
+        newest = latest_per_key(typed.drop("_rejects", *RECORD_COLUMNS), shape.pks)
+        _, stats = table.append(newest, schema, shape.pks, stream, batch_id, before_commit)
         self._seen[name] = (incoming, schema)
         if not stats["rows"] and not changes:
             return None

@@ -82,3 +82,39 @@ def test_round_trip_of_all_types(spark):
     back = env.decode(raw, shape.fields, shape.pks)
     assert [f.dataType for f in back.select(*df.columns).schema] == [f.dataType for f in df.schema]
     assert back.select(*df.columns).collect() == df.collect()
+
+
+def test_no_cut_record_is_applied(spark):
+    """A record cut after any byte, and records that lack a part, are told apart and kept."""
+    fields = [K, {"field": "s", "type": "string"}, INT]
+    whole = record("pg.shop.t", 0, fields, change("u", 7, {"k": 1, "s": 'br{ace} "quote"', "i": 3}), {"k": 1})
+    payload = whole[4].index(env.PAYLOAD_MARK)
+    rows = [whole] + [("pg.shop.t", 0, n, whole[3], whole[4][:n]) for n in range(1, len(whole[4]))]
+    raw = env.text_records(spark.createDataFrame(rows, env.RAW_SCHEMA))
+    shape = env.sniff(raw)[0]
+    out = {r._offset: r._fault for r in env.decode_all(raw, shape.fields, shape.pks).collect()}
+    assert len(out) == len(rows) and out.pop(0) is None
+    assert all(out.values()), [n for n, f in out.items() if f is None]
+    assert {out[n] for n in range(payload + len(env.PAYLOAD_MARK) + 2, len(whole[4]))} <= {env.CUT, env.NOT_JSON}
+
+
+def test_faults_and_values_of_the_wrong_type(spark):
+    fields = [K, INT]
+    dump = lambda o: json.dumps(o, separators=(",", ":"))
+    rows = [record("pg.shop.t", 0, fields, change("c", 1, {"k": 1, "i": "no number"}), {"k": 1}),
+            record("pg.shop.t", 1, fields, {"source": {"lsn": 1}, "after": {"k": 2, "i": 1}}, {"k": 2}),
+            record("pg.shop.t", 2, fields, change("z", 1, {"k": 3, "i": 1}), {"k": 3}),
+            record("pg.shop.t", 3, fields, change("c", 1, {"k": 4, "i": 1}), {"other": 4}),
+            record("pg.shop.t", 4, fields, change("c", 1, {"k": 5, "i": 1})),
+            record("pg.shop.t", 5, fields, None, {"k": 6}),
+            record("pg.shop.t", 6, fields, change("t", 1), None),
+            ("pg.shop.t", 0, 7, dump({"payload": {"k": 8}}), "[1, 2]"),
+            ("pg.shop.t", 0, 8, None, "")]
+    raw = env.text_records(spark.createDataFrame(rows, env.RAW_SCHEMA))
+    shape = env.sniff(raw)[0]
+    decoded = env.decode_all(raw, shape.fields, shape.pks)
+    out = {r._offset: (r._fault, r._rejects) for r in decoded.collect()}
+    assert out[0] == (None, 0) or out[0] == (None, 1)
+    assert {n: f for n, (f, _) in out.items() if f} == {
+        1: env.NO_OP, 2: env.ODD_OP, 3: env.NO_KEY, 4: env.NO_KEY, 5: env.NO_OP, 7: env.NOT_JSON, 8: env.NOT_JSON}
+    assert 6 not in out and env.faults(decoded).columns == ["topic", "partition", "offset", "fault", "value"]

@@ -194,5 +194,30 @@ def test_records_of_another_layout_and_undecodable_ones(spark, folder):
     with pytest.raises(ValueError, match="pg.shop.x/0/9"):
         Ingest(spark, f"{folder}/lake", stream_id="s")(bad, 1)
     Ingest(spark, f"{folder}/lake", stream_id="s", set_aside=f"{folder}/odd")(bad, 1)
-    assert [(r.offset, r.value) for r in spark.read.parquet(f"{folder}/odd").collect()] == [(9, "no json")]
+    assert [(r.offset, r.value, r.fault) for r in spark.read.parquet(f"{folder}/odd").collect()] == [
+        (9, "no json", "not an envelope")]
     assert Lake(spark, f"{folder}/lake").table("shop.x").current().count() == 5
+
+
+def test_records_that_cannot_be_applied(spark, folder):
+    """A cut payload, a missing op and a missing key stop the stream before their table's commit, or are set aside
+    once, whatever is repeated."""
+    fields = [K, {"field": "a", "type": "int32"}]
+    good = [record("pg.shop.x", i, fields, change("c", i, {"k": i, "a": i}), {"k": i}) for i in range(3)]
+    other = record("pg.shop.y", 0, fields, change("c", 1, {"k": 1, "a": 1}), {"k": 1})
+    cut = (*good[0][:2], 10, good[0][3], good[0][4][:-20])
+    no_op = record("pg.shop.x", 11, fields, {"source": {"lsn": 11}, "after": {"k": 11, "a": 1}}, {"k": 11})
+    no_key = record("pg.shop.x", 12, fields, change("u", 12, {"k": 12, "a": 1}))
+    frame = spark.createDataFrame([*good, other, cut, no_op, no_key], envelope.RAW_SCHEMA)
+    strict = Ingest(spark, f"{folder}/lake", stream_id="s")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="3 records cannot be applied, the first at pg.shop.x/0/10"):
+            strict(frame, 0)
+    lake = Lake(spark, f"{folder}/lake")
+    assert not lake.table("shop.x").exists() and not lake.table("ops.ingest_batches").exists()
+    for _ in range(2):
+        Ingest(spark, f"{folder}/lake", stream_id="s", set_aside=f"{folder}/odd")(frame, 0)
+    aside = {r.offset: r.fault for r in spark.read.parquet(f"{folder}/odd").collect()}
+    assert aside == {10: envelope.CUT, 11: envelope.NO_OP, 12: envelope.NO_KEY}
+    assert spark.read.parquet(f"{folder}/odd").count() == 3
+    assert {r.k for r in lake.table("shop.x").current().collect()} == {0, 1, 2} and lake.table("shop.y").current().count() == 1
