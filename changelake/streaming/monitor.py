@@ -73,48 +73,92 @@ ALERT_OUTPUT = T.StructType([
     T.StructField("state", T.StringType())])
 
 
+MICROS = 1_000_000
+
+
 class HoldProcessor(StatefulProcessor):
-    """State of one rule and label set: since when its condition has held without a gap."""
+    """One rule and label set, in event time.
+
+    ``waiting``: evaluated steps that the watermark has not reached, by time; a step that is sent twice is one.
+    ``run``: since when the condition has held without a gap, its last step and the time of the next timer. A
+    timer at the earliest waiting step settles every step up to the watermark in time order, however they
+    arrived. A label set that is not heard of for a step is resolved by a second timer, and its state ends.
+    """
 
     def __init__(self, step_seconds: int):
-        self.step = pd.Timedelta(seconds=step_seconds)
+        self.step = step_seconds * MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", T.StructType([
-            T.StructField("since", T.TimestampType()), T.StructField("last", T.TimestampType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.run.get() if self.run.exists() else None
-        since, last = (pd.Timestamp(held[0]), pd.Timestamp(held[1])) if held else (None, None)
-        # one row per evaluation step of this rule and label set within the micro-batch
-        steps = pd.concat(list(rows)).sort_values("ts")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts long", "active boolean, hold long")
+        self.run = handle.getValueState("run", "since long, last long, timer long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            for ts, active, hold in zip(at, frame["active"], frame["hold_seconds"]):
+                self.waiting.updateValue((int(ts),), (bool(active), int(hold)))
+                earliest = ts if earliest is None else min(earliest, ts)
+        if earliest is not None:
+            since, last, timer = self._held()
+            self._remind(since, last, timer, int(earliest))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        since, last, _ = self._held()
+        steps = sorted(k[0] for k in self.waiting.keys())
         out = []
-        for ts, active, hold in zip(steps["ts"], steps["active"], steps["hold_seconds"]):
+        for ts in [t for t in steps if t <= reached]:
+            active, hold = self.waiting.getValue((ts,))
+            self.waiting.removeKey((ts,))
+            if since is not None and ts - last > self.step:
+                out.append((last + self.step, None, "inactive"))
+                since = last = None
             if not active:
                 since = last = None
-                out.append((key[0], key[1], ts, None, "inactive"))
+                out.append((ts, None, "inactive"))
                 continue
-            if since is None or ts - last > self.step:
-                since = ts
-            last = ts
-            firing = ts - since >= pd.Timedelta(seconds=int(hold))
-            out.append((key[0], key[1], ts, since, "firing" if firing else "pending"))
-        if since is None:
-            self.run.clear()
+            since, last = ts if since is None else since, ts
+            out.append((ts, since, "firing" if ts - since >= hold * MICROS else "pending"))
+        left = [t for t in steps if t > reached]
+        if since is not None and last + self.step < reached and not (left and left[0] - last <= self.step):
+            out.append((last + self.step, None, "inactive"))
+            since = last = None
+        if left or since is not None:
+            self._remind(since, last, None, min([*left[:1], *([last + self.step + 1000] if since is not None else [])]))
         else:
-            self.run.update((since.to_pydatetime(), last.to_pydatetime()))
-        frame = pd.DataFrame(out, columns=["rule", "label_key", "ts", "since", "state"])
-        frame["since"] = pd.to_datetime(frame["since"])
-        yield frame
+            self.run.clear()
+        if out:
+            at, begun, state = zip(*out)
+            stamp = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64"), unit="us")
+            yield pd.DataFrame({"rule": key[0], "label_key": key[1], "ts": stamp(at), "since": stamp(begun), "state": state})
+
+    def _held(self) -> tuple:
+        return tuple(self.run.get()) if self.run.exists() else (None, None, None)
+
+    def _remind(self, since: int | None, last: int | None, timer: int | None, micros: int) -> None:
+        """One timer at a time: the earliest."""
+        due = -(-micros // 1000)
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.run.update((since, last, timer))
 
     def close(self) -> None:
         pass
 
 
-def live_alerts(conditions: DataFrame, step_seconds: int = 15) -> DataFrame:
-    """Alert states of a stream of evaluated conditions: rule, label_key, ts, active, hold_seconds."""
-    return conditions.groupBy("rule", "label_key").transformWithStateInPandas(
-        HoldProcessor(step_seconds), ALERT_OUTPUT, "Append", "None")
+def live_alerts(conditions: DataFrame, step_seconds: int = 15, delay: str = "1 minute") -> DataFrame:
+    """Alert states of a stream of evaluated conditions: rule, label_key, ts, active, hold_seconds.
+
+    Steps may arrive in any order within ``delay`` (the watermark); a state is told once the watermark has
+    passed its step, so it never changes afterwards. Steps later than that are dropped."""
+    return conditions.withWatermark("ts", delay).groupBy("rule", "label_key").transformWithStateInPandas(
+        HoldProcessor(step_seconds), ALERT_OUTPUT, "Append", "EventTime")
 
 
 def conditions_of(series: DataFrame, rule: str, hold_seconds: int, condition: Column,
