@@ -2,6 +2,7 @@
 
     <root>/<namespace>/<table>/base/version=V/...      folded rows (may be split by month)
     <root>/<namespace>/<table>/changes/version=N/...   one row per key touched by commit N
+    <root>/<namespace>/<table>/tombstones/version=V/   digest and position of each key deleted by then
     <root>/<namespace>/<table>/commits/N.json          what version N consists of
 
 Readers only open folders that a commit names, so unfinished writes stay invisible. All row
@@ -34,7 +35,7 @@ LOG_SCHEMA = (
     "version long, parent long, committed_at timestamp, operation string, "
     "streams map<string,long>, schema_id int, schema_json string, pks array<string>, "
     "properties map<string,string>, base_version long, base_paths array<string>, "
-    "change_paths array<string>, base_high array<long>, changes_low array<long>, "
+    "change_paths array<string>, tombstone_paths array<string>, base_high array<long>, changes_low array<long>, "
     "high array<long>, base_rows long, change_rows long, key_bytes long, "
     "summary map<string,string>")
 
@@ -70,6 +71,8 @@ class Commit:
     base_rows: int = 0
     change_rows: int = 0
     key_bytes: int = 0
+    tombstone_paths: list = field(default_factory=list)
+    tombstone_rows: int = 0
     summary: dict = field(default_factory=dict)
 
     @property
@@ -86,6 +89,24 @@ class Commit:
         return not self.base_high or not self.changes_low or self.changes_low > self.base_high
 
 
+# A tombstone as it is stored: the key only as a digest, so an erased subject's key is not kept either.
+TOMBSTONE = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_cdc_lsn", T.LongType()),
+                          T.StructField("_offset", T.LongType()), T.StructField("_version", T.LongType())])
+TOMBSTONE_BYTES = 100                                    # of one in a hash table
+
+
+def key_digest(pks: list[str]) -> Column:
+    """SHA-256 of a key's columns, each with its length, so that no two keys share a text."""
+    parts = [F.concat(F.length(named(k).cast("string")).cast("string"), F.lit(":"), named(k).cast("string")) for k in pks]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(p, F.lit("-")) for p in parts]), 256))
+
+
+def data_paths() -> Column:
+    """All folders that a commit of the log names."""
+    none = F.array().cast("array<string>")
+    return F.concat("base_paths", "change_paths", F.coalesce("tombstone_paths", none))
+
+
 def utc_text(moment: datetime | None = None) -> str:
     return (moment or datetime.now(timezone.utc)).isoformat(timespec="microseconds")
 
@@ -195,6 +216,23 @@ class ChangeTable:
         keys = self.changes(commit).select(*named(commit.pks)).distinct()
         return F.broadcast(keys) if commit.key_bytes <= SMALL_SIDE_BYTES else keys
 
+    def tombstones(self, commit: Commit) -> DataFrame:
+        """Digests and positions of the keys that are deleted as of the base."""
+        if not commit.tombstone_paths:
+            return self.spark.createDataFrame([], TOMBSTONE)
+        return self.spark.read.schema(TOMBSTONE).parquet(*[f"{self.path}/{p}" for p in commit.tombstone_paths])
+
+    def unbeaten(self, changes: DataFrame, commit: Commit) -> DataFrame:
+        """The changes that are newer than their key's tombstone, or whose key has none."""
+        if not commit.tombstone_paths:
+            return changes
+        dead = self.tombstones(commit).select(F.col("_key").alias("_dead"), change_order(TOMBSTONE.names).alias("_since"))
+        if commit.tombstone_rows * TOMBSTONE_BYTES <= SMALL_SIDE_BYTES:
+            dead = F.broadcast(dead)
+        met = changes.join(dead, key_digest(commit.pks) == F.col("_dead"), "left")
+        newer = F.col("_since").isNull() | (change_order(changes.columns) > F.col("_since"))
+        return met.where(newer).select(*named(changes.columns))
+
     def state(self, commit: Commit) -> DataFrame:
         """Rows of a version, system columns included.
 
@@ -206,7 +244,10 @@ class ChangeTable:
             return self.base(commit)
         changes = self.changes(commit)
         if not commit.base_paths:
-            return fold([changes], pks)
+            return fold([self.unbeaten(changes, commit)], pks)
+        if not commit.in_order:
+            # late changes may be older than a delete that compaction has folded away
+            changes = self.unbeaten(changes, commit)
         keys = self.touched_keys(commit)
         untouched = self.base(commit).join(keys, pks, "left_anti")
         if commit.in_order:
@@ -281,7 +322,7 @@ class ChangeTable:
         found = (self.log().where(F.col("version").between(oldest.version, newest.version))
                  .select(F.explode("change_paths").alias("path")).distinct().collect())
         paths = sorted(r.path for r in found)
-        frame = self.read_paths(newest, paths)
+        frame = self.unbeaten(self.read_paths(newest, paths), oldest)
         names = named(self._file_schema(newest).names)
         if not oldest.base_paths:
             return frame.select(*names)

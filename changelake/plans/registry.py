@@ -1035,6 +1035,47 @@ def _purge(spark, d):
     return table.current().agg(F.count(F.lit(1)).alias("remaining")).select(left.alias("residue"), "remaining")
 
 
+@query("late_after_compaction", CURRENT_SQL)
+def _late(spark, d):
+    """Updates from before the deletes, after compaction has folded these away: nothing changes."""
+    table = staged_table(spark, d, "late")
+    layout.apply_layout(table, **layout.LAYOUTS["shop.orders"])
+    layout.compact(table, rewrite_all=True)
+    late = changes(spark, d).where("_version = 1").drop("_version").withColumns({
+        "o_orderpriority": F.lit("late"), "_cdc_lsn": F.col("_cdc_lsn") - 1, "_offset": F.col("_offset") - 1})
+    table.append(latest_per_key(late, PK), table.head().schema, PK)
+    layout.compact(table, delete_threshold=1)
+    table.append(latest_per_key(late, PK), table.head().schema, PK)
+    return table.current().select(*ORDER_COLUMNS, "_cdc_op")
+
+
+@query("purge_after_crash", """
+SELECT CAST(0 AS BIGINT) AS residue, CAST(0 AS BIGINT) AS live, count(*) AS remaining FROM orders WHERE o_custkey % 10 <> 1""")
+def _purge_crash(spark, d):
+    """A tenth of the customers erased; the folder of a write that crashed, and late changes after the purge."""
+    table = Lake(spark, shared_dir(spark, "purge-crash")).table("shop.orders")
+    orders = source(spark, d)("orders")
+    table.bootstrap(orders, PK, lsn=100)
+    erased = F.col("o_custkey") % 10 == 1
+    table.erase(erased)
+    late = orders.where(erased).withColumns({
+        "_cdc_op": F.lit("u"), "_cdc_source_ts": F.current_timestamp(), "_cdc_lsn": F.lit(50).cast("long"),
+        "_ingested_at": F.current_timestamp(), "_offset": F.lit(1).cast("long")})
+    # a writer that fails between its rows and its commit
+    def crash():
+        raise InterruptedError
+    try:
+        table.append(late, table.head().schema, PK, before_commit=crash)
+    except InterruptedError:
+        pass
+    layout.purge(table)
+    left = layout.residue_where(table, erased).agg(F.count(F.lit(1)).alias("residue")).first().residue
+    table.append(late, table.head().schema, PK)          # replayed by the source after the purge
+    live = table.current().where(erased).agg(F.count(F.lit(1))).scalar()
+    return table.current().agg(F.count(F.lit(1)).alias("remaining")).select(
+        F.lit(left).cast("long").alias("residue"), live.alias("live"), "remaining")
+
+
 # ---- the stored table's own readers ---------------------------------------------------------
 
 _STAGED: dict[tuple[str, str], object] = {}

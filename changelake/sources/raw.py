@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelake.sources.envelope import RAW_SCHEMA
+from changelake.sources.envelope import RAW_SCHEMA, text_records
 from changelake.sources.files import Files
 
 # Topics followed by default, records per trigger, topic discovery interval.
@@ -63,6 +63,13 @@ def below_floor(records: DataFrame, floor: DataFrame) -> DataFrame:
             .where(F.col("offset") < F.col("floor")).drop("floor"))
 
 
+def position_floor(records: DataFrame) -> int | None:
+    """The lowest log position among raw records that are still kept: no older event can arrive again, by
+    a replay or a late partition. None without records."""
+    lsn = F.get_json_object("value_payload", "$.source.lsn").try_cast("long")
+    return text_records(records).agg(F.min(lsn)).first()[0]
+
+
 def trim_landed(spark: SparkSession, folder: str, fmt: str, floor: DataFrame) -> int:
     """Delete landed raw files that hold nothing at or above the floor."""
     raw = (spark.read.format(fmt).schema(RAW_SCHEMA).option("recursiveFileLookup", "true").load(folder)

@@ -114,3 +114,71 @@ def test_load_guard(spark):
         raise AssertionError("accepted a partial load")
     except ValueError as exc:
         assert "3 of 5" in str(exc)
+
+
+def late_change(spark, key, value, lsn, op="u"):
+    return spark.createDataFrame([(key, value)], "k long, v string").withColumns({
+        "_cdc_op": F.lit(op), "_cdc_source_ts": F.current_timestamp(), "_cdc_lsn": F.lit(lsn).cast("long"),
+        "_ingested_at": F.current_timestamp(), "_offset": F.lit(lsn).cast("long")})
+
+
+def test_deletes_hold_after_compaction(spark, folder):
+    """A delete at 50, compaction, an update at 20: the row stays gone, in the state, in history and in
+    differences, also after further compactions and merges; a new insert at 60 brings it back."""
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string"), ["k"], lsn=10)
+    add = lambda *a, **kw: table.append(late_change(spark, *a, **kw), table.head().schema, ["k"])
+    live = lambda: {r.k: r.v for r in table.current().collect()}
+    add(1, None, 50, op="d")
+    layout.compact(table, delete_threshold=1)
+    assert table.head().tombstone_rows == 1 and not table.head().change_paths
+    before = table.head().version
+    add(1, "late", 20)
+    add(2, "new", 55)
+    assert live() == {2: "new", 3: "c"}
+    assert {(r.k, r.change) for r in table.diff(before, table.head().version).collect()} == {(2, "updated")}
+    assert all(r.row is None for r in table.row_history([1], depth=3).collect())
+    layout.merge_changes(table)
+    assert live() == {2: "new", 3: "c"}
+    layout.compact(table, rewrite_all=True)
+    add(1, "late again", 30)
+    assert live() == {2: "new", 3: "c"} and table.head().tombstone_rows == 1
+    add(1, "back", 60, op="c")
+    assert live() == {1: "back", 2: "new", 3: "c"}
+    layout.compact(table, delete_threshold=1)
+    assert live() == {1: "back", 2: "new", 3: "c"} and table.head().tombstone_rows == 0
+    add(1, "older", 40)
+    assert live()[1] == "back"
+
+
+def test_tombstones_end_at_the_floor(spark, folder):
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.createDataFrame([(i, "a") for i in range(6)], "k long, v string"), ["k"], lsn=10)
+    for key, lsn in ((0, 50), (1, 60), (2, 70)):
+        table.append(late_change(spark, key, None, lsn, op="d"), table.head().schema, ["k"])
+    layout.compact(table, delete_threshold=1)
+    assert table.head().tombstone_rows == 3
+    assert layout.trim_tombstones(table, 60) == {"tombstones_before": 3, "tombstones_after": 2}
+    assert layout.trim_tombstones(table, 60)["tombstones_after"] == 2
+    table.append(late_change(spark, 3, None, 80, op="d"), table.head().schema, ["k"])
+    layout.compact(table, delete_threshold=1, tombstones_from_lsn=70)
+    assert table.head().tombstone_rows == 2 and {r.k for r in table.current().collect()} == {4, 5}
+    # the folders of older tombstones go with the versions that name them
+    layout.expire(table, older_than_minutes=0, retain_last=1)
+    assert layout.drop_unnamed(table) == 0
+    kept = table.files.names(f"{table.path}/tombstones")
+    assert [f"tombstones/{n}" for n in kept] == table.head().tombstone_paths
+
+
+def test_purge_leaves_no_key_and_no_way_back(spark, folder):
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.createDataFrame([(i, f"person {i}") for i in range(6)], "k long, v string"), ["k"], lsn=10)
+    table.erase(F.col("k") == 4)
+    layout.purge(table)
+    assert layout.residue(table, "k", [4]).count() == 0
+    dead = table.tombstones(table.head())
+    assert dead.columns == ["_key", "_cdc_lsn", "_offset", "_version"] and dead.count() == 1
+    table.append(late_change(spark, 4, "person 4", 5), table.head().schema, ["k"])
+    assert {r.k for r in table.current().collect()} == {0, 1, 2, 3, 5}
+    layout.purge(table)
+    assert layout.residue(table, "k", [4]).count() == 0
