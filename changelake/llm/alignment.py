@@ -3,14 +3,15 @@
 Vocabulary A is a byte-level BPE (tokenizers file), B a sentencepiece BPE model. Both encode a space and the
 text.
 
-1. Tokens. A's pre-tokens and B's chunks (spaces and what follows up to the next space; no piece of the
-   vocabulary has a space after another character, which is checked) are encoded once a slice each, and joined
-   bytes are compared with the text.
-2. Anchors. Where a token of A that begins with a space and a token of B that is marked with one begin at the
-   same byte, tokens of both end: a verified shared end. Anchors cut a document into windows of token ids.
+1. Tokens. Where a space follows another character that is no white space, neither vocabulary has a token
+   across: A's pattern starts a pre-token there, and no piece of B has a space after another character (which
+   is checked). What lies between two such places is encoded once a slice, by both.
+2. Anchors. The joined bytes of each such stretch are compared with its text on both sides. If they are equal,
+   tokens of A and B end together before a token that begins with a space in A and is marked with one in B: a
+   verified shared end. Anchors cut a document into windows of token ids.
 3. Windows are aligned once and remembered by their two id tuples. The ends of both sides on one axis give
    the links (each stretch between neighbouring ends lies in one token of A and one of B) and the groups
-   (shared ends). A worker remembers at most MEMO windows and then starts anew; results do not depend on it.
+   (shared ends). A worker remembers a bounded number of windows; results do not depend on it.
 4. Counts. A task sums up the documents that hold a linked pair over a block of documents (an Arrow batch of bounded bytes), so a
    pair that all documents hold sends one row a block to the count. The counts come back to the blocks in
    the same way, and a document finds its pairs by number within its block: documents are sent once, with
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,47 +43,56 @@ from pyspark.sql import types as T
 from changelake.llm import bpe
 from changelake.llm.pretoken import split_texts, sums
 from changelake.llm.store import materialise
-from changelake.llm.text import mix, ragged, slices, span_hash, tidy
+from changelake.llm.text import ragged, slices, tidy
 
-CHUNK = r" +[^ ]*"
+# A space and what follows up to the next space that has no white space before it.
+CHUNK = r" (?:[^ ]+|(?<=\s) )*"
 BLOCK_BYTES = 4 << 20
-MEMO = 150_000
+PIECE_CHARS = 1 << 20
+MEMO = 100_000                 # windows of a generation; two are held
 SHIFT = 32                     # a pair is id of A << SHIFT | id of B
 
 
+def flat_table(table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, first byte, bytes) of the entries of a vocabulary."""
+    size = np.array(list(map(len, table)), np.int64)
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+
+
 class ByteTokens:
-    """Side A: ids of pre-tokens, bytes of ids."""
+    """Vocabulary A."""
 
     def __init__(self, path: str, pattern: str):
         self.pattern = pattern
         self.merges, _ = bpe.load_merges(path)
-        self.table = bpe.load_token_bytes(path)
-        self.size = np.array(list(map(len, self.table)), np.int64)
+        self.size, self.begin, self.data = flat_table(bpe.load_token_bytes(path))
 
-    def encode(self, unique: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.merges.encode(unique)
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of chunks."""
+        codes, unique, count, _ = split_texts([c.decode() for c in chunks], self.pattern, piece_chars=PIECE_CHARS)
+        ids, bounds = self.merges.encode(unique)
+        size = np.diff(bounds)[codes]
+        return ids[ragged(bounds[codes], size)], np.append(0, np.cumsum(sums(size, count)))
 
 
 class PieceTokens:
-    """Side B: ids of chunks, bytes of ids."""
-
-    pattern = CHUNK
+    """Vocabulary B."""
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the vocabulary has pieces across spaces")
-        self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-                      for i, p in enumerate(pieces)]
-        self.size = np.array(list(map(len, self.table)), np.int64)
+        table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
+                 for i, p in enumerate(pieces)]
+        self.size, self.begin, self.data = flat_table(table)
         self.space = self.model.piece_to_id("▁")
 
-    def encode(self, unique: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # the model puts the first space of a chunk there by itself, but for an empty text
-        ids = [x or [self.space] for x in self.model.encode([u[1:].decode() for u in unique], num_threads=1)]
-        bounds = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int64) if ids else np.zeros(1, np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int64, int(bounds[-1])), bounds
+        ids = [x or [self.space] for x in self.model.encode([c[1:].decode() for c in chunks], num_threads=1)]
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(bounds[-1])), bounds
 
 
 @lru_cache(maxsize=2)
@@ -89,38 +100,16 @@ def _sides(path_a: str, pattern: str, path_b: str) -> tuple[ByteTokens, PieceTok
     return ByteTokens(path_a, pattern), PieceTokens(path_b)
 
 
-class Side:
-    """The tokens of a slice's documents in one vocabulary."""
-
-    def __init__(self, vocabulary, texts: list[str]):
-        self.codes, self.unique, self.count, _ = split_texts(texts, vocabulary.pattern)
-        self.ids, self.bounds = vocabulary.encode(self.unique)
-        self.n_ids = np.diff(self.bounds)
-        self.size = np.fromiter(map(len, self.unique), np.int64, len(self.unique))
-        table = vocabulary.table
-        self.faithful = np.fromiter((b"".join([table[i] for i in self.ids[a:b]]) == u for u, a, b in zip(
-            self.unique, self.bounds[:-1].tolist(), self.bounds[1:].tolist())), bool, len(self.unique))
-
-    def whole(self, n_bytes: np.ndarray) -> np.ndarray:
-        """Documents whose joined tokens are their text."""
-        return (sums(self.size[self.codes], self.count) == n_bytes) & (
-            sums(~self.faithful[self.codes], self.count) == 0)
-
-    def keep(self, docs: np.ndarray) -> None:
-        self.codes = self.codes[np.repeat(docs, self.count)]
-        self.count = self.count[docs]
-
-    def begins(self) -> np.ndarray:
-        """The first byte of each pre-token or chunk."""
-        size = self.size[self.codes]
-        return np.cumsum(size) - size
-
-    def flat(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of the ranges lo..hi of codes."""
-        codes = self.codes[ragged(lo, hi - lo)]
-        per_code = self.n_ids[codes]
-        bounds = np.concatenate([[0], np.cumsum(sums(per_code, hi - lo))])
-        return self.ids[ragged(self.bounds[codes], per_code)], bounds
+def faithful(vocabulary, chunks: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which chunks are the joined bytes of their tokens."""
+    n_bytes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    n_ids, size = np.diff(bounds), vocabulary.size
+    same = sums(size[ids], n_ids) == n_bytes
+    ids = ids[np.repeat(same, n_ids)]
+    joined = vocabulary.data[ragged(vocabulary.begin[ids], size[ids])]
+    own = np.frombuffer(b"".join(chunks), np.uint8)[np.repeat(same, n_bytes)]
+    same[same] = sums(joined != own, n_bytes[same]) == 0
+    return same
 
 
 def align(a: np.ndarray, bounds_a: np.ndarray, b: np.ndarray, bounds_b: np.ndarray,
@@ -135,47 +124,55 @@ def align(a: np.ndarray, bounds_a: np.ndarray, b: np.ndarray, bounds_b: np.ndarr
     group_of = np.searchsorted(last_a, bounds_a, "right")         # windows end with a shared end
     link_of = np.searchsorted(in_a, bounds_a)
     text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(
+    groups = [text_a[j - 1] + "|" + text_b[m - 1] if j - i == 1 == m - k else
+              ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(
         [0, *last_a[:-1].tolist()], last_a.tolist(), [0, *last_b[:-1].tolist()], last_b.tolist())]
     return [(";".join(groups[g:h]), h - g, pairs[i:j]) for g, h, i, j in zip(
         group_of[:-1].tolist(), group_of[1:].tolist(), link_of[:-1].tolist(), link_of[1:].tolist())]
 
 
-_MEMO: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
-
-
-def windows_of(a: Side, b: Side, size_a: np.ndarray, size_b: np.ndarray):
-    """(window of each place, windows a document, alignments of the distinct windows)."""
-    begin_a, begin_b = a.begins(), b.begins()
-    spaced = np.array([u[:1] == b" " for u in a.unique], bool)[a.codes]
-    at_a = np.flatnonzero(spaced)
-    at_a = at_a[np.isin(begin_a[at_a], begin_b, assume_unique=True)]
-    anchors = begin_a[at_a]                              # the first byte of each document is one
-    at_b = np.searchsorted(begin_b, anchors)
-    lo_a, hi_a = at_a, np.append(at_a[1:], len(begin_a))
-    lo_b, hi_b = at_b, np.append(at_b[1:], len(begin_b))
-    look = mix(span_hash(mix(a.codes.astype(np.uint64)), lo_a, hi_a)) + span_hash(mix(b.codes.astype(np.uint64)), lo_b, hi_b)
-    _, first, which = np.unique(look, return_index=True, return_inverse=True)
-    flat_a, bounds_a = a.flat(lo_a[first], hi_a[first])
-    flat_b, bounds_b = b.flat(lo_b[first], hi_b[first])
-    raw_a, raw_b = flat_a.astype("<u4").tobytes(), flat_b.astype("<u4").tobytes()
-    keys = [(raw_a[4 * i:4 * j], raw_b[4 * k:4 * m]) for i, j, k, m in zip(
-        bounds_a[:-1].tolist(), bounds_a[1:].tolist(), bounds_b[:-1].tolist(), bounds_b[1:].tolist())]
-    known = [_MEMO.get(k) for k in keys]
+Aligned = tuple[str, int, np.ndarray]
+
+
+class Memo:
+    """Aligned windows by their id tuples. Two generations of at most MEMO each: what is asked for again moves
+    to the younger one, and the older one is dropped when that is full."""
+
+    def __init__(self):
+        self.young: dict[tuple[bytes, bytes], Aligned] = {}
+        self.old: dict[tuple[bytes, bytes], Aligned] = {}
+
+    def find(self, keys: list[tuple[bytes, bytes]]) -> list[Aligned | None]:
+        young, old = self.young, self.old
+        return [young.get(k) or old.get(k) for k in keys]
+
+    def keep(self, keys: list[tuple[bytes, bytes]], made: list[Aligned]) -> None:
+        for k, x in zip(keys, made):
+            if k not in self.young:
+                if len(self.young) >= MEMO:
+                    self.young, self.old = {}, self.young
+                self.young[k] = x
+
+
+_MEMO = Memo()
+
+
+def aligned_windows(ids_a: np.ndarray, bounds_a: np.ndarray, ids_b: np.ndarray, bounds_b: np.ndarray,
+                    size_a: np.ndarray, size_b: np.ndarray) -> list[Aligned]:
+    """The alignment of each window; windows that are not remembered are aligned together."""
+    raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
+    cut_a, cut_b = (4 * bounds_a).tolist(), (4 * bounds_b).tolist()
+    keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+    known = _MEMO.find(keys)
     new = np.array([i for i, x in enumerate(known) if x is None], np.int64)
     if len(new):
         n_a, n_b = np.diff(bounds_a)[new], np.diff(bounds_b)[new]
-        made = align(flat_a[ragged(bounds_a[new], n_a)], np.append(0, np.cumsum(n_a)),
-                     flat_b[ragged(bounds_b[new], n_b)], np.append(0, np.cumsum(n_b)), size_a, size_b)
-        if len(_MEMO) + len(made) > MEMO:
-            _MEMO.clear()
+        made = align(ids_a[ragged(bounds_a[new], n_a)], np.append(0, np.cumsum(n_a)),
+                     ids_b[ragged(bounds_b[new], n_b)], np.append(0, np.cumsum(n_b)), size_a, size_b)
         for i, x in zip(new.tolist(), made):
             known[i] = x
-            if len(_MEMO) < MEMO:
-                _MEMO[keys[i]] = x
-    ends = np.cumsum(sums(a.size[a.codes], a.count))
-    per_doc = np.diff(np.searchsorted(anchors, np.append(0, ends)))
-    return which, per_doc, known
+    _MEMO.keep(keys, known)
+    return known
 
 
 _ROWS = pa.schema([("block", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -187,25 +184,28 @@ def aligned_block(texts: list, vocabulary_a: ByteTokens, vocabulary_b: PieceToke
     """Columns of the documents, and of the block: its pairs and the number of documents that hold each."""
     n = len(texts)
     some = np.array([i for i, t in enumerate(texts) if t], np.int64)
-    spaced = [" " + texts[i] for i in some]
-    n_bytes = np.fromiter((len(t.encode()) for t in spaced), np.int64, len(spaced))
-    a, b = Side(vocabulary_a, spaced), Side(vocabulary_b, spaced)
-    good = a.whole(n_bytes) & b.whole(n_bytes)
-    a.keep(good)
-    b.keep(good)
-    some = some[good]
+    codes, chunks, per_doc, _ = split_texts([" " + texts[i] for i in some], CHUNK, piece_chars=PIECE_CHARS)
+    ids_a, bounds_a = vocabulary_a.encode(chunks)
+    ids_b, bounds_b = vocabulary_b.encode(chunks)
+    odd = ~(faithful(vocabulary_a, chunks, ids_a, bounds_a) & faithful(vocabulary_b, chunks, ids_b, bounds_b))
+    good = sums(odd[codes], per_doc) == 0
+    codes, some, per_doc = codes[np.repeat(good, per_doc)], some[good], per_doc[good]
     columns = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
     texts_out, numbers, times, bounds = [""] * n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     pairs, n_docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(some):
-        which, per_doc, known = windows_of(a, b, vocabulary_a.size, vocabulary_b.size)
+        used, which = np.unique(codes, return_inverse=True)       # windows of documents that have tokens
+        n_a, n_b = np.diff(bounds_a)[used], np.diff(bounds_b)[used]
+        known = aligned_windows(ids_a[ragged(bounds_a[used], n_a)], np.append(0, np.cumsum(n_a)),
+                                ids_b[ragged(bounds_b[used], n_b)], np.append(0, np.cumsum(n_b)),
+                                vocabulary_a.size, vocabulary_b.size)
         names = [x[0] for x in known]
         groups = np.array([x[1] for x in known], np.int64)
         n_pairs = np.array([len(x[2]) for x in known], np.int64)
         pairs, flat = np.unique(np.concatenate([x[2] for x in known]), return_inverse=True)
         first = np.cumsum(n_pairs) - n_pairs
-        columns["n_a"][some] = sums(a.n_ids[a.codes], a.count)
-        columns["n_b"][some] = sums(b.n_ids[b.codes], b.count)
+        columns["n_a"][some] = sums(n_a[which], per_doc)
+        columns["n_b"][some] = sums(n_b[which], per_doc)
         columns["n_groups"][some] = sums(groups[which], per_doc)
         columns["n_links"][some] = sums(n_pairs[which], per_doc)
         held = flat[ragged(first[which], n_pairs[which])] + len(pairs) * np.repeat(np.repeat(some, per_doc), n_pairs[which])

@@ -20,11 +20,11 @@ def _compiled(pattern: str) -> regex.Pattern:
 PIECE_CHARS = 1 << 18
 
 
-def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ()):
+def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = (), piece_chars: int = PIECE_CHARS):
     """(codes, unique pre-tokens, number of pre-tokens a text, number of special tokens a text).
 
     codes are the pre-tokens of all texts in order, as indices into the unique ones. Strings of more than
-    PIECE_CHARS characters at a time are only held where one text is longer."""
+    ``piece_chars`` characters at a time are only held where one text is longer."""
     find = _compiled(pattern).findall
     count, marks = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     cut = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -55,7 +55,7 @@ def split_texts(texts: Sequence[str], pattern: str, special: Sequence[str] = ())
         count[i] = len(flat) - before
         held += len(text)
         nul = nul or "\0" in text
-        if held >= PIECE_CHARS:
+        if held >= piece_chars:
             fold()
             held, nul = 0, False
     if flat:

@@ -270,7 +270,7 @@ def test_alignment_query(spark):
         assert got[i].groups_sha256 == (hashlib.sha256(w[-1].encode()).hexdigest() if w[0] else ""), i
 
 
-@pytest.mark.parametrize("memo", [150_000, 0, 7])
+@pytest.mark.parametrize("memo", [100_000, 1, 7])
 def test_alignment_edges(spark, memo, monkeypatch):
     monkeypatch.setattr(alignment, "MEMO", memo)
     rnd = random.Random(4)
