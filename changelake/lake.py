@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from changelake.functions.schema import META, META_FIELDS, Evolution, evolve, named
 from changelake.operators import versions as ops
 from changelake.operators.changes import alive, change_order, fold, latest_per_key
-from changelake.session import SMALL_SIDE_BYTES
+from changelake.session import SMALL_SIDE_BYTES, is_small
 from changelake.sources.files import Files
 
 INTERNAL_FIELDS = [T.StructField("_offset", T.LongType()), T.StructField("_version", T.LongType())]
@@ -334,16 +334,27 @@ class ChangeTable:
         found = self.log().where((F.col("operation") == "overwrite") & F.col("version").between(after + 1, upto))
         return sorted(r.version for r in found.select("version").collect())  # a few per table
 
-    def row_history(self, keys: list, depth: int = 12) -> DataFrame:
+    def changed_keys(self, after: int = -1) -> DataFrame:
+        """The keys that a kept change set of a version later than ``after`` touches."""
+        newest = self.head()
+        found = (self.log().where(F.col("version") > after).select(F.explode("change_paths").alias("path")).distinct().collect())
+        rows = self.read_paths(newest, sorted(r.path for r in found)).where(F.col("_version") > after)
+        return rows.select(*named(newest.pks)).distinct()
+
+    def row_history(self, keys: list | DataFrame, depth: int = 12) -> DataFrame:
         """The rows of some keys at each of the newest ``depth`` versions, newest first. A key is a value, or
-        with a composite primary key a tuple of all its columns."""
+        with a composite primary key a tuple of all its columns; many keys are a frame of the key columns."""
         newest = self.head()
-        rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
-        if any(len(k) != len(newest.pks) for k in rows):
-            raise ValueError(f"{self.name}: a key has the columns {newest.pks}")
-        types = {f.name: f.dataType for f in newest.schema}
-        key_schema = T.StructType([T.StructField(c, types[c]) for c in newest.pks])
-        wanted = F.broadcast(self.spark.createDataFrame([tuple(k) for k in rows], key_schema).distinct())
+        if isinstance(keys, DataFrame):
+            wanted = keys.select(*named(newest.pks)).distinct()
+            wanted = F.broadcast(wanted) if is_small(wanted) else wanted
+        else:
+            rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
+            if any(len(k) != len(newest.pks) for k in rows):
+                raise ValueError(f"{self.name}: a key has the columns {newest.pks}")
+            types = {f.name: f.dataType for f in newest.schema}
+            key_schema = T.StructType([T.StructField(c, types[c]) for c in newest.pks])
+            wanted = F.broadcast(self.spark.createDataFrame([tuple(k) for k in rows], key_schema).distinct())
         listed = self.versions()[-depth:]
         cuts = [listed[0], *self.rebuilds(listed[0], listed[-1]), listed[-1] + 1]
         parts = []

@@ -72,27 +72,39 @@ def except_rows(a: DataFrame, b: DataFrame, keep_duplicates: bool = False) -> Da
     return a.exceptAll(b) if keep_duplicates else a.subtract(b)
 
 
-def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> DataFrame:
-    """The row of every key at each of the given versions (NULL where absent).
+def intervals(changes: DataFrame, pks: list[str], versions: list[int]) -> DataFrame:
+    """Validity intervals: per key and state the listed versions it was valid from and to (exclusive, NULL while
+    it lasts), the row (NULL once deleted), and whether it is the key's first.
 
-    Each change counts for the oldest listed version that includes it, so a key keeps at most
-    one row per listed version before the states are carried forward.
+    Each change counts for the oldest listed version that includes it, so a key sends at most one row per
+    listed version to the ordered pass. A late change that is older than what it meets opens no interval.
     """
     marks = F.array(*[F.lit(int(v)).cast("long") for v in sorted(versions)])
     cols = [c for c in changes.columns if c not in [*pks, "_version"]]
     order = change_order(changes.columns)
     slot = F.try_element_at(F.filter(marks, lambda m: m >= F.col("_version")), F.lit(1))
     at_mark = (changes.withColumn("_mark", slot).where(F.col("_mark").isNotNull())
-               .groupBy(*named([*pks, "_mark"])).agg(F.max_by(F.struct("_version", *named(cols)), order).alias("row"),
-                                           F.max(order).alias("_ord")))
-    grid = at_mark.groupBy(*named(pks)).agg(F.array_sort(F.collect_list(
-        F.struct("_mark", "_ord", "row"))).alias("_states"))  # at most one entry per listed version
-    at = grid.select(*named(pks), "_states", F.explode(marks).alias("version"))
-    past = F.filter("_states", lambda s: s["_mark"] <= F.col("version"))
-    newest = F.array_max(F.transform(past, lambda s: F.struct(
-        s["_ord"].alias("o"), s["row"].alias("r"))))["r"]
-    live = F.when(newest["_cdc_op"] != "d", newest)
-    return at.select(*named(pks), "version", live.alias("row"))
+               .groupBy(*named([*pks, "_mark"])).agg(F.max_by(F.struct("_version", *named(cols)), order).alias("_row"),
+                                                     F.max(order).alias("_ord")))
+    w = Window.partitionBy(*named(pks)).orderBy("_mark")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = F.max("_ord").over(so_far)
+    moved = (at_mark.withColumns({"_best": best, "_before": F.max("_ord").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+             .where(F.col("_before").isNull() | (F.col("_best") > F.col("_before"))))
+    live = F.when(F.col("_row._cdc_op") != "d", F.col("_row"))
+    return moved.select(*named(pks), F.col("_mark").alias("valid_from"), F.lead("_mark").over(w).alias("valid_to"),
+                        live.alias("row"), F.col("_before").isNull().alias("first"))
+
+
+def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> DataFrame:
+    """The row of every key at each of the given versions (NULL where absent): the versions that lie in its
+    validity intervals, and those before its first one."""
+    marks = F.array(*[F.lit(int(v)).cast("long") for v in sorted(versions)])
+    found = intervals(changes, pks, versions)
+    inside = F.filter(marks, lambda m: (F.col("first") | (m >= F.col("valid_from")))
+                      & (F.col("valid_to").isNull() | (m < F.col("valid_to"))))
+    return found.select(*named(pks), F.explode(inside).alias("version"), "valid_from", "row").select(
+        *named(pks), "version", F.when(F.col("version") >= F.col("valid_from"), F.col("row")).alias("row"))
 
 
 def history_changes(history: DataFrame, pks: list[str]) -> DataFrame:

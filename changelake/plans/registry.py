@@ -20,7 +20,7 @@ from changelake.operators.changes import (
 from changelake.plans import layout, suite
 from changelake.session import prepare, shared_dir
 from changelake.sources import envelope, files, generate, raw
-from changelake.streaming.ingest import run
+from changelake.streaming.ingest import METRICS_TABLE, batch_ranges, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -989,6 +989,25 @@ def _stream(spark, d):
     return Lake(spark, f"{folder}/lake").table("shop.orders").current().select(*ORDER_COLUMNS, "_cdc_op")
 
 
+@query("stream_retention", CHG + """
+SELECT CAST(0 AS BIGINT) AS below_floor, count(*) FILTER (WHERE version = 3) AS kept, count(*) AS consumed FROM chg""")
+def _stream_retention(spark, d):
+    """Landed records left after a stream that gives up what it has consumed: those of its newest batch."""
+    folder = shared_dir(spark, "retention")
+    made = raw_records(spark, d)
+    for stage in range(4):                                # each stage lands as one file, one batch reads it
+        made.where(F.floor(F.col("offset") / generate.STAGE_OFFSET) == stage).coalesce(1) \
+            .write.mode("append").parquet(f"{folder}/raw")
+    stream = raw.raw_source(spark, "parquet", f"{folder}/raw", cap=1, retain=False)
+    run(stream, f"{folder}/lake", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    batches_read = Lake(spark, f"{folder}/lake").table(METRICS_TABLE).current()
+    floor = raw.retention_floor(batch_ranges(batches_read))
+    left = spark.read.schema(envelope.RAW_SCHEMA).parquet(f"{folder}/raw")
+    return left.agg(F.count(F.lit(1)).alias("kept")).select(
+        raw.below_floor(left, floor).agg(F.count(F.lit(1))).scalar().alias("below_floor"), "kept",
+        batches_read.agg(F.sum("kafka_records")).scalar().alias("consumed"))
+
+
 def staged_table(spark: SparkSession, folder: str, purpose: str):
     """The derived change log committed to a table: stage 0 as base, 1 to 3 as change sets."""
     table = Lake(spark, shared_dir(spark, purpose)).table("shop.orders")
@@ -1101,9 +1120,13 @@ def _lake_as_of_ts(spark, d):
 
 
 @query("lake_version_stats", CHG + ", " + state_sql("past", 1) + ", " + state_sql("cur", 3) + """
-SELECT CAST(1 AS BIGINT) AS version, (SELECT count(*) FROM past) AS rows_then, (SELECT count(*) FROM cur) AS rows_now""")
+SELECT CAST(1 AS BIGINT) AS version, (SELECT count(*) FROM past) AS rows_then, (SELECT count(*) FROM cur) AS rows_now,
+       (SELECT count(*) FROM cur WHERE version > 1 AND op = 'c') AS inserted_since,
+       (SELECT count(*) FROM cur WHERE version > 1 AND op = 'u') AS updated_since""")
 def _lake_stats(spark, d):
-    return stored(spark, d).version_stats(1).select("version", "rows_then", "rows_now")
+    since = lambda op: F.coalesce(F.try_element_at("changed_since", F.lit(op)), F.lit(0).cast("long"))
+    return stored(spark, d).version_stats(1).select(
+        "version", "rows_then", "rows_now", since("c").alias("inserted_since"), since("u").alias("updated_since"))
 
 
 DIFF_SQL = """
@@ -1137,27 +1160,51 @@ def _diff_rebuild(spark, d):
     return _prices(table.diff(1, 2))
 
 
-@query("lake_row_history", CHG + """, v AS (SELECT unnest([0, 1, 2, 3]) AS v),
-k AS (SELECT DISTINCT o_orderkey FROM chg WHERE o_orderkey IN (21, 30, 40, 42, 70, 1000070)),
-h AS (SELECT k.o_orderkey, v.v AS version, arg_max(c.op, c.off) AS op, arg_max(c.o_totalprice, c.off) AS price
-  FROM k CROSS JOIN v LEFT JOIN chg c ON c.o_orderkey = k.o_orderkey AND c.version <= v.v GROUP BY 1, 2)
+HISTORY_SQL = """, v AS (SELECT unnest([0, 1, 2, 3]) AS v),
+k AS (SELECT DISTINCT o_orderkey FROM chg WHERE version > 0),
+h AS (SELECT k.o_orderkey, v.v AS version, arg_max(c.op, c.off) AS op, arg_max(c.o_totalprice, c.off) AS price,
+         any_value(c.o_custkey) AS cust
+  FROM k CROSS JOIN v LEFT JOIN chg c ON c.o_orderkey = k.o_orderkey AND c.version <= v.v GROUP BY 1, 2)"""
+
+
+@query("lake_row_history", CHG + HISTORY_SQL + """
 SELECT o_orderkey, CAST(version AS BIGINT) AS version, op IS NOT NULL AND op <> 'd' AS present,
        CASE WHEN op <> 'd' THEN CAST(price AS DOUBLE) END AS o_totalprice FROM h""")
 def _lake_history(spark, d):
-    return stored(spark, d).row_history([21, 30, 40, 42, 70, 1000070]).select(
+    """The history of every key that a change touches."""
+    table = stored(spark, d)
+    return table.row_history(table.changed_keys(0)).select(
         "o_orderkey", "version", F.col("row").isNotNull().alias("present"), F.col("row.o_totalprice").alias("o_totalprice"))
 
 
-@query("history_composite_key", """
-SELECT o_custkey, o_orderkey, CAST(0 AS BIGINT) AS version, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders
-WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders UNION SELECT min(o_orderkey) FROM orders)""")
+@query("row_intervals", CHG + HISTORY_SQL + """,
+s AS (SELECT o_orderkey, version, CASE WHEN op <> 'd' THEN CAST(price AS DOUBLE) END AS price, coalesce(op, '-') AS op,
+        (SELECT max(c.off) FROM chg c WHERE c.o_orderkey = h.o_orderkey AND c.version <= h.version) AS pos FROM h),
+t AS (SELECT *, lag(pos) OVER (PARTITION BY o_orderkey ORDER BY version) AS earlier FROM s),
+u AS (SELECT * FROM t WHERE pos IS NOT NULL AND pos IS DISTINCT FROM earlier)
+SELECT o_orderkey, CAST(version AS BIGINT) AS valid_from,
+       CAST(lead(version) OVER (PARTITION BY o_orderkey ORDER BY version) AS BIGINT) AS valid_to, price AS o_totalprice FROM u""")
+def _intervals(spark, d):
+    """Validity intervals of every changed row."""
+    chg = changes(spark, d)
+    touched = chg.where("_version > 0").select("o_orderkey").distinct()
+    return versions.intervals(chg.join(touched, PK, "left_semi"), PK, [0, 1, 2, 3]).select(
+        "o_orderkey", "valid_from", "valid_to", F.col("row.o_totalprice").alias("o_totalprice"))
+
+
+@query("history_composite_key", CHG + HISTORY_SQL + """,
+c AS (SELECT o_orderkey, any_value(o_custkey) AS o_custkey FROM chg GROUP BY 1)
+SELECT c.o_custkey, h.o_orderkey, CAST(version AS BIGINT) AS version,
+       CASE WHEN op <> 'd' THEN CAST(price AS DOUBLE) END AS o_totalprice FROM h JOIN c ON c.o_orderkey = h.o_orderkey""")
 def _history_composite(spark, d):
-    """The history of two rows under a key of two columns, one of which has other orders too."""
-    orders = source(spark, d)("orders")
-    keys = orders.agg(F.min(F.struct("o_orderkey", "o_custkey")), F.max(F.struct("o_orderkey", "o_custkey"))).first()
+    """The history of every changed row under a key of two columns."""
+    pks = ["o_custkey", "o_orderkey"]
     table = Lake(spark, shared_dir(spark, "composite")).table("shop.orders")
-    table.bootstrap(orders, ["o_custkey", "o_orderkey"])
-    return table.row_history([(k.o_custkey, k.o_orderkey) for k in keys]).select(
+    table.bootstrap(source(spark, d)("orders"), pks)
+    chg = changes(spark, d)
+    for stage in (1, 2, 3):
+        table.append(chg.where(F.col("_version") == stage).drop("_version"), table.head().schema, pks)
+    return table.row_history(table.changed_keys(0)).select(
         "o_custkey", "o_orderkey", "version", F.col("row.o_totalprice").alias("o_totalprice"))
 
 
@@ -1167,7 +1214,9 @@ def _n3_on_table(spark, d):
     return suite.n3(stored(spark, d)).select("content", "records")
 
 
-@query("n8_on_table", CHG + ", " + state_sql("cur", 3) + " SELECT count(*) AS orders_one_hour_ago FROM cur")
+@query("n8_on_table", CHG + ", " + state_sql("past", 1) + " SELECT count(*) AS orders_one_hour_ago FROM past")
 def _n8_on_table(spark, d):
-    """One hour before two hours from now: the newest version."""
-    return suite.n8(stored(spark, d), F.current_timestamp() + F.expr("INTERVAL 2 HOURS"))
+    """Asked an hour after the moment before the third commit: the state of the second."""
+    table = stored(spark, d)
+    third = F.lit(table.commit_at(2).committed_at).cast("timestamp")
+    return suite.n8(table, third - F.expr("INTERVAL 1 MICROSECOND") + F.expr("INTERVAL 1 HOUR"))

@@ -28,15 +28,18 @@ def kafka_options(bootstrap: str, pattern: str = TOPIC_PATTERN, cap: int = RECOR
 
 
 def raw_source(spark: SparkSession, fmt: str, path: str | None = None,
-               options: dict[str, str] | None = None, cap: int | None = None) -> DataFrame:
+               options: dict[str, str] | None = None, cap: int | None = None, retain: bool = True) -> DataFrame:
     """A stream of raw records: ``kafka`` (connector on the classpath) or files of them.
 
-    ``cap`` bounds a micro-batch: records for Kafka, files for a folder.
+    ``cap`` bounds a micro-batch: records for Kafka, files for a folder. Without ``retain`` landed files are
+    deleted once the batch that read them has committed (for Kafka see ``streaming.retention``).
     """
     reader = spark.readStream.format(fmt).options(**(options or {}))
     if fmt == "kafka":
         return (reader.option("maxOffsetsPerTrigger", cap) if cap else reader).load()
     reader = reader.schema(RAW_SCHEMA).option("recursiveFileLookup", "true")
+    if not retain:
+        reader = reader.option("cleanSource", "delete")
     return (reader.option("maxFilesPerTrigger", cap) if cap else reader).load(path)
 
 

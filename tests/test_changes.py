@@ -90,3 +90,13 @@ def test_row_compare_decimals_by_value(spark):
     keys = spark.createDataFrame([(1,), (5,)], "k long")
     here = {r.k: (r.in_source, r.in_lake) for r in v.presence(src, lake, keys, ["k"]).collect()}
     assert here == {1: (True, True), 5: (False, False)}
+
+
+def test_intervals(spark):
+    """A late change opens no interval, a delete opens an empty one, unlisted versions count for the next one."""
+    rows = [(1, "10", "c", 1, 0, 0), (1, "11", "u", 5, 0, 1), (1, "99", "u", 3, 0, 2), (1, None, "d", 9, 0, 4), (2, "7", "c", 8, 0, 3)]
+    found = v.intervals(spark.createDataFrame(rows, DDL), ["k"], [0, 1, 2, 4, 6]).collect()
+    got = sorted((r.k, r.valid_from, r.valid_to, r.row.a if r.row else None, r.first) for r in found)
+    assert got == [(1, 0, 1, "10", True), (1, 1, 4, "11", False), (1, 4, None, None, False), (2, 4, None, "7", True)]
+    history = v.row_history(spark.createDataFrame(rows, DDL), ["k"], [0, 1, 2, 4, 6]).collect()
+    assert len(history) == 10 and {r.version for r in history if r.k == 2 and r.row} == {4, 6}
