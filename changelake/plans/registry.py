@@ -6,6 +6,7 @@ derived from ``orders`` and ``events`` by arithmetic on their keys, in Spark and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from changelake.lake import Lake, month_of
 from changelake.operators import alerts, metrics, quality, series, versions
 from changelake.operators.changes import (
     apply_changes, fold, latest_per_key, latest_per_key_window, op_counts)
+from changelake.operators.merge import MergeTarget
 from changelake.plans import layout, suite
 from changelake.session import prepare, shared_dir
 from changelake.sources import envelope, files, generate, raw
@@ -312,6 +314,17 @@ def _merge(spark, d):
         .select(*ORDER_COLUMNS, "_cdc_op")
 
 
+@query("merge_bucketed", CURRENT_SQL)
+def _merge_bucketed(spark, d):
+    """Stage 0 laid out by key, stages 1 to 3 merged into it."""
+    chg = changes(spark, d).select(*ORDER_COLUMNS, "_cdc_op", "_cdc_lsn", "_offset", "_version")
+    table = MergeTarget(spark, f"orders_{uuid.uuid4().hex[:12]}", shared_dir(spark, "merge"), PK, slices=8, buckets=8)
+    table.create(chg.where("_version = 0"))
+    for stage in (1, 2, 3):
+        table.merge(chg.where(F.col("_version") == stage))
+    return table.rows().select(*ORDER_COLUMNS, "_cdc_op")
+
+
 @query("op_counts_per_batch", CHG + """
 SELECT version AS _version, count(*) AS rows, count(*) FILTER (WHERE op IN ('c', 'r')) AS inserts,
        count(*) FILTER (WHERE op = 'u') AS updates, count(*) FILTER (WHERE op = 'd') AS deletes
