@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelake.session import is_small, shared_dir
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
             out: str, kind: str = "last", inclusive: bool = True, total: str | None = None) -> DataFrame:
@@ -66,45 +67,90 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*[f"_right_{k}" for k in keys])
 
 
-def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column],
-             bucket_seconds: int | None = None) -> DataFrame:
-    """Aggregates over the trailing ``seconds`` of each row, the row itself included.
+def look_back(df: DataFrame, keys: list[str], ts: str, seconds: int, row: Column, out: str) -> DataFrame:
+    """For each row the oldest ``row`` (a struct; of several at one time the smallest) that is at most ``seconds``
+    older; the row itself at least.
 
-    Each row is also handed to the following bucket, so every bucket sees the whole trailing
-    window of its own rows and the buckets of one series run in parallel.
+    Rows and a mark for each, ``seconds`` before it, lie on one axis that is read backwards in time, and a mark
+    takes the last row met: two entries a row, however many rows a window holds.
     """
-    width = max(bucket_seconds or CHUNK_SECONDS, seconds)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    bucket = F.floor(micros / (width * 1_000_000)).cast("long")
-    src = df.withColumn("_us", micros).withColumn("_home", bucket)
-    needed_later = F.col("_us") >= (F.col("_home") + 1) * (width * 1_000_000) - seconds * 1_000_000
-    spread = src.withColumn("_bucket", F.explode(
-        F.when(needed_later, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
-    w = (Window.partitionBy(*keys, "_bucket").orderBy("_us")
-         .rangeBetween(-seconds * 1_000_000, 0))
-    full = spread.select("*", *[agg.over(w).alias(name) for name, agg in aggs.items()])
-    return full.where(F.col("_bucket") == F.col("_home")).drop("_us", "_home", "_bucket")
-
-
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-                     width: float) -> DataFrame:
+    entry = lambda at, mark: df.select(
+        *df.columns, (-at).alias("_back"), F.lit(mark).alias("_mark"), (F.lit(None) if mark else row).alias("_row"))
+    kind = df.select(row.alias("r")).schema["r"].dataType
+    axis = entry(micros, False).unionByName(entry(micros - seconds * 1_000_000, True).withColumn("_row", F.col("_row").cast(kind)))
+    # at the same time rows come first, the largest of them first, so that the smallest is met last
+    axis = axis.withColumn("_turn", F.when(F.col("_mark"), None).otherwise(F.row_number().over(
+        Window.partitionBy(*keys, "_back", "_mark").orderBy(F.col("_row").desc()))))
+    axis = axis.withColumn("_turn", F.coalesce("_turn", F.lit(2**31 - 1)))
+    met = running(axis, keys, ["_back", "_turn"], F.floor(F.col("_back") / F.lit(CHUNK_SECONDS * 1_000_000)),
+                  F.col("_row"), out, "last")
+    return met.where("_mark").select(*df.columns, out)
+
+
+# Ranges that a group is cut into at a time, and rows of a range that one task may sort.
+SPLITTERS = 128
+RANGE_ROWS = 1_000_000
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact values at 1-based ranks per group; ranks are expressions over the group size ``n``.
+    Returns keys, n, min, max and one column per rank.
 
-    Works on the histogram of distinct values (combined before the shuffle) and on ranges of
-    ``width`` along the value axis. Returns keys, n, min, max and one column per rank.
+    Distributed selection. Splitters drawn from the data (approximate quantiles, merged before the shuffle)
+    cut a group into ranges of about equal size; rows are only counted per range, and just the ranges that
+    hold a wanted rank go on, until none has more than RANGE_ROWS. A splitter's own value is a range of its
+    own, so repeated values end there. Each round keeps about a 128th of the rows, whatever their
+    distribution; the last step adds up equal values before it sorts them.
     """
-    hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    if not keys:
-        hist = hist.withColumn("_all", F.lit(0))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(0).cast("long").alias("_range"))
     by = keys or ["_all"]
-    cum = running(hist, by, ["_v"], F.floor(F.col("_v") / F.lit(width)), F.col("_n"), "_cum", "sum",
-                  total="n")
-    picked = cum.groupBy(*by).agg(
-        F.first("n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        *[F.min(F.when(F.col("_cum") >= rank, F.col("_v"))).alias(name)
-          for name, rank in ranks.items()])
-    return picked if keys else picked.drop("_all")
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(0))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    wanted = sizes.select(*by, F.lit(0).cast("long").alias("_range"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), rank.cast("long").alias("k")) for name, rank in ranks.items()])).alias("_t")).select(
+        *by, "_range", F.col("_t.name").alias("_name"), F.col("_t.k").alias("_k"))
+    solved = []
+    while True:
+        group = [*by, "_range"]
+        largest = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+        if largest is None or largest <= RANGE_ROWS:
+            break
+        shares = [i / SPLITTERS for i in range(1, SPLITTERS)]
+        splits = written(rows.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", shares)).alias("_splits")), "splitters")
+        met = join_null_safe(rows, F.broadcast(splits) if is_small(splits) else splits, group)
+        below = F.size(F.filter("_splits", lambda s: s < F.col("_v")))
+        part = (2 * below + F.array_contains("_splits", F.col("_v")).cast("int")).cast("long")
+        labelled = met.withColumn("_part", part)
+        counts = labelled.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*group).orderBy("_part")      # at most 2 * SPLITTERS rows
+        counts = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_before", F.col("_upto") - F.col("_c"))
+        placed = join_null_safe(wanted, counts, group).where(
+            (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
+        placed = written(placed.select(*by, "_range", "_part", "_name", (F.col("_k") - F.col("_before")).alias("_k")), "ranks")
+        found = join_null_safe(placed.where("_part % 2 = 1"), splits, group)
+        solved.append(found.select(*by, "_name", F.get("_splits", (F.col("_part") / 2).cast("int")).alias("_at")))
+        below_one = lambda d: d.withColumn("_range", F.col("_range") * (2 * SPLITTERS + 1) + F.col("_part"))
+        open_ = placed.where("_part % 2 = 0")
+        held = open_.select(*group, "_part").distinct().withColumn("_open", F.lit(True))
+        going = join_null_safe(labelled, F.broadcast(held) if is_small(held) else held, [*group, "_part"])
+        rows = written(below_one(going).select(*by, "_v", "_range"), "ranges")
+        wanted = below_one(open_).select(*by, "_range", "_name", "_k")
+    hist = rows.groupBy(*by, "_range", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = hist.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy("_v")))
+    here = join_null_safe(cum, wanted, [*by, "_range"]).where("_cum >= _k").groupBy(*by, "_name").agg(F.min("_v").alias("_at"))
+    values = reduce(lambda a, b: a.unionByName(b), [*solved, here.select(*by, "_name", "_at")])
+    picked = values.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == name, F.col("_at"))).alias(name) for name in ranks])
+    out = join_null_safe(sizes, picked, by).select(*by, "n", "min", "max", *ranks)
+    return out if keys else out.drop("_all")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame, written once to the shared folder and read from there."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nearest_rank(p: float) -> Column:
@@ -117,10 +163,10 @@ def index_rank(p: float) -> Column:
     return F.least(F.floor(F.lit(p).cast("decimal(6,4)") * F.col("n")) + 1, F.col("n"))
 
 
-def medians(df: DataFrame, keys: list[str], value: str, width: float, out: str = "median") -> DataFrame:
+def medians(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """Interpolating median per group: the mean of the two middle values."""
     mid = order_statistics(df, keys, value, {
-        "_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor(F.col("n") / 2) + 1}, width)
+        "_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor(F.col("n") / 2) + 1})
     return mid.withColumn(out, (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
 
 

@@ -27,10 +27,10 @@ def dedup_batches(df: DataFrame) -> DataFrame:
         F.max("batch_finished_at").alias("batch_finished_at"))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, exact: bool, width: float) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, exact: bool) -> DataFrame:
     """p50, p95 and max of a value per group: nearest rank, or approximate."""
     if exact:
-        stats = order_statistics(df, keys, value, {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)}, width)
+        stats = order_statistics(df, keys, value, {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)})
         return stats.select(*keys, "p50", "p95", "max")
     both = df.groupBy(*keys).agg(F.percentile_approx(value, [0.5, 0.95]).alias("_p"), F.max(value).alias("max"))
     return both.select(*keys, F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), "max")
@@ -42,7 +42,7 @@ def ingest_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     sums = once.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("rows_merged").alias("rows_merged"),
         F.sum("kafka_records").alias("kafka_records"), F.sum("merge_ms").alias("merge_ms_total"))
-    spread = percentiles(once, ["table_name"], "merge_ms", exact, 1000)
+    spread = percentiles(once, ["table_name"], "merge_ms", exact)
     return (sums.join(spread, "table_name")
             .select("table_name", "batches", "rows_merged", "kafka_records", "merge_ms_total",
                     ratio(F.col("rows_merged") * 1000, F.col("merge_ms_total")).alias("merge_rows_per_sec"),
@@ -68,7 +68,7 @@ def throughput(df: DataFrame, exact: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("batches"), F.sum("records").alias("records"),
         F.sum("duration_ms").alias("duration_ms"),
         F.max(ratio(F.col("records") * 1000, F.col("duration_ms"))).alias("peak_records_per_sec"))
-    spread = percentiles(batch, [], "duration_ms", exact, 1_000_000)
+    spread = percentiles(batch, [], "duration_ms", exact)
     return (combine_rows(totals, spread).select(
         "batches", "records", "duration_ms",
         ratio(F.col("records") * 1000, F.col("duration_ms")).alias("records_per_sec"),
@@ -119,11 +119,10 @@ def freshness(probes: DataFrame, now: Column, heartbeat: int = 0) -> DataFrame:
             .select((millis_between(F.col("_newest"), now) / 1000.0).alias("freshness_s")))
 
 
-def latency_percentiles(df: DataFrame, value: str, keys: list[str] = (), exact: bool = True,
-                        width: float = 1000) -> DataFrame:
+def latency_percentiles(df: DataFrame, value: str, keys: list[str] = (), exact: bool = True) -> DataFrame:
     """min, p50, p95, max and mean of samples; percentiles by nearest rank."""
     keys = list(keys)
-    spread = percentiles(df, keys, value, exact, width)
+    spread = percentiles(df, keys, value, exact)
     basics = df.groupBy(*keys).agg(F.count(value).alias("samples"), F.min(value).alias("min"),
                                    F.avg(value).alias("mean"))
     return combine_rows(basics, spread, keys).select(*keys, "samples", "min", "p50", "p95", "max", "mean")
@@ -135,9 +134,9 @@ def commit_to_merge(current: DataFrame, keys: list[str] = (), exact: bool = True
     return latency_percentiles(lag, "lag_ms", keys, exact)
 
 
-def run_medians(runs: DataFrame, keys: list[str], value: str, width: float = 1000) -> DataFrame:
+def run_medians(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median time per query over its runs."""
-    return medians(runs, keys, value, width, f"median_{value}").select(*keys, f"median_{value}")
+    return medians(runs, keys, value, f"median_{value}").select(*keys, f"median_{value}")
 
 
 def match_probes(sent: DataFrame, visible: DataFrame, timeout: float = PROBE_TIMEOUT_SECONDS) -> DataFrame:
@@ -152,28 +151,24 @@ def nearest_batch(commits: DataFrame, batches: DataFrame, chunk_seconds: int | N
     """For each source commit the first batch (lowest id) of its table that ended at or after
     one second before it.
 
-    Commits and batch ends are merged on one time axis per table and the lowest batch id is
-    carried backwards, instead of pairing every commit with every later batch.
+    Commits and batch ends are merged on one time axis per table and the lowest batch is carried backwards
+    with its figures, instead of pairing every commit with every later batch or joining back on the batch.
     """
-    once = dedup_batches(batches)
     chunk_seconds = chunk_seconds or CHUNK_SECONDS
+    figures = ["kafka_records", "rows_merged", "merge_ms", "batch_started_at", "batch_finished_at"]
+    once = dedup_batches(batches).withColumn("_batch", F.struct("batch_id", *figures))
     earliest = F.col("committed_at") - F.expr("INTERVAL 1 SECOND")
-    side = lambda d, at, is_batch: d.select(
-        "table_name", F.unix_micros(at.cast("timestamp")).alias("_us"), F.lit(is_batch).alias("_is_batch"),
-        *[(F.col(c) if c in d.columns else F.lit(None)).alias(c)
-          for c in ("commit_id", "committed_at")],
-        (F.col("batch_id") if is_batch else F.lit(None)).cast("long").alias("_batch"))
-    axis = side(commits, earliest, False).unionByName(
-        side(once, F.col("batch_finished_at"), True), allowMissingColumns=True)
+    axis = commits.select(
+        "table_name", F.unix_micros(earliest.cast("timestamp")).alias("_us"), F.lit(1).alias("_second"), "commit_id",
+        "committed_at").unionByName(
+        once.select("table_name", F.unix_micros(F.col("batch_finished_at").cast("timestamp")).alias("_us"),
+                    F.lit(0).alias("_second"), "_batch"), allowMissingColumns=True)
     # backwards in time; at the same instant the batch counts for the commit
-    axis = axis.withColumn("_back", -F.col("_us")).withColumn("_second", (~F.col("_is_batch")).cast("int"))
+    axis = axis.withColumn("_back", -F.col("_us"))
     found = running(axis, ["table_name"], ["_back", "_second"],
                     F.floor(F.col("_back") / F.lit(chunk_seconds * 1_000_000)),
-                    F.col("_batch"), "batch_id", "min").where(~F.col("_is_batch"))
-    details = once.select("table_name", "batch_id", "kafka_records", "rows_merged", "merge_ms",
-                          "batch_started_at", "batch_finished_at")
-    return (found.select("table_name", "commit_id", "committed_at", "batch_id")
-            .join(details, ["table_name", "batch_id"], "left"))
+                    F.col("_batch"), "_found", "min").where("_second = 1")
+    return found.select("table_name", "commit_id", "committed_at", "_found.*")
 
 
 def trace(source: DataFrame, lake: DataFrame, batches: DataFrame, requests: DataFrame, pk: str,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelake.functions.scalars import ratio
-from changelake.functions.stats import CHUNK_SECONDS, index_rank, join_null_safe, order_statistics, running, trailing
+from changelake.functions.stats import CHUNK_SECONDS, index_rank, join_null_safe, look_back, order_statistics, running
 
 # Sampling step, how long a sample stays valid, delta and clipping parameters.
 STEP_SECONDS, LOOKBACK_SECONDS = 15, 300
@@ -93,12 +93,19 @@ def delta(df: DataFrame, keys: list[str], window: int = DELTA_SECONDS) -> DataFr
     Without such a sample the first one counts; less than half a window apart gives NULL.
     """
     order = F.struct("ts", "value")
-    ends = df.groupBy(*keys).agg(F.max("ts").alias("_last"), F.max_by("value", order).alias("now"))
-    span = F.expr(f"INTERVAL {window} SECONDS")
-    older = F.col("ts") <= F.col("_last") - span
-    ref = join_null_safe(df, ends, keys).groupBy(*keys).agg(
-        F.first("_last").alias("_last"), F.first("now").alias("now"),
-        F.max_by(order, F.when(older, order)).alias("_old"), F.min_by(order, order).alias("_first"))
+    us, width = micros_of("ts"), CHUNK_SECONDS * 1_000_000
+    placed = df.withColumn("_chunk", F.floor(us / F.lit(width)))
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.max(order).alias("_newest"), F.min(order).alias("_oldest"))
+    ends = chunks.groupBy(*keys).agg(F.max("_newest").alias("_end"), F.min("_oldest").alias("_first"))
+    limit = ends.withColumn("_limit", F.col("_end.ts") - F.expr(f"INTERVAL {window} SECONDS"))
+    limit = limit.withColumn("_chunk", F.floor(F.unix_micros(F.col("_limit").cast("timestamp")) / F.lit(width)))
+    # chunks before the limit's are settled by their newest sample; only the limit's own chunk is read by rows
+    inside = join_null_safe(placed, limit.select(*keys, "_chunk", "_limit"), [*keys, "_chunk"]).where("ts <= _limit")
+    whole = join_null_safe(chunks, limit.select(*keys, F.col("_chunk").alias("_cut")), keys).where("_chunk < _cut")
+    old = inside.select(*keys, order.alias("_o")).unionByName(whole.select(*keys, F.col("_newest").alias("_o")))
+    old = old.groupBy(*keys).agg(F.max("_o").alias("_old"))
+    ref = join_null_safe(ends, old, keys, "left").select(
+        *keys, F.col("_end.ts").alias("_last"), F.col("_end.value").alias("now"), "_old", "_first")
     base = F.coalesce("_old", "_first")
     far = (F.unix_micros(F.col("_last").cast("timestamp"))
            - F.unix_micros(base["ts"].cast("timestamp"))) >= window * 500_000
@@ -111,17 +118,15 @@ def trailing_rate(df: DataFrame, keys: list[str], total: str, seconds: int = TRA
 
     The span runs from the oldest sample inside the window; below one second the rate is 0.
     """
-    aggs = {"_first_ts": F.min("ts"), "_first": F.min(F.struct("ts", total))}
-    seen = trailing(df, keys, "ts", seconds, aggs)
-    span = seconds_of("ts") - seconds_of("_first_ts")
+    seen = look_back(df.select(*keys, "ts", total), keys, "ts", seconds, F.struct("ts", total), "_first")
+    span = seconds_of("ts") - seconds_of("_first.ts")
     rate = ratio(F.col(total) - F.col(f"_first.{total}"), span)
     return seen.select(*keys, "ts", total, F.when(span >= 1, rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def series_summary(df: DataFrame, keys: list[str], clip: tuple[float, float] = CLIP_SERIES,
-                   width: float = 100.0) -> DataFrame:
+def series_summary(df: DataFrame, keys: list[str], clip: tuple[float, float] = CLIP_SERIES) -> DataFrame:
     """Median, p90, max and the upper bound to show: a lone outlier must not set the scale."""
-    stats = order_statistics(df, keys, "value", {"median": index_rank(0.5), "p90": index_rank(0.9)}, width)
+    stats = order_statistics(df, keys, "value", {"median": index_rank(0.5), "p90": index_rank(0.9)})
     clipped = (F.col("p90") > 0) & (F.col("max") > F.col("p90") * clip[0])
     return stats.select(*keys, "n", "median", "p90", "max", clipped.alias("clipped"),
                         F.when(clipped, F.col("p90") * clip[1]).otherwise(F.col("max")).alias("shown_max"))

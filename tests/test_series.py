@@ -48,16 +48,62 @@ def test_order_statistics(spark):
     rows = [("hot", float(rnd.randrange(50))) for _ in range(301)] + [("b", 3.0), ("b", 1.0), ("one", 9.0)]
     df = spark.createDataFrame(rows, "k string, value double")
     got = {r.k: r for r in stats.order_statistics(df, ["k"], "value", {
-        "p50": stats.nearest_rank(0.5), "p95": stats.nearest_rank(0.95), "i9": stats.index_rank(0.9)}, 4.0).collect()}
+        "p50": stats.nearest_rank(0.5), "p95": stats.nearest_rank(0.95), "i9": stats.index_rank(0.9)}).collect()}
     for key in ("hot", "b", "one"):
         vals = sorted(v for k, v in rows if k == key)
         rank = lambda p: vals[max(0, math.ceil(round(p * len(vals), 6)) - 1)]
         r = got[key]
         assert (r.n, r.min, r.max) == (len(vals), vals[0], vals[-1])
         assert (r.p50, r.p95, r.i9) == (rank(0.5), rank(0.95), vals[min(len(vals) - 1, int(0.9 * len(vals)))])
-    med = {r.k: r.median for r in stats.medians(df, ["k"], "value", 4.0).collect()}
+    med = {r.k: r.median for r in stats.medians(df, ["k"], "value").collect()}
     assert med["b"] == 2.0 and med["one"] == 9.0
-    assert stats.order_statistics(df, [], "value", {"m": stats.nearest_rank(0.5)}, 4.0).first().n == 304
+    assert stats.order_statistics(df, [], "value", {"m": stats.nearest_rank(0.5)}).first().n == 304
+
+
+def test_selection_over_twelve_decades(spark, monkeypatch):
+    """Continuous values of very different sizes, a value that a third of a group holds, small groups, NULL keys:
+    in rounds of few splitters, with tasks of near equal size."""
+    monkeypatch.setattr(stats, "RANGE_ROWS", 300)
+    monkeypatch.setattr(stats, "SPLITTERS", 16)
+    rnd = random.Random(9)
+    rows = [("wide", rnd.choice([-1, 1]) * 10 ** rnd.uniform(-6, 6)) for _ in range(20000)]
+    rows += [("heavy", 7.25 if rnd.random() < 0.4 else rnd.gauss(7, 1)) for _ in range(6000)]
+    rows += [("same", 3.0)] * 2000 + [(None, float(i)) for i in range(900)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(8)
+    shares = {f"p{round(1000 * p)}": p for p in (0.001, 0.25, 0.5, 0.95, 0.999)}
+    got = {r.k: r for r in stats.order_statistics(df, ["k"], "value", {n: stats.nearest_rank(p) for n, p in shares.items()}).collect()}
+    assert set(got) == {"wide", "heavy", "same", None, "one"}
+    for key, r in got.items():
+        vals = sorted(v for k, v in rows if k == key)
+        assert (r.n, r.min, r.max) == (len(vals), vals[0], vals[-1])
+        for name, p in shares.items():
+            assert r[name] == vals[max(0, math.ceil(round(p * len(vals), 6)) - 1)], (key, name)
+    whole = stats.order_statistics(df, [], "value", {"m": stats.nearest_rank(0.5)}).first()
+    vals = sorted(v for _, v in rows if v is not None)
+    assert whole.m == vals[math.ceil(len(vals) / 2) - 1]
+
+
+def test_look_back_grows_with_the_rows(spark):
+    """A series of many rows in one window: each row is met twice, windows are not read again."""
+    df = spark.range(3000).select(F.lit("s").alias("k"), (F.lit(T0) + F.make_interval(secs=F.col("id") / 1000.0)).alias("ts"),
+                                  F.col("id").alias("total"))
+    out = stats.look_back(df, ["k"], "ts", 10, F.struct("ts", "total"), "first")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan
+    assert out.count() == 3000 and out.agg(F.max("first.total")).first()[0] == 0
+
+
+def test_delta_reads_one_chunk(spark):
+    rows = [("a", at(i * 7), float(i)) for i in range(2000)] + [(None, at(i), float(-i)) for i in range(900)] + [("short", at(0), 1.0)]
+    for window in (30, 300, 7000, 10**6):
+        got = {r.k: (r.now, r.before) for r in series.delta(frame(spark, rows), ["k"], window).collect()}
+        for key in ("a", None, "short"):
+            mine = sorted((ts, v) for k, ts, v in rows if k == key)
+            last = mine[-1]
+            old = [x for x in mine if x[0] <= last[0] - timedelta(seconds=window)]
+            ref = old[-1] if old else mine[0]
+            far = (last[0] - ref[0]).total_seconds() >= window / 2
+            assert got[key] == (last[1], ref[1] if far else None), (key, window)
 
 
 def test_resample_lookback_and_carry(spark):
@@ -202,7 +248,7 @@ def test_scalars(spark):
 def test_a_null_series_is_a_series(spark):
     rows = [(None if i % 2 else "a", f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", float(i)) for i in range(1500)]
     df = spark.createDataFrame(rows, "k string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    assert {r.k: r.median for r in stats.medians(df, ["k"], "value", 10.0).collect()} == {"a": 749.0, None: 750.0}
+    assert {r.k: r.median for r in stats.medians(df, ["k"], "value").collect()} == {"a": 749.0, None: 750.0}
     grown = series.counter_rate(df, ["k"], ["ts"], 3600).groupBy("k").agg(F.sum("increase").alias("s")).collect()
     assert {r.k: r.s for r in grown} == {"a": 1498.0, None: 1498.0}
     assert {r.k: r.now for r in series.delta(df, ["k"], 60).collect()} == {"a": 1498.0, None: 1499.0}
