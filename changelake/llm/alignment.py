@@ -127,51 +127,71 @@ def align(a: np.ndarray, bounds_a: np.ndarray, b: np.ndarray, bounds_b: np.ndarr
     groups = [text_a[j - 1] + "|" + text_b[m - 1] if j - i == 1 == m - k else
               ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(
         [0, *last_a[:-1].tolist()], last_a.tolist(), [0, *last_b[:-1].tolist()], last_b.tolist())]
-    return [(";".join(groups[g:h]), h - g, pairs[i:j]) for g, h, i, j in zip(
+    raw = pairs.astype(np.int64).tobytes()
+    return [(";".join(groups[g:h]), h - g, raw[8 * i:8 * j]) for g, h, i, j in zip(
         group_of[:-1].tolist(), group_of[1:].tolist(), link_of[:-1].tolist(), link_of[1:].tolist())]
 
 
-Aligned = tuple[str, int, np.ndarray]
+Aligned = tuple[str, int, bytes]
+Key = tuple[bytes, bytes]
 
 
-class Memo:
-    """Aligned windows by their id tuples. Two generations of at most MEMO each: what is asked for again moves
-    to the younger one, and the older one is dropped when that is full."""
+class Recent:
+    """A bounded memory of two generations of at most MEMO entries each: what is asked for again moves to the
+    younger one, and the older one is dropped when that is full."""
 
     def __init__(self):
-        self.young: dict[tuple[bytes, bytes], Aligned] = {}
-        self.old: dict[tuple[bytes, bytes], Aligned] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def find(self, keys: list[tuple[bytes, bytes]]) -> list[Aligned | None]:
+    def find(self, keys: list) -> list:
+        """What is remembered under each key, else None."""
         young, old = self.young, self.old
         return [young.get(k) or old.get(k) for k in keys]
 
-    def keep(self, keys: list[tuple[bytes, bytes]], made: list[Aligned]) -> None:
-        for k, x in zip(keys, made):
+    def keep(self, keys: list, values: list) -> None:
+        for k, x in zip(keys, values):
             if k not in self.young:
                 if len(self.young) >= MEMO:
                     self.young, self.old = {}, self.young
                 self.young[k] = x
 
 
-_MEMO = Memo()
+_ALIGNED = Recent()            # id tuples of a window -> its alignment
+_TOKENS = Recent()             # text of a chunk -> its id tuples
+
+
+def tokens_of(chunks: list[bytes], vocabulary_a: ByteTokens, vocabulary_b: PieceTokens) -> list[Key]:
+    """The id tuples of each chunk in both vocabularies; empty ones if its joined tokens are not its text."""
+    known = _TOKENS.find(chunks)
+    new = [i for i, x in enumerate(known) if x is None]
+    if new:
+        fresh = [chunks[i] for i in new]
+        sides, good = [], np.ones(len(new), bool)
+        for vocabulary in (vocabulary_a, vocabulary_b):
+            ids, bounds = vocabulary.encode(fresh)
+            good &= faithful(vocabulary, fresh, ids, bounds)
+            raw, cut = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+            sides.append([raw[i:j] for i, j in zip(cut, cut[1:])])
+        for i, key, ok in zip(new, zip(*sides), good.tolist()):
+            known[i] = key if ok else (b"", b"")
+    _TOKENS.keep(chunks, known)
+    return known
 
 
-def aligned_windows(ids_a: np.ndarray, bounds_a: np.ndarray, ids_b: np.ndarray, bounds_b: np.ndarray,
-                    size_a: np.ndarray, size_b: np.ndarray) -> list[Aligned]:
+def aligned_windows(keys: list[Key], size_a: np.ndarray, size_b: np.ndarray) -> list[Aligned]:
     """The alignment of each window; windows that are not remembered are aligned together."""
-    raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-    cut_a, cut_b = (4 * bounds_a).tolist(), (4 * bounds_b).tolist()
-    keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-    known = _MEMO.find(keys)
-    new = np.array([i for i, x in enumerate(known) if x is None], np.int64)
-    if len(new):
-        n_a, n_b = np.diff(bounds_a)[new], np.diff(bounds_b)[new]
-        made = align(ids_a[ragged(bounds_a[new], n_a)], np.append(0, np.cumsum(n_a)),
-                     ids_b[ragged(bounds_b[new], n_b)], np.append(0, np.cumsum(n_b)), size_a, size_b)
-        for i, x in zip(new.tolist(), made):
+    known = _ALIGNED.find(keys)
+    new = [i for i, x in enumerate(known) if x is None]
+    if new:
+        sides = []
+        for side in (0, 1):
+            parts = [keys[i][side] for i in new]
+            sides += [np.frombuffer(b"".join(parts), "<u4").astype(np.int64),
+                      np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))]
+        for i, x in zip(new, align(*sides, size_a, size_b)):
             known[i] = x
-    _MEMO.keep(keys, known)
+    _ALIGNED.keep(keys, known)
     return known
 
 
@@ -185,9 +205,8 @@ def aligned_block(texts: list, vocabulary_a: ByteTokens, vocabulary_b: PieceToke
     n = len(texts)
     some = np.array([i for i, t in enumerate(texts) if t], np.int64)
     codes, chunks, per_doc, _ = split_texts([" " + texts[i] for i in some], CHUNK, piece_chars=PIECE_CHARS)
-    ids_a, bounds_a = vocabulary_a.encode(chunks)
-    ids_b, bounds_b = vocabulary_b.encode(chunks)
-    odd = ~(faithful(vocabulary_a, chunks, ids_a, bounds_a) & faithful(vocabulary_b, chunks, ids_b, bounds_b))
+    keys = tokens_of(chunks, vocabulary_a, vocabulary_b)
+    odd = np.fromiter((not k[0] for k in keys), bool, len(keys))
     good = sums(odd[codes], per_doc) == 0
     codes, some, per_doc = codes[np.repeat(good, per_doc)], some[good], per_doc[good]
     columns = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
@@ -195,19 +214,16 @@ def aligned_block(texts: list, vocabulary_a: ByteTokens, vocabulary_b: PieceToke
     pairs, n_docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(some):
         used, which = np.unique(codes, return_inverse=True)       # windows of documents that have tokens
-        n_a, n_b = np.diff(bounds_a)[used], np.diff(bounds_b)[used]
-        known = aligned_windows(ids_a[ragged(bounds_a[used], n_a)], np.append(0, np.cumsum(n_a)),
-                                ids_b[ragged(bounds_b[used], n_b)], np.append(0, np.cumsum(n_b)),
-                                vocabulary_a.size, vocabulary_b.size)
-        names = [x[0] for x in known]
-        groups = np.array([x[1] for x in known], np.int64)
-        n_pairs = np.array([len(x[2]) for x in known], np.int64)
-        pairs, flat = np.unique(np.concatenate([x[2] for x in known]), return_inverse=True)
+        keys = [keys[i] for i in used.tolist()]
+        known = aligned_windows(keys, vocabulary_a.size, vocabulary_b.size)
+        names, groups, raw = zip(*known)
+        length = lambda parts, width: np.fromiter(map(len, parts), np.int64, len(known)) // width
+        n_pairs = length(raw, 8)
+        pairs, flat = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
         first = np.cumsum(n_pairs) - n_pairs
-        columns["n_a"][some] = sums(n_a[which], per_doc)
-        columns["n_b"][some] = sums(n_b[which], per_doc)
-        columns["n_groups"][some] = sums(groups[which], per_doc)
-        columns["n_links"][some] = sums(n_pairs[which], per_doc)
+        for column, values in (("n_a", length([k[0] for k in keys], 4)), ("n_b", length([k[1] for k in keys], 4)),
+                               ("n_groups", np.array(groups, np.int64)), ("n_links", n_pairs)):
+            columns[column][some] = sums(values[which], per_doc)
         held = flat[ragged(first[which], n_pairs[which])] + len(pairs) * np.repeat(np.repeat(some, per_doc), n_pairs[which])
         held, times = np.unique(held, return_counts=True)
         doc, numbers = held // len(pairs), held % len(pairs)
