@@ -1040,6 +1040,21 @@ def _compact(spark, d):
     return table.current().select(*ORDER_COLUMNS, "_cdc_op")
 
 
+@query("compact_groups", CURRENT_SQL)
+def _compact_groups(spark, d):
+    """Stage 0 by month, stages 1 to 3 folded in one small group of months after another."""
+    table = Lake(spark, shared_dir(spark, "groups")).table("shop.orders")
+    table.bootstrap(source(spark, d)("orders"), PK)
+    layout.apply_layout(table, month_source="o_orderdate", month_column="o_month", sort_by=["o_orderdate"])
+    layout.compact(table, rewrite_all=True)
+    size = sum(table.files.usage(f"{table.path}/{p}")[1] for p in table.head().base_paths)
+    chg = changes(spark, d)
+    for stage in (1, 2, 3):
+        table.append(chg.where(F.col("_version") == stage).drop("_version"), table.head().schema, PK)
+    layout.compact_in_groups(table, group_bytes=size // 3 + 1)
+    return table.current().select(*ORDER_COLUMNS, "_cdc_op")
+
+
 @query("lake_month_range", CHG + ", " + state_sql("cur", 3) + """
 SELECT count(*) AS orders, CAST(sum(o_totalprice) AS DOUBLE) AS revenue FROM cur
 WHERE o_orderdate >= TIMESTAMP '1995-03-01 00:00:00' AND o_orderdate < TIMESTAMP '1995-04-01 00:00:00'""")

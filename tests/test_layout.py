@@ -182,3 +182,65 @@ def test_purge_leaves_no_key_and_no_way_back(spark, folder):
     assert {r.k for r in table.current().collect()} == {0, 1, 2, 3, 5}
     layout.purge(table)
     assert layout.residue(table, "k", [4]).count() == 0
+
+
+def by_month(spark, folder, months=6):
+    table = Lake(spark, folder).table("shop.t")
+    rows = spark.range(months * 20).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.make_date(
+        F.lit(2024), (F.col("id") % months + 1).cast("int"), F.lit(5)).cast("timestamp_ntz").alias("at"))
+    table.bootstrap(rows, ["k"], lsn=10)
+    layout.apply_layout(table, month_source="at", month_column="m", sort_by=["at"])
+    layout.compact(table, rewrite_all=True)
+    return table
+
+
+def month_changes(spark, rows, lsn):
+    return spark.createDataFrame([(k, v, op, lsn, lsn * 1000 + k) for k, v, op in rows], "k long, v string, _cdc_op string, _cdc_lsn long, _offset long").select(
+        "k", "v", F.make_date(F.lit(2024), (F.col("k") % 6 + 1).cast("int"), F.lit(5)).cast("timestamp_ntz").alias("at"), "_cdc_op",
+        F.current_timestamp().alias("_cdc_source_ts"), "_cdc_lsn", F.current_timestamp().alias("_ingested_at"), "_offset")
+
+
+def test_packing():
+    assert layout.packed({"a": 5, "b": 5, "c": 20, "d": 1, "e": 1}, 10) == [["a", "b"], ["c"], ["d", "e"]]
+    assert layout.packed({}, 10) == []
+
+
+def test_compaction_goes_on_where_it_was_killed(spark, folder, monkeypatch):
+    table = by_month(spark, folder)
+    want = {k: "a" for k in range(120)}
+    first = [(k, "b", "u") for k in range(0, 120, 5)] + [(k, None, "d") for k in range(1, 120, 10)] + [(500 + k, "new", "c") for k in range(6)]
+    table.append(month_changes(spark, first, 20), table.head().schema, ["k"])
+    for k, v, op in first:
+        want.pop(k, None) if op == "d" else want.__setitem__(k, v)
+    state = lambda: {r.k: r.v for r in table.current().collect()}
+    assert state() == want
+    done, real = [], layout.rewrite_months
+
+    def killed(*args):
+        if len(done) == 2:
+            raise KeyboardInterrupt
+        done.append(args[1])
+        return real(*args)
+    monkeypatch.setattr(layout, "rewrite_months", killed)
+    try:
+        layout.compact_in_groups(table, group_bytes=1)
+    except KeyboardInterrupt:
+        pass
+    assert len(done) == 2 and state() == want and table.head().change_paths
+    later = [(2, "late", "u"), (3, None, "d"), (700, "x", "c")]
+    table.append(month_changes(spark, later, 30), table.head().schema, ["k"])
+    for k, v, op in later:
+        want.pop(k, None) if op == "d" else want.__setitem__(k, v)
+    assert state() == want
+    again = []
+    monkeypatch.setattr(layout, "rewrite_months", lambda *a: again.append(a[1]) or real(*a))
+    report = layout.compact_in_groups(table, group_bytes=1)
+    assert report["continued"] and not {m for g in done for m in g} & {m for g in again for m in g}
+    assert report["months"] == len({m for g in done + again for m in g}) == 6
+    head = table.head()
+    assert state() == want and len(head.change_paths) == 1 and "compaction" not in head.properties
+    assert head.tombstone_rows == 12 and head.base_rows == table.base(head).count()
+    assert layout.compact_in_groups(table)["groups"] == 1 and state() == want and not table.head().change_paths
+    assert layout.compact_in_groups(table) == {"groups": 0, "rewritten": False}
+    layout.expire(table, older_than_minutes=0, retain_last=1)
+    assert state() == want
