@@ -1002,6 +1002,30 @@ def _stream(spark, d):
     return Lake(spark, f"{folder}/lake").table("shop.orders").current().select(*ORDER_COLUMNS, "_cdc_op")
 
 
+@query("stream_two_topics", CHG + ", " + state_sql("cur", 3) + """
+SELECT 'orders' AS table_name, count(*) AS rows, CAST(0 AS BIGINT) AS without_balance, CAST(sum(o_custkey) AS BIGINT) AS keys FROM cur
+UNION ALL SELECT 'customer', count(*), count(*) FILTER (WHERE c_custkey % 2 = 0),
+  CAST(sum(CASE WHEN c_custkey % 2 = 1 THEN c_nationkey + 3000000000 ELSE c_nationkey END) AS BIGINT) FROM customer""")
+def _two_topics(spark, d):
+    """Two topics in one batch, one of them with two schemas: a column more and a wider type."""
+    folder = shared_dir(spark, "topics")
+    customers = source(spark, d)("customer")
+    old = customers.where(F.col("c_custkey") % 2 == 0).drop("c_acctbal")
+    new = customers.where(F.col("c_custkey") % 2 == 1).withColumn(
+        "c_nationkey", F.col("c_nationkey").cast("long") + F.lit(3_000_000_000))
+    send = lambda df, shift: envelope.encode(df, ["c_custkey"], "pg.shop.customer", F.lit("c"), F.col("c_custkey") + shift,
+                                             F.col("c_custkey") + shift, F.lit(0))
+    raw_records(spark, d).unionByName(send(old, 0)).unionByName(send(new, 1_000_000_000)).write.parquet(f"{folder}/raw")
+    run(raw.raw_source(spark, "parquet", f"{folder}/raw"), f"{folder}/lake", f"{folder}/checkpoint",
+        {"availableNow": True}).awaitTermination()
+    lake = Lake(spark, f"{folder}/lake")
+    orders, customers = (lake.table(f"shop.{t}").current() for t in ("orders", "customer"))
+    return orders.agg(F.lit("orders").alias("table_name"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias(
+        "without_balance"), F.sum("o_custkey").alias("keys")).unionByName(customers.agg(
+            F.lit("customer").alias("table_name"), F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("c_acctbal").isNull()).alias("without_balance"), F.sum("c_nationkey").alias("keys")))
+
+
 @query("stream_retention", CHG + """
 SELECT CAST(0 AS BIGINT) AS below_floor, count(*) FILTER (WHERE version = 3) AS kept, count(*) AS consumed FROM chg""")
 def _stream_retention(spark, d):

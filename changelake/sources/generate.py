@@ -1,18 +1,13 @@
-"""Changes derived from existing tables: a fixed change log and a weighted workload."""
+"""Changes derived from existing tables: a fixed change log, and samples of keys."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stages of the derived change log.
 STAGE_OFFSET = 10_000_000
 REINSERT_SHIFT = 1_000_000
-# Weights of the workload's operations, in percent.
-MIX = {"insert_order": 45, "update_order": 20, "delete_order": 10,
-       "update_customer": 15, "insert_customer": 5, "delete_customer": 5}
 
 
 def derived_changes(orders: DataFrame) -> DataFrame:
@@ -41,55 +36,6 @@ def derived_changes(orders: DataFrame) -> DataFrame:
             .select(*data, "s._cdc_op", "s._cdc_lsn", "s._offset", "s._version"))
 
 
-def pick(seed: int, salt: str, n: int) -> Column:
-    """Deterministic number in [0, n) per row id."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(f"{seed}:{salt}")), F.lit(n))
-
-
-def workload(orders: DataFrame, customers: DataFrame, n: int, seed: int = 0) -> dict[str, DataFrame]:
-    """``n`` changes with the weighted mix, as typed change frames of orders and customer.
-
-    Every change is drawn from its number alone, so the result does not depend on how the work
-    is split. Updates and deletes take the whole row of the key they hit.
-    """
-    spark = orders.sparkSession
-    bounds, start = [], 0
-    for name, weight in MIX.items():
-        bounds.append((name, start, start + weight))
-        start += weight
-    draw = pick(seed, "mix", 100)
-    action = reduce(lambda acc, b: acc.when((F.col("_d") >= b[1]) & (F.col("_d") < b[2]), b[0]), bounds, F)
-    drawn = spark.range(n).withColumn("_d", draw).withColumn("action", action)
-
-    def changes_of(rows: DataFrame, key: str, table: str, amount: str) -> DataFrame:
-        limits = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        if limits.lo is None:
-            raise ValueError(f"{table} is empty")
-        span = limits.hi - limits.lo + 1
-        mine = (drawn.where(F.col("action").endswith(table))
-                .withColumn("_new", F.col("action").startswith("insert"))
-                .withColumn("_op", F.when(F.col("_new"), "c")
-                            .when(F.col("action").startswith("update"), "u").otherwise("d"))
-                .withColumn("_pick", F.lit(limits.lo) + pick(seed, "key", span)))
-        hit = mine.join(rows, F.col("_pick") == F.col(key))  # keys in gaps are skipped
-        delta = (pick(seed, "amount", 100_000) / 100 - 500).cast("decimal(12,2)")
-        cols = []
-        for c in rows.columns:
-            if c == key:
-                cols.append(F.when(F.col("_new"), F.lit(limits.hi + 1) + F.col("id"))
-                            .otherwise(F.col(key)).alias(key))
-            elif c == amount:
-                cols.append(F.when(F.col("_op") == "u", F.col(c) + delta).otherwise(F.col(c))
-                            .cast(rows.schema[c].dataType).alias(c))
-            else:
-                cols.append(F.col(c))
-        return hit.select(*cols, F.col("_op").alias("_cdc_op"), (F.col("id") + 1).alias("_cdc_lsn"),
-                          F.col("id").alias("_offset"))
-
-    return {"orders": changes_of(orders, "o_orderkey", "order", "o_totalprice"),
-            "customer": changes_of(customers, "c_custkey", "customer", "c_acctbal")}
-
-
 def sample_keys(df: DataFrame, pk: str, n: int = 200, seed: int = 0) -> DataFrame:
     """A random sample of existing keys; a small table falls back to one random row."""
     some = df.select(pk).sample(fraction=0.01, seed=seed).limit(n)
