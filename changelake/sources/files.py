@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ class Files:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._io = jvm.org.apache.commons.io.IOUtils
-        self._fs = self._path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._path(root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
@@ -33,22 +38,31 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """Create a small file; False when the name is taken. The create call itself is exclusive, so
-        of two writers one gets the name."""
-        if self._fs.exists(self._path(path)):
+        """Create a small file; False when the name is taken. The text is written under a hidden name first and
+        then renamed, which fails if the name exists: a crash in between leaves no file by that name, and a
+        reader never sees half of one."""
+        target = self._path(path)
+        if self._fs.exists(target):
             return False
-        try:
-            stream = self._fs.create(self._path(path), False)
-        except Exception:
-            if self._fs.exists(self._path(path)):
-                return False
-            raise
+        hidden = self._path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex[:12]}")
+        stream = self._fs.create(hidden, False)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
+        try:
+            self._rename(hidden, target)
+        except Exception:
+            self._fs.delete(hidden, False)
+            if self._fs.exists(target):
+                return False
+            raise
         return True
 
+    def _rename(self, source, target) -> None:
+        """A rename that never replaces a file."""
+        self._context.rename(source, target, self._no_options)
+
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)
 

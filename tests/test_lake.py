@@ -248,3 +248,26 @@ def test_purge_takes_folders_of_crashed_writes(spark, folder):
     table.erase(F.col("owner") == 3)
     layout.purge(table)
     assert layout.residue(table, "k", [3, 7]).count() == 0 and table.current().count() == 6
+
+
+def test_a_crash_within_a_commit_leaves_the_table_as_it_was(spark, folder, monkeypatch):
+    table = Lake(spark, folder).table("shop.t")
+    table.bootstrap(spark.createDataFrame([(1, "a")], "k long, v string"), ["k"], lsn=1)
+    files = table.files
+    assert files.write_new(f"{folder}/x/one.json", "1") and not files.write_new(f"{folder}/x/one.json", "2")
+    assert files.read_text(f"{folder}/x/one.json") == "1" and files.names(f"{folder}/x") == ["one.json"]
+
+    def crash(source, target):
+        raise KeyboardInterrupt                          # the process ends between the text and its name
+    monkeypatch.setattr(files, "_rename", crash)
+    with pytest.raises(KeyboardInterrupt):
+        table.erase(F.col("k") == 1)
+    again = Lake(spark, folder).table("shop.t")
+    assert again.versions() == [0] and again.current().count() == 1 and again.log().count() == 1
+    again.erase(F.col("k") == 1)
+    assert again.current().count() == 0
+    # a second writer finds the name taken
+    monkeypatch.undo()
+    late = again.commit_at(1)
+    with pytest.raises(CommitConflict):
+        table.publish(late)
