@@ -103,12 +103,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     own, so repeated values end there. Each round keeps about a 128th of the rows, whatever their
     distribution; the last step adds up equal values before it sorts them.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(0).cast("long").alias("_range"))
+    # zero, but not a literal: joins on a literal would pair rows without a key
+    zero = (F.spark_partition_id() * 0).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), zero.alias("_range"))
     by = keys or ["_all"]
     if not keys:
-        rows = rows.withColumn("_all", F.lit(0))
+        rows = rows.withColumn("_all", F.col("_range"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    wanted = sizes.select(*by, F.lit(0).cast("long").alias("_range"), F.explode(F.array(*[
+    wanted = sizes.select(*by, zero.alias("_range"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), rank.cast("long").alias("k")) for name, rank in ranks.items()])).alias("_t")).select(
         *by, "_range", F.col("_t.name").alias("_name"), F.col("_t.k").alias("_k"))
     solved = []

@@ -92,6 +92,7 @@ class Commit:
 # A tombstone as it is stored: the key only as a digest, so an erased subject's key is not kept either.
 TOMBSTONE = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_cdc_lsn", T.LongType()),
                           T.StructField("_offset", T.LongType()), T.StructField("_version", T.LongType())])
+SCANS_KEPT = 8
 TOMBSTONE_BYTES = 100                                    # of one in a hash table
 
 
@@ -131,6 +132,7 @@ class ChangeTable:
         self.path = f"{root.rstrip('/')}/{name.replace('.', '/', 1)}"
         self.files = Files(spark, root)
         self._head: Commit | None = None
+        self._scans: dict[tuple, DataFrame] = {}
 
     # ---- commit log -------------------------------------------------------------------
     def _commit_file(self, version: int) -> str:
@@ -199,12 +201,23 @@ class ChangeTable:
         if partitioned and month:
             schema = T.StructType([*schema.fields, T.StructField(month, T.StringType())])
             columns.append(month)
-        reader = self.spark.read.schema(schema).option("basePath", self.path)
-        frame = reader.parquet(*[f"{self.path}/{p}" for p in paths]).select(*named(columns))
+        frame = self._scan(tuple(paths), schema).select(*named(columns))
         if month and not partitioned:
             frame = frame.withColumn(month, month_of(named(commit.properties["month_source"])))
         return frame
 
+    def _scan(self, paths: tuple[str, ...], schema: T.StructType) -> DataFrame:
+        """A scan of folders. What a commit names never changes, so the newest scans are kept: a query over a
+        version that was read before lists no files again."""
+        key = (paths, schema.json())
+        found = self._scans.pop(key, None)
+        if found is None:
+            found = self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/{p}" for p in paths])
+        self._scans[key] = found
+        while len(self._scans) > SCANS_KEPT:
+            self._scans.pop(next(iter(self._scans)))
+        return found
+
     def base(self, commit: Commit) -> DataFrame:
         return self.read_paths(commit, commit.base_paths, partitioned=True)
 
@@ -524,9 +537,10 @@ class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, root)
+        self._tables: dict[str, ChangeTable] = {}
 
     def table(self, name: str) -> ChangeTable:
-        return ChangeTable(self.spark, self.root, name)
+        return self._tables.setdefault(name, ChangeTable(self.spark, self.root, name))
 
     def names(self, namespace: str | None = None) -> list[str]:
         spaces = [namespace] if namespace else self.files.names(self.root)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changelake.lake import ChangeTable, Lake
+from changelake.lake import ChangeTable, CommitConflict, Lake
 from changelake.operators.changes import latest_per_key
 from changelake.session import prepare
 from changelake.sources.envelope import NOT_JSON, RECORD_COLUMNS, TopicShape, decode_all, faults, sniff, text_records
@@ -25,6 +25,7 @@ from changelake.sources.envelope import NOT_JSON, RECORD_COLUMNS, TopicShape, de
 log = logging.getLogger(__name__)
 
 METRICS_TABLE = "ops.ingest_batches"
+METRICS_ATTEMPTS = 20
 METRICS_KEY = ["stream_id", "batch_id", "table_name"]
 METRICS_SCHEMA = T.StructType([
     T.StructField("stream_id", T.StringType()), T.StructField("batch_id", T.LongType()),
@@ -136,7 +137,8 @@ class Ingest:
                 "cast_rejects": counted.get["rejects"], "topic": shape.topic, "ranges": shape.ranges}
 
     def _record(self, stats: list[dict], stream: str, batch_id: int, started: datetime) -> None:
-        """One metrics row per table. The data is committed, so a failure here is only logged."""
+        """One metrics row per table. Streams share the metrics table: a commit that meets another stream's is
+        tried again on top of it. The data is committed, so a failure here is only logged."""
         if not stats:
             return
         common = {"stream_id": stream, "batch_id": batch_id, "batch_started_at": started,
@@ -147,7 +149,13 @@ class Ingest:
                      .withColumns({"_cdc_op": F.lit("c"), "_cdc_source_ts": F.col("batch_finished_at"),
                                    "_cdc_lsn": F.col("batch_id"), "_ingested_at": F.current_timestamp(),
                                    "_offset": F.lit(0).cast("long")}))
-            self.table(METRICS_TABLE).append(frame.coalesce(1), METRICS_SCHEMA, METRICS_KEY)
+            for attempt in range(METRICS_ATTEMPTS):
+                try:
+                    self.table(METRICS_TABLE).append(frame.coalesce(1), METRICS_SCHEMA, METRICS_KEY)
+                    break
+                except CommitConflict:
+                    if attempt == METRICS_ATTEMPTS - 1:
+                        raise
         except Exception:  # noqa: BLE001
             log.warning("batch %d: metrics not recorded", batch_id, exc_info=True)
 

@@ -221,3 +221,24 @@ def test_records_that_cannot_be_applied(spark, folder):
     assert aside == {10: envelope.CUT, 11: envelope.NO_OP, 12: envelope.NO_KEY}
     assert spark.read.parquet(f"{folder}/odd").count() == 3
     assert {r.k for r in lake.table("shop.x").current().collect()} == {0, 1, 2} and lake.table("shop.y").current().count() == 1
+
+
+def test_two_streams_lose_no_metrics_row(spark, folder, monkeypatch):
+    """Another stream commits to the metrics table between the rows and the commit of the first."""
+    fields = [K, {"field": "a", "type": "int32"}]
+    frames = {t: spark.createDataFrame([record(f"pg.shop.{t}", 0, fields, change("c", 1, {"k": 1, "a": 1}), {"k": 1})],
+                                       envelope.RAW_SCHEMA) for t in "xy"}
+    first, second = (Ingest(spark, f"{folder}/lake", stream_id=s) for s in "xy")
+    table, met = first.table("ops.ingest_batches"), []
+    real = table.write_folder
+
+    def interleaved(*args, **kwargs):
+        out = real(*args, **kwargs)
+        if not met:
+            met.append(True)
+            second(frames["y"], 0)
+        return out
+    monkeypatch.setattr(table, "write_folder", interleaved)
+    first(frames["x"], 0)
+    rows = Lake(spark, f"{folder}/lake").table("ops.ingest_batches").current().collect()
+    assert met and sorted((r.stream_id, r.table_name) for r in rows) == [("x", "shop.x"), ("y", "shop.y")]
