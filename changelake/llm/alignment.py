@@ -27,6 +27,8 @@ slice of its own.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,13 +48,22 @@ from changelake.llm.store import materialise
 from changelake.llm.text import ragged, slices, tidy
 
 # A space and what follows up to the next space that has no white space before it.
-CHUNK = r" (?:[^ ]+|(?<=\s) )*"
+CHUNK = re.compile(r" +[^ ]*+(?:(?<=\s) +[^ ]*+)*+")
 BLOCK_BYTES = 4 << 20
 PIECE_CHARS = 1 << 20
 MEMO = 100_000                 # windows of a generation; two are held
 SHIFT = 32                     # a pair is id of A << SHIFT | id of B
 
 
+def chunks_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(codes, distinct chunks, chunks a text) of texts that begin with a space; codes number the chunks."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    parts = [np.fromiter(map(number.__getitem__, CHUNK.findall(t)), np.int64) for t in texts]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64), [c.encode() for c in number],
+            np.fromiter(map(len, parts), np.int64, len(parts)))
+
+
 def flat_table(table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(size, first byte, bytes) of the entries of a vocabulary."""
     size = np.array(list(map(len, table)), np.int64)
@@ -204,7 +215,7 @@ def aligned_block(texts: list, vocabulary_a: ByteTokens, vocabulary_b: PieceToke
     """Columns of the documents, and of the block: its pairs and the number of documents that hold each."""
     n = len(texts)
     some = np.array([i for i, t in enumerate(texts) if t], np.int64)
-    codes, chunks, per_doc, _ = split_texts([" " + texts[i] for i in some], CHUNK, piece_chars=PIECE_CHARS)
+    codes, chunks, per_doc = chunks_of([" " + texts[i] for i in some])
     keys = tokens_of(chunks, vocabulary_a, vocabulary_b)
     odd = np.fromiter((not k[0] for k in keys), bool, len(keys))
     good = sums(odd[codes], per_doc) == 0
