@@ -107,16 +107,18 @@ def row_history(changes: DataFrame, pks: list[str], versions: list[int]) -> Data
         *named(pks), "version", F.when(F.col("version") >= F.col("valid_from"), F.col("row")).alias("row"))
 
 
-def history_changes(history: DataFrame, pks: list[str]) -> DataFrame:
+def history_changes(history: DataFrame, pks: list[str], compared: list[str] | None = None) -> DataFrame:
     """Row history with the columns that differ from the next older version.
 
+    ``compared``: the columns that can make a row that stays an updated one, all by default. A row that appears
+    has all its columns changed.
     ``history`` is the bounded output of ``row_history`` (a few versions per key).
     """
     fields = [f.name for f in history.schema["row"].dataType if not f.name.startswith("_")]
     w = Window.partitionBy(*pks).orderBy("version")
     prev = history.withColumn("_prev", F.lag("row").over(w)) \
                   .withColumn("_rank", F.row_number().over(w))
-    names = changed_column_names(prev, "_prev", "row", fields)
+    names = changed_column_names(prev, "_prev", "row", fields if compared is None else compared)
     appeared = F.col("_prev").isNull() & F.col("row").isNotNull()
     vanished = F.col("_prev").isNotNull() & F.col("row").isNull()
     changed = F.when(F.col("_rank") == 1, F.array().cast("array<string>")) \
