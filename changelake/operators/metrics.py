@@ -172,12 +172,14 @@ def nearest_batch(commits: DataFrame, batches: DataFrame, chunk_seconds: int | N
 
 
 def trace(source: DataFrame, lake: DataFrame, batches: DataFrame, requests: DataFrame, pk: str,
-          table_name: str) -> DataFrame:
+          table_name: str, carried_at: Column | None = None) -> DataFrame:
     """State of many traced writes at once.
 
     ``requests``: key, txn_start, committed_at, gone (the write was a delete). A write has
     arrived when the lake row shows it, when it is gone as expected, or when the lake holds a
-    later change of the same row; then the carrying batch is attached.
+    later change of the same row; then the carrying batch is attached: the first one from ``carried_at`` on,
+    a column over the requests and the lake row's metadata, by default (and where it is NULL) the write's own
+    commit.
     """
     src = source.select(F.col(pk).alias("key"), F.lit(True).alias("_src"))
     dst = lake.select(F.col(pk).alias("key"), F.lit(True).alias("_dst"), "_cdc_op", "_cdc_source_ts",
@@ -189,9 +191,11 @@ def trace(source: DataFrame, lake: DataFrame, batches: DataFrame, requests: Data
               .when(~in_lake & ~in_source, "deleted by another session").otherwise("waiting"))
     told = seen.withColumn("status", status).withColumn(
         "latency_s", F.when(later, millis_between("committed_at", "_ingested_at") / 1000.0))
+    own = F.col("committed_at")
     carriers = nearest_batch(
         told.where(F.col("status") != "waiting").select(
-            F.lit(table_name).alias("table_name"), F.col("key").alias("commit_id"), "committed_at"), batches)
+            F.lit(table_name).alias("table_name"), F.col("key").alias("commit_id"),
+            (own if carried_at is None else F.coalesce(carried_at, own)).alias("committed_at")), batches)
     return told.drop("_src", "_dst").join(
         carriers.select(F.col("commit_id").alias("key"), "batch_id", "merge_ms", "batch_finished_at"),
         "key", "left")
