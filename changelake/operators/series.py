@@ -35,8 +35,9 @@ def label_key(labels: Column, ignoring: tuple[str, ...] = ()) -> Column:
 
 
 def resample(df: DataFrame, keys: list[str], step: int = STEP_SECONDS, lookback: int = LOOKBACK_SECONDS,
-             chunk_seconds: int = 86_400) -> DataFrame:
-    """Value at every step: the newest sample up to it, at most ``lookback`` seconds old.
+             chunk_seconds: int = 86_400, recorded: str | None = None) -> DataFrame:
+    """Value at every step: the newest sample up to it, at most ``lookback`` seconds old. Of samples at one
+    instant the first by the number ``recorded`` counts, without such a column the one of largest value.
 
     Each sample is carried to the steps before the next sample, so the work grows with the
     output and a series is never collected in one place.
@@ -44,8 +45,9 @@ def resample(df: DataFrame, keys: list[str], step: int = STEP_SECONDS, lookback:
     width = step * 1_000_000
     # the first step at or after each sample; of several samples before a step the newest wins
     slot = (F.ceil(micros_of("ts") / F.lit(width)) * width).cast("long")
+    order = F.struct("ts", F.col("value") if recorded is None else -F.col(recorded))
     newest = (df.withColumn("_slot", slot).groupBy(*keys, "_slot")
-              .agg(F.max_by(F.struct("ts", "value"), F.struct("ts", "value")).alias("_s"))
+              .agg(F.max_by(F.struct("ts", "value"), order).alias("_s"))
               .withColumn("_us", micros_of("_s.ts")).withColumn("_back", -F.col("_slot")))
     ahead = running(newest, keys, ["_back"], F.floor(F.col("_back") / F.lit(chunk_seconds * 1_000_000)),
                     F.col("_slot"), "_next", "last", inclusive=False)

@@ -252,3 +252,9 @@ def test_a_null_series_is_a_series(spark):
     grown = series.counter_rate(df, ["k"], ["ts"], 3600).groupBy("k").agg(F.sum("increase").alias("s")).collect()
     assert {r.k: r.s for r in grown} == {"a": 1498.0, None: 1498.0}
     assert {r.k: r.now for r in series.delta(df, ["k"], 60).collect()} == {"a": 1498.0, None: 1499.0}
+
+
+def test_resample_takes_the_first_of_one_instant(spark):
+    df = frame(spark, [("a", at(1), 2.0), ("a", at(1), 9.0)]).withColumn("n", F.col("value"))
+    got = {r.value for r in series.resample(df, ["k"], 15, 30, recorded="n").collect()}
+    assert got == {2.0} and {r.value for r in series.resample(df, ["k"], 15, 30).collect()} == {9.0}
